@@ -10,6 +10,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from lectern.functions import fixed as X
 from lectern.functions import text as T
@@ -19,7 +20,7 @@ def _spell(ch: str) -> str:
     return X.SYMBOL_NAMES.get(ch) or unicodedata.normalize("NFKC", ch) or ch
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _spell_symbols(texts: pd.Series) -> pd.Series:
     seen: dict[int, str] = {}
 

@@ -24,6 +24,7 @@ def local_session(cores: int | str = 8, app: str = "lectern", **extra: str) -> S
         builder = builder.config(key, value)
     builder = (
         builder.config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", os.environ.get("LECTERN_DRIVER_MEMORY", "8g"))
     )
