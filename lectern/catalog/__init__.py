@@ -1,0 +1,22 @@
+"""The query catalogue: one module per area, each with QUERIES and ORACLES."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+AREAS = ("parsing",)
+
+
+def _merged(attribute: str) -> dict:
+    out: dict = {}
+    for area in AREAS:
+        out.update(getattr(import_module(f"lectern.catalog.{area}"), attribute))
+    return out
+
+
+def all_queries() -> dict:
+    return _merged("QUERIES")
+
+
+def all_oracles() -> dict:
+    return _merged("ORACLES")

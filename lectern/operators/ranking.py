@@ -28,3 +28,26 @@ def top_k(
     if most is not None:
         out = out.where(F.col(name) <= most)
     return out.where(F.col(name) <= F.col(k))
+
+
+RUN = 8192
+
+
+def running_before(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of a group, ``order`` being whole numbers.
+
+    Rows fall into runs of 8192 order numbers. A window inside each run and one over the
+    runs' totals (combined map-side) give the same sums as one window over the group,
+    without ever bringing a whole group into one task.
+    """
+    run = F.floor(F.col(order) / RUN)
+    keyed = df.withColumn("_run", run)
+    inside = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = keyed.groupBy(*keys, "_run").agg(F.sum(value).alias("_total"))
+    starts = totals.select(*keys, "_run", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_start"))
+    return (
+        keyed.join(starts, [*keys, "_run"])
+        .withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .drop("_run", "_start")
+    )
