@@ -1,4 +1,4 @@
-"""The query catalogue: one module per area, each with QUERIES and ORACLES."""
+"""The query catalogue: one module per area."""
 
 from __future__ import annotations
 
@@ -7,16 +7,13 @@ from importlib import import_module
 AREAS = ("parsing",)
 
 
-def _merged(attribute: str) -> dict:
-    out: dict = {}
-    for area in AREAS:
-        out.update(getattr(import_module(f"lectern.catalog.{area}"), attribute))
-    return out
+def _areas():
+    return [import_module(f"lectern.catalog.{name}").AREA for name in AREAS]
 
 
 def all_queries() -> dict:
-    return _merged("QUERIES")
+    return {name: fn for area in _areas() for name, fn in area.queries.items()}
 
 
 def all_oracles() -> dict:
-    return _merged("ORACLES")
+    return {name: sql for area in _areas() for name, sql in area.oracles.items()}

@@ -6,23 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from lectern.catalog import sql as Q
 from lectern.catalog.inputs import table
+from lectern.catalog.registry import Area
 from lectern.functions import fixed as X
 from lectern.functions import notation
 from lectern.functions import text as T
 from lectern.operators import enhance, quality
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return register
+AREA = Area()
+query = AREA.query
 
 
 # ---------------------------------------------------------------- derived inputs

@@ -175,3 +175,10 @@ ocr AS (
     CASE (doc_id + page_num) % 4 WHEN 0 THEN 'good' WHEN 1 THEN 'weak' WHEN 2 THEN 'failed' ELSE '' END AS ocr_quality
   FROM ln
 )"""
+
+
+def doubles(sql: str) -> str:
+    """Write decimal literals as DOUBLE, the type the scores are defined on."""
+    import re
+
+    return re.sub(r"(?<![\w.'\]])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)
