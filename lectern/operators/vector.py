@@ -59,8 +59,10 @@ def nearest(vectors: DataFrame, requests: DataFrame, max_k: int = 400) -> DataFr
 
     Returns request_id, scope_id, pos, score (0..1, six digits), rank; ties by pos.
     """
-    stored = _blocks(vectors.select("scope_id", "pos", "embedding"), "v_block", VECTOR_BLOCK, "pos")
-    asked = _blocks(requests.select("request_id", "scope_id", "embedding", "k"), "r_block", REQUEST_BLOCK, "request_id")
+    # aliases give both sides their own columns where they stem from one table
+    own = lambda df, *names: df.select(*[F.col(n).alias(n) for n in names])
+    stored = _blocks(own(vectors, "scope_id", "pos", "embedding"), "v_block", VECTOR_BLOCK, "pos")
+    asked = _blocks(own(requests, "request_id", "scope_id", "embedding", "k"), "r_block", REQUEST_BLOCK, "request_id")
     stored_blocks = stored.select("scope_id", "v_blocks").distinct()
     asked_blocks = asked.select("scope_id", "r_blocks").distinct()
     stored = (
