@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("parsing", "retrieval")
+AREAS = ("parsing", "retrieval", "learning", "documents")
 
 
 def _areas():

@@ -200,7 +200,7 @@ def merge(pages: DataFrame, fragments: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("half"), merged.alias("c_text"), plus.alias("extra"), F.lit(0.08).alias("less")),
     )
     offers = joined.select(
-        "doc_id", "page_num", "fragment_no", "source", "quality", F.inline(kinds)
+        "doc_id", "page_num", "fragment_no", "source", "quality", F.inline_outer(kinds)
     ).select(
         "doc_id",
         "page_num",

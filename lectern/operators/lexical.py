@@ -6,6 +6,9 @@ Corpus statistics (N, document frequency, mean length, mean idf) belong to a sco
 Chunks   : scope_id, pos, chunk_id, section_id, search_text (+ is_slide, has_formula)
 Requests : request_id, scope_id, query (already expanded), k (+ section_id)
 
+Arrays are unnested with the ``outer`` generators: for the plain ones the optimizer adds a
+filter on the array's size below, which would compute the tokens a second time.
+
 Work grows with the postings of the requested terms, not with requests x chunks:
 chunks that share no token with a request are never paired with it. They can still
 fill a result (all their scores are equal), and ``_fill`` fetches just enough of them.
@@ -55,7 +58,8 @@ def scope_stats(tokenized: DataFrame) -> DataFrame:
 def term_weights(tokenized: DataFrame, stats: DataFrame) -> DataFrame:
     """idf per scope and term; a negative idf becomes epsilon times the scope's mean idf."""
     df = (
-        tokenized.select("scope_id", F.explode(F.array_distinct("tokens")).alias("term"))
+        tokenized.select("scope_id", F.explode_outer(F.array_distinct("tokens")).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("scope_id", "term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -87,7 +91,7 @@ def postings(tokenized: DataFrame, terms: DataFrame, facts: tuple[str, ...] = ()
     """Term frequencies of the requested terms only (``terms``: scope_id, term)."""
     slides = "header_tokens" in tokenized.columns
     head = F.array_contains("header_tokens", F.col("term")) if slides else F.lit(False)
-    exploded = tokenized.select("*", F.explode("tokens").alias("term")).select(
+    exploded = tokenized.select("*", F.explode_outer("tokens").alias("term")).select(
         "scope_id", "pos", "term", F.size("tokens").alias("len"), head.alias("in_header"), *facts
     )
     return (
@@ -99,7 +103,8 @@ def postings(tokenized: DataFrame, terms: DataFrame, facts: tuple[str, ...] = ()
 
 def request_terms(requests: DataFrame) -> DataFrame:
     return (
-        requests.select("request_id", "scope_id", F.explode(T.tokens(F.col("query"))).alias("term"))
+        requests.select("request_id", "scope_id", F.explode_outer(T.tokens(F.col("query"))).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("request_id", "scope_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
         .withColumn("core", ~F.col("term").isin(*X.QUERY_STOPWORDS))
@@ -156,7 +161,7 @@ def _matches(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """(request, pos) pairs that share a token."""
     terms = request_terms(requests).select("request_id", "scope_id", "term")
     tokens = chunks.select(
-        "scope_id", "pos", F.explode(F.array_distinct(T.tokens(F.col("search_text")))).alias("term")
+        "scope_id", "pos", F.explode_outer(F.array_distinct(T.tokens(F.col("search_text")))).alias("term")
     )
     return tokens.join(terms, ["scope_id", "term"]).select("request_id", "pos").distinct()
 

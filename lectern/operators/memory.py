@@ -99,8 +99,8 @@ def concept_signals(events: DataFrame) -> DataFrame:
         "doc_id",
         "section_id",
         concept_status(F.col("event_type"), payload_values(F.col("payload"))).alias("status"),
-        F.explode(concepts(F.col("event_type"), concept_text())).alias("concept"),
-    )
+        F.explode_outer(concepts(F.col("event_type"), concept_text())).alias("concept"),
+    ).where(F.col("concept").isNotNull())
 
 
 def concept_counts(signals: DataFrame) -> DataFrame:

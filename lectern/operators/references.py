@@ -23,7 +23,7 @@ def bibliography(docs: DataFrame) -> DataFrame:
     part = F.col("reference_part")
     ids = F.regexp_extract_all(part, F.lit(X.REFERENCE_ENTRY), F.lit(1))
     texts = F.regexp_extract_all(part, F.lit(X.REFERENCE_ENTRY), F.lit(2))
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(ids.alias("id"), texts.alias("entry"))).alias("entry_no", "e"))
+    rows = docs.select("doc_id", F.posexplode_outer(F.arrays_zip(ids.alias("id"), texts.alias("entry"))).alias("entry_no", "e")).where("e is not null")
     entry = T.strip(F.col("e.entry"))
     rows = rows.select("doc_id", "entry_no", F.col("e.id").alias("ref_id"), entry.alias("entry")).withColumn(
         "parts", F.filter(F.transform(F.split("entry", "\\."), T.strip), lambda p: p != "")
@@ -80,7 +80,7 @@ def citations(docs: DataFrame) -> DataFrame:
         lambda acc: acc["starts"],
     )
     rows = cited.withColumn("starts", places).select(
-        "doc_id", "body", F.posexplode(F.arrays_zip("marks", "inner", "starts")).alias("cite_no", "c")
+        "doc_id", "body", F.posexplode_outer(F.arrays_zip("marks", "inner", "starts")).alias("cite_no", "c")
     )
     start, mark = F.col("c.starts"), F.col("c.marks")
     begin = F.greatest(F.lit(0), start - 200)

@@ -44,10 +44,12 @@ def run(events: DataFrame, folder: str, checkpoint: str, available_now: bool = T
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def current_state(spark: SparkSession, folder: str) -> DataFrame:
-    """Merge of all partial states. A batch adds at most 20 signals to a concept, and only the
-    newest 20 over all batches are collected."""
-    partials = spark.read.schema(PARTIAL_SCHEMA).parquet(folder)
+def merged(partials: DataFrame) -> DataFrame:
+    """Partial states folded into one row per concept and document.
+
+    A batch adds at most 20 signals to a concept, and only the newest 20 over all batches
+    are collected.
+    """
     heads = partials.groupBy("concept", "doc_id").agg(
         F.sum("evidence_count").alias("evidence_count"), F.max("last").alias("last")
     )
@@ -59,7 +61,15 @@ def current_state(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("concept", "doc_id")
         .agg(F.array_sort(F.collect_list("s")).alias("signals"))
     )
-    return heads.join(signals, ["concept", "doc_id"]).select(
+    return heads.join(signals, ["concept", "doc_id"])
+
+
+def read_partials(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(PARTIAL_SCHEMA).parquet(folder)
+
+
+def current_state(spark: SparkSession, folder: str) -> DataFrame:
+    return merged(read_partials(spark, folder)).select(
         "concept",
         "doc_id",
         F.col("last.status").alias("status"),
@@ -72,10 +82,4 @@ def current_state(spark: SparkSession, folder: str) -> DataFrame:
 
 def compact(spark: SparkSession, folder: str, target: str) -> None:
     """Fold all partials of ``folder`` into one under ``target``, for a fresh start there."""
-    partials = spark.read.schema(PARTIAL_SCHEMA).parquet(folder)
-    newest = F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("signals")))), 1, X.SIGNALS_KEPT)
-    partials.groupBy("concept", "doc_id").agg(
-        F.sum("evidence_count").alias("evidence_count"),
-        F.max("last").alias("last"),
-        F.array_sort(newest).alias("signals"),
-    ).write.mode("overwrite").parquet(f"{target}/batch=-1")
+    merged(read_partials(spark, folder)).write.mode("overwrite").parquet(f"{target}/batch=-1")
