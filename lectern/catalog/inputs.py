@@ -11,9 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.functions import notation, text as T
 
+WIDE = ("documents", "pages", "conversations")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. A file of one row group is read by one task; where a scan has fewer
+    splits than the session has cores its rows are dealt out first. Tables of many files
+    are read as they lie, without that shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in WIDE and df.rdd.getNumPartitions() < cores else df
 
 
 def derived_section_type(doc_id: Column) -> Column:

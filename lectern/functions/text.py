@@ -69,7 +69,17 @@ def strip(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(squeeze(c), " "), lambda w: w != "")
+    s = squeeze(c)
+    return F.when(s != "", F.split(s, " ")).otherwise(F.array().cast("array<string>"))
+
+
+def word_count(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(f"[^{S}]+"))
+
+
+def line_count(c: Column) -> Column:
+    """Number of lines that are not blank."""
+    return F.regexp_count(c, F.lit(f"[^{S}][^\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]*"))
 
 
 def lines(c: Column) -> Column:
@@ -93,7 +103,7 @@ def blank_to_null(c: Column) -> Column:
 
 
 def cjk_count(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{X.CJK}]", ""))
+    return F.regexp_count(c, F.lit(f"[{X.CJK}]"))
 
 
 def contains_cjk(c: Column) -> Column:
@@ -137,7 +147,7 @@ def number_count(c: Column) -> Column:
 
 
 def _symbols(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, f"[\\p{{L}}\\p{{N}}{S}]", ""))
+    return F.regexp_count(c, F.lit(f"[^\\p{{L}}\\p{{N}}{S}]"))
 
 
 def symbol_ratio(c: Column, empty: float = 0.0) -> Column:
@@ -145,26 +155,31 @@ def symbol_ratio(c: Column, empty: float = 0.0) -> Column:
 
 
 def repetition_ratio(c: Column) -> Column:
-    w = words(F.lower(c))
-    n = F.size(w)
-    return F.when(
-        n >= 12, F.greatest(F.lit(0.0), F.lit(0.5) - F.size(F.array_distinct(w)) / n)
-    ).otherwise(F.lit(0.0))
+    n = word_count(c)
+    distinct = F.size(F.array_distinct(F.split(squeeze(F.lower(c)), " ")))
+    return F.when(n >= 12, F.greatest(F.lit(0.0), F.lit(0.5) - distinct / n)).otherwise(F.lit(0.0))
+
+
+_EDGE = r"[.,;:()\[\]{}]*"
+SHORT_WORD = f"(?<![^ ]){_EDGE}[^ ]?{_EDGE}(?![^ ])"
+NOISY_WORD = "[^ ]*[?|\ufffd][^ ]*"
 
 
-def fragmentation(c: Column) -> Column:
-    w = words(c)
-    short = F.size(F.filter(w, lambda t: F.length(F.btrim(t, F.lit(".,;:()[]{}"))) <= 1))
-    noisy = F.size(F.filter(w, lambda t: t.rlike("[?|\ufffd]")))
-    n = F.size(w)
-    return F.when(n > 0, F.least(F.lit(1.0), (short + noisy) / n)).otherwise(F.lit(1.0))
+def fragmentation(c: Column, squeezed: bool = False) -> Column:
+    """Share of words of at most one character (between punctuation) and of noisy words.
+
+    Counted with patterns on the squeezed text, so no arrays are built.
+    """
+    s = c if squeezed else squeeze(c)
+    odd = F.regexp_count(s, F.lit(SHORT_WORD)) + F.regexp_count(s, F.lit(NOISY_WORD))
+    return F.when(s != "", F.least(F.lit(1.0), odd / F.regexp_count(s, F.lit("[^ ]+")))).otherwise(F.lit(1.0))
 
 
 def readability(c: Column) -> Column:
     s = squeeze(c)
     return F.when(
         s != "",
-        clamp(clamp(F.length(s) / 160) - symbol_ratio(s) * 0.7 - fragmentation(s) * 0.5),
+        clamp(clamp(F.length(s) / 160) - symbol_ratio(s) * 0.7 - fragmentation(s, squeezed=True) * 0.5),
     ).otherwise(F.lit(0.0))
 
 

@@ -169,7 +169,7 @@ def candidate_score(text: Column, source: Column, quality: Column) -> Column:
     return F.when(
         s != "",
         T.clamp(
-            F.least(F.lit(1.0), F.length(s) / 180) + bonus - T.symbol_ratio(s) * 0.5 - T.fragmentation(s) * 0.4
+            F.least(F.lit(1.0), F.length(s) / 180) + bonus - T.symbol_ratio(s) * 0.5 - T.fragmentation(s, squeezed=True) * 0.4
         ),
     ).otherwise(0.0)
 

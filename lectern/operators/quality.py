@@ -107,7 +107,7 @@ def page_quality(pages: DataFrame) -> DataFrame:
         page_length(F.col("char_count"), text).alias("n"),
         T.symbol_ratio(text).alias("symbols"),
         T.repetition_ratio(text).alias("repeats"),
-        F.size(T.lines(text)).alias("n_lines"),
+        T.line_count(text).alias("n_lines"),
         T.quote(text, 180).alias("text_preview"),
     )
     scored = measured.select(
