@@ -332,6 +332,12 @@ def turn_requests(spark, sf_dir, top_k: int = 5) -> DataFrame:
     )
 
 
+def asked_line_chunks(spark, sf_dir) -> DataFrame:
+    """The chunk table of all documents that a turn is asked of."""
+    asked = turn_requests(spark, sf_dir).select("doc_id").distinct()
+    return written(line_chunks(spark, sf_dir).join(asked, "doc_id", "left_semi"), "line-chunks")
+
+
 _LEX = f"""{Q.LINES}, {_TURNS}, {scoring(_LINE_CHUNKS)}, {QUERY_TERMS},
 sc AS (SELECT qt.item_id, doc, pos, sum(qtf * impact) AS s FROM wt JOIN qt USING (term) JOIN b ON b.item_id = qt.item_id AND b.want = wt.doc GROUP BY ALL),
 al AS (SELECT b.item_id, ch.doc, ch.pos, ch.section, b.message, {Q.settle('coalesce(s, 0.0)')} AS score,
@@ -340,11 +346,10 @@ al AS (SELECT b.item_id, ch.doc, ch.pos, ch.section, b.message, {Q.settle('coale
 
 
 def line_hits(spark, sf_dir, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    chunks = line_chunks(spark, sf_dir).withColumn("scope_id", F.col("doc_id"))
+    chunks = asked_line_chunks(spark, sf_dir).withColumn("scope_id", F.col("doc_id"))
     r = turn_requests(spark, sf_dir).withColumn("scope_id", F.col("doc_id")).withColumn("k", F.lit(k))
     r = r.withColumn("message", F.trim("message"))
     r = r.withColumn("query", T.expanded_query(F.col("message"), notation.normalize(F.col("message"))))
-    chunks = chunks.join(r.select("scope_id").distinct(), "scope_id", "left_semi")
     hits = lexical.search(chunks, r, section_boost=False).withColumnRenamed("scope_id", "doc_id")
     return hits.join(chunks.drop("scope_id"), ["doc_id", "pos"]), chunks
 
@@ -396,7 +401,7 @@ FROM sel JOIN b ON b.item_id = sel.item_id JOIN ch ON ch.doc = b.want AND ch.pos
 )
 def retrieve_evidence(spark, sf_dir):
     """The whole search path: wording, lexical search, rules, cap, diversity, evidence."""
-    got = plan.retrieve(line_chunks(spark, sf_dir), turn_requests(spark, sf_dir), slides=False)
+    got = plan.retrieve(asked_line_chunks(spark, sf_dir), turn_requests(spark, sf_dir), slides=False)
     return plan.evidence(got.hits, got.requests).select(
         "request_id", F.col("citation").cast("long").alias("citation"), "chunk_id", "quote", "score"
     )

@@ -10,7 +10,8 @@ from lectern.catalog.registry import Area
 from lectern.functions import fixed as X
 from lectern.functions import notation
 from lectern.functions import text as T
-from lectern.operators import evaluate, expand, fusion, lexical, rerank, vector
+from lectern.operators import evaluate, fusion, lexical, rerank, vector
+from lectern.operators.stage import written
 
 AREA = Area()
 query = AREA.query
@@ -512,7 +513,7 @@ mx AS (SELECT item_id || '|' || doc AS case_id, CASE WHEN er IS NULL THEN 0.0 EL
 
 
 def case_metrics(spark, sf_dir) -> DataFrame:
-    hits = top_hits(spark, sf_dir, 10).withColumnRenamed("request_id", "case_id")
+    hits = written(top_hits(spark, sf_dir, 10), "case-hits").withColumnRenamed("request_id", "case_id")
     cases = benchmark_requests(spark, sf_dir).withColumnRenamed("request_id", "case_id")
     none = lambda t: F.array().cast(f"array<{t}>")
     item = F.col("query_id")

@@ -33,6 +33,10 @@ def scope_chunks(chunks: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
     document otherwise. Returns requests with ``scope_id`` and the chunk rows of the
     requested scopes only.
     """
+    if requests.where("section_only").isEmpty():
+        whole = requests.withColumn("scope_id", F.col("doc_id"))
+        asked = whole.select("doc_id").distinct()
+        return whole, chunks.join(asked, "doc_id", "left_semi").withColumn("scope_id", F.col("doc_id"))
     sections = chunks.where(F.col("section_id").isNotNull()).select("doc_id", "section_id").distinct()
     strict = F.col("section_only") & (F.coalesce(F.col("section_id"), F.lit("")) != "")
     resolved = (
@@ -283,7 +287,7 @@ def search(
     extra = extra.withColumn("score", T.settle(base)).withColumn("n_matched", F.lit(0).cast("long"))
 
     pool = best.select(*columns).unionByName(extra.select(*columns))
-    return top_k(pool, ["request_id"], order, "k", "rank", most=MAX_K).drop("k")
+    return written(top_k(pool, ["request_id"], order, "k", "rank", most=MAX_K).drop("k"), "lexical-filled")
 
 
 def search_variants(chunks: DataFrame, requests: DataFrame, slides: bool = False) -> DataFrame:

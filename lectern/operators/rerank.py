@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.functions import fixed as X
 from lectern.functions import text as T
 from lectern.operators.ranking import ranked
+from lectern.operators.stage import written
 
 
 def model_rerank(hits: DataFrame, score_fn: Callable[[Column, Column], Column] | None) -> DataFrame:
@@ -83,7 +84,7 @@ def _greedy_order(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def diversify(hits: DataFrame, most: int = X.MAX_PER_DOC) -> DataFrame:
     """Cap per document, then greedy maximal marginal relevance over the capped list."""
-    capped = diversity_cap(hits, most)
+    capped = written(diversity_cap(hits, most), "capped")
     kind = hits.schema["request_id"].dataType.simpleString()
     order = (
         capped.select("request_id", "chunk_id", "doc_id", "section_id", "score", "rank")

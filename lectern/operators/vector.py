@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions import text as T
 from lectern.operators.ranking import top_k
+from lectern.operators.stage import written
 
 VECTOR_BLOCK = 4096
 REQUEST_BLOCK = 512
@@ -83,7 +84,8 @@ def nearest(vectors: DataFrame, requests: DataFrame, max_k: int = 400) -> DataFr
         .applyInPandas(_block_top_k, f"request_id {request_type}, scope_id string, pos long, score double")
     )
     partial = partial.join(requests.select("request_id", "k"), "request_id")
-    return top_k(partial, ["request_id"], [F.col("score").desc(), F.col("pos")], "k", "rank", most=max_k).drop("k")
+    best = top_k(partial, ["request_id"], [F.col("score").desc(), F.col("pos")], "k", "rank", most=max_k).drop("k")
+    return written(best, "nearest")
 
 
 def embedding_text(text, prefix, formula_ids):
