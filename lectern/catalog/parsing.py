@@ -43,8 +43,10 @@ def visual_items(pages: DataFrame) -> DataFrame:
 
 
 def scored_pages(spark, sf_dir) -> DataFrame:
-    pages = typed_pages(spark, sf_dir)
-    return quality.page_quality(quality.visual_flags(pages, visual_items(pages)))
+    pages = line_pages(spark, sf_dir)
+    flags = pages.select("doc_id", "char_count", F.lit(False).alias("is_two_column"), F.lit(False).alias("has_abstract"))
+    typed = quality.measured(pages).join(quality.document_subtype(flags).select("doc_id", "doc_subtype"), "doc_id")
+    return quality.page_quality(quality.visual_flags(typed, visual_items(pages)))
 
 
 def recognized_pages(spark, sf_dir) -> DataFrame:

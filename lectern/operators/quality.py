@@ -90,27 +90,31 @@ def visual_flags(pages: DataFrame, items: DataFrame) -> DataFrame:
     return joined
 
 
-def page_quality(pages: DataFrame) -> DataFrame:
-    """Score pages (with ``doc_subtype`` and visual flags) and say what to do with them."""
+def measured(pages: DataFrame) -> DataFrame:
+    """Pages with their text measured and dropped, so that later joins move numbers only."""
     text = F.coalesce("text", F.lit(""))
-    slides = F.col("doc_subtype") == "slides_pdf"
-    expected = T.lookup(F.col("doc_subtype"), X.EXPECTED_CHARS, X.EXPECTED_CHARS_DEFAULT)
-
-    measured = pages.select(
-        "doc_id",
-        "page_num",
-        "doc_subtype",
-        "on_image",
-        "on_table",
-        "on_formula",
-        (F.col("on_image") | F.col("on_table") | F.col("on_formula")).alias("on_visual"),
+    return pages.select(
+        *[c for c in pages.columns if c != "text"],
         page_length(F.col("char_count"), text).alias("n"),
         T.symbol_ratio(text).alias("symbols"),
         T.repetition_ratio(text).alias("repeats"),
         T.line_count(text).alias("n_lines"),
         T.quote(text, 180).alias("text_preview"),
     )
-    scored = measured.select(
+
+
+def page_quality(pages: DataFrame) -> DataFrame:
+    """Score pages (with ``doc_subtype`` and visual flags) and say what to do with them.
+
+    Takes pages with text, or better pages already ``measured``.
+    """
+    if "n_lines" not in pages.columns:
+        pages = measured(pages)
+    slides = F.col("doc_subtype") == "slides_pdf"
+    expected = T.lookup(F.col("doc_subtype"), X.EXPECTED_CHARS, X.EXPECTED_CHARS_DEFAULT)
+
+    known = pages.withColumn("on_visual", F.col("on_image") | F.col("on_table") | F.col("on_formula"))
+    scored = known.select(
         "*",
         T.clamp(T.clamp(F.col("n") / expected) - F.col("symbols") * 0.5 - F.col("repeats") * 0.3).alias("ts"),
         T.clamp(
