@@ -63,10 +63,15 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fan_out(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Ask every query of every document of its library; the result has rows for each pair."""
-    return queries.withColumn("library", F.lit("main")).join(
-        docs.withColumn("library", F.lit("main")), "library"
-    ).drop("library").withColumn(
+    """Ask every query of every document of the library; the result has rows for each pair.
+
+    Queries fall into 32 shards and each document is put into all of them, so the pairs
+    come out of a hash join on the shard, spread over its tasks.
+    """
+    shards = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long")))
+    return queries.withColumn("_shard", F.pmod(F.xxhash64("query_id"), F.lit(32))).join(
+        docs.select("*", shards.alias("_shard")), "_shard"
+    ).drop("_shard").withColumn(
         "request_id", F.concat_ws("|", F.col("query_id").cast("string"), F.col("doc_id"))
     )
 

@@ -105,11 +105,11 @@ def postings(tokenized: DataFrame, terms: DataFrame, facts: tuple[str, ...] = ()
     )
 
 
-def request_terms(requests: DataFrame) -> DataFrame:
+def request_terms(requests: DataFrame, facts: tuple[str, ...] = ()) -> DataFrame:
     return (
-        requests.select("request_id", "scope_id", F.explode_outer(T.tokens(F.col("query"))).alias("term"))
+        requests.select("request_id", "scope_id", *facts, F.explode_outer(T.tokens(F.col("query"))).alias("term"))
         .where(F.col("term").isNotNull())
-        .groupBy("request_id", "scope_id", "term")
+        .groupBy("request_id", "scope_id", *facts, "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
         .withColumn("core", ~F.col("term").isin(*X.QUERY_STOPWORDS))
     )
@@ -121,13 +121,15 @@ def match_scores(
     scoring: str = "bm25",
     slides: bool = False,
     facts: tuple[str, ...] = (),
+    request_facts: tuple[str, ...] = (),
 ) -> DataFrame:
     """Scores of all chunks that share a token with a request, before any boost.
 
     The weight of a posting is computed once, before postings meet requests. ``facts``
-    are chunk columns carried along, which saves a join with the chunks.
+    are chunk columns and ``request_facts`` request columns carried along as grouping
+    keys, which saves joining them to all matches.
     """
-    terms = request_terms(requests)
+    terms = request_terms(requests, request_facts)
     tokenized = tokenize(chunks, slides, facts)
     post = postings(tokenized, terms.select("scope_id", "term").distinct(), facts)
     if scoring == "bm25":
@@ -151,7 +153,7 @@ def match_scores(
         ]
     return (
         post.join(terms, ["scope_id", "term"])
-        .groupBy("request_id", "pos", *facts)
+        .groupBy("request_id", "scope_id", "pos", *request_facts, *facts)
         .agg(score.alias("match_score"), F.count(F.lit(1)).alias("n_matched"), *extra)
     )
 
@@ -224,12 +226,9 @@ def search(
         .alias("k"),
     )
     facts = (("section_id",) if section_boost else ()) + (("is_slide", "has_formula") if slides else ())
+    has_core = F.size(T.core_tokens(F.col("query"))) > 0 if slides else F.lit(False)
     wanted = requests.select(
-        "request_id",
-        "scope_id",
-        "k",
-        F.col("section_id").alias("wanted"),
-        (F.size(T.core_tokens(F.col("query"))) > 0).alias("has_core") if slides else F.lit(False).alias("has_core"),
+        "request_id", "scope_id", "k", F.col("section_id").alias("wanted"), has_core.alias("has_core")
     )
     in_section = (
         (F.col("wanted") != "") & (F.col("wanted") == F.col("section_id")) if section_boost else F.lit(False)
@@ -254,8 +253,11 @@ def search(
             )
         )
         base = F.when(untouched, base).otherwise(base * 0.35)
-    matched = match_scores(chunks, requests, scoring, slides, facts)
-    matched = matched.join(wanted, "request_id").withColumn("score", T.settle(score)).select(*columns)
+    asked = requests.select(
+        "request_id", "scope_id", "query", "k", F.col("section_id").alias("wanted"), has_core.alias("has_core")
+    )
+    matched = match_scores(chunks, asked, scoring, slides, facts, ("k", "wanted", "has_core"))
+    matched = matched.withColumn("score", T.settle(score)).select(*columns)
     best = written(top_k(matched, ["request_id"], order, "k", "rank", most=MAX_K), "lexical-best")
 
     # Chunks without a shared token all score alike: 0, or the boost when in the section
