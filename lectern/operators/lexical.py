@@ -256,7 +256,8 @@ def search(
     asked = requests.select(
         "request_id", "scope_id", "query", "k", F.col("section_id").alias("wanted"), has_core.alias("has_core")
     )
-    matched = match_scores(chunks, asked, scoring, slides, facts, ("k", "wanted", "has_core"))
+    carried = ("k",) + (("wanted",) if section_boost else ()) + (("has_core",) if slides else ())
+    matched = match_scores(chunks, asked, scoring, slides, facts, carried)
     matched = matched.withColumn("score", T.settle(score)).select(*columns)
     best = written(top_k(matched, ["request_id"], order, "k", "rank", most=MAX_K), "lexical-best")
 
