@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -35,16 +37,41 @@ def local_session(cores: int | str = 8, app: str = "lectern", **extra: str) -> S
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers
+    can import it wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="lectern-package-")) / "lectern"
+    tree = base.parent / "tree"
+    shutil.copytree(package, tree / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(base), "zip", tree))
+    _shipped.add(context.applicationId)
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, laptops) is a new local folder made.
+    Only where the setting is absent and the session is one local process (tests, laptops)
+    is a new folder made. A cluster has to name a folder its executors share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if configured:
         return configured
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="lectern-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
