@@ -1,15 +1,38 @@
-"""A training corpus out of raw documents: the stages of ``STAGES``, each written and read again."""
+"""A training corpus out of raw documents: the stages of ``STAGES``, each written and read again.
+
+Good texts, without toxic ones, one of each group of near copies, without benchmark passages,
+mixed to the source weights. Every stage judges all that its predecessor kept and learns from
+the labels of those documents; all but the last return the columns of ``documents``.
+Null doc_ids, null texts and repeated rows pass as the operators define.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontaminate, mixing
+from lectern.llm import decontaminate, mixing, neardup, quality, toxicity
 from lectern.llm.columns import table
 from lectern.operators.stage import written
 from lectern.session import ship_package
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    graded = quality.grade(docs, table(spark, sf_dir, "labels"))
+    return graded.where("predicted = 1").select(*docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    graded = toxicity.grade(docs, table(spark, sf_dir, "labels"))
+    return graded.where("predicted = 0").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return neardup.keep_one(docs)
+
+
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -20,7 +43,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("decontamination", without_benchmarks), ("mixing", mixed)]
+STAGES = [
+    ("quality", good_quality),
+    ("toxicity", not_toxic),
+    ("near duplicates", one_of_each),
+    ("decontamination", without_benchmarks),
+    ("mixing", mixed),
+]
 #: Learnt models and random rounding are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 

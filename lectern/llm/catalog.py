@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontaminate, licences, mixing, urls
+from lectern.llm import decontaminate, language, licences, mixing, neardup, quality, toxicity, urls
 from lectern.llm.columns import table
 
 QUERIES: dict = {}
@@ -68,6 +68,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _learnable(held_out):
+    return ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = quality.grade(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), _learnable(quality.held_out))
+    return graded.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def _sql_canonical(text: str) -> str:
     out = f"translate(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = f"regexp_replace({out}, '{licences.COPYRIGHT_LINE}', '', 'g')"
@@ -100,3 +110,35 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mix_sources")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = toxicity.grade(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), _learnable(toxicity.held_out))
+    return graded.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op8_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(_learnable(language.held_out)))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+OP10_SQL = r"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) w from documents),
+s as (select distinct doc_id, hash(list_slice(w, i, i + 4)) g
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+r as (select doc_id x, doc_id c from d union select e.y, r.c from r join e on e.x = r.x),
+m as (select x, min(c) c from r group by x)
+select d.doc_id, coalesce(n.n, 0) n_shingles, m.c component_id, d.doc_id = m.c kept
+from d join m on m.x = d.doc_id left join n using (doc_id)"""
+
+
+@query("op10_near_duplicates", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
