@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 A text is the average of learnt vectors of its words and of their character n-grams, hashed
-into ``BUCKETS`` rows; a softmax layer reads the average. Both are trained by stochastic
+into ``BUCKETS`` rows; a word that only repeats the one before adds the vectors of a word of its
+own. A softmax layer reads the average. Both are trained by stochastic
 gradient descent in numpy on a bounded sample of labelled documents.
 
 As average and softmax are linear up to the last step, a trained model folds into one number
@@ -29,9 +30,11 @@ from lectern.llm.supervision import PER_CLASS, Sample, labelled, prior_shift
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4)
-EPOCHS = 8
+EPOCHS = 4
 BATCH = 16
-RATE = 4.0
+RATE = 1.0
+#: The word that stands for a repetition of the word before.
+AGAIN = "\x00again"
 #: From this score on a document is good.
 GOOD = 0.3
 #: Distinct words a task remembers before it starts anew.
@@ -49,11 +52,13 @@ def features(word: str) -> list[int]:
 
 def _bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
-    arrays = []
+    arrays, last = [], None
     for word in text.split():
-        if word not in known:
-            known[word] = np.array(features(word), dtype=np.int64)
-        arrays.append(known[word])
+        for w in (word, AGAIN) if word == last else (word,):
+            if w not in known:
+                known[w] = np.array(features(w), dtype=np.int64)
+            arrays.append(known[w])
+        last = word
     if not arrays:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
     ids, counts = np.unique(np.concatenate(arrays), return_counts=True)
@@ -119,13 +124,19 @@ def score_texts(model: tuple[np.ndarray, float], text: Column) -> Column:
                 known[word] = found
             return found
 
+        again = learn(AGAIN)
+
         def one(text: str | None) -> float:
-            total, n = 0.0, 0
+            total, n, last = 0.0, 0, None
             get = known.get
             for word in (text or "").split():
                 m, k = get(word) or learn(word)
                 total += m
                 n += k
+                if word == last:
+                    total += again[0]
+                    n += again[1]
+                last = word
             z = max(-700.0, min(700.0, (total / n if n else 0.0) + bias))
             return 1 / (1 + math.exp(-z))
 

@@ -8,10 +8,10 @@ reading that is likeliest under a character trigram model. The restored text is
 * The character model comes from all documents: each task sums its words, then hashed n-gram
   counts, one aggregate adds the tasks up. It has a fixed number of bins.
 * Evidence comes from the restored texts of a bounded sample of labelled documents: for each
-  n-gram of a word, the lower confidence bound of the log odds of toxic documents having it.
-  A word weighs as much as its strongest n-gram, so unseen forms of a known stem count.
+  word and beginning of a word, the lower confidence bound of the log odds of toxic documents
+  having it. A word weighs as much as the strongest of these, so unseen forms of a stem count.
 * A logistic layer reads the evidence of the whole document. It is trained on evidence from the
-  other half of the sample, so that n-grams of single documents gain no trust.
+  other half of the sample, so that words of single documents gain no trust.
 
 Defined results: null and empty texts hold no evidence and score what the logistic layer gives
 that; without both classes to learn from every text scores the share of label 1 (0 without
@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.llm.columns import crc_remainder
@@ -41,20 +41,23 @@ LOOKALIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¢": "c", "(": "c", "*": "aeiou",
 }
-#: Costs of the channel, in nats: a look-alike, a dropped repetition, a gap inside a word.
-SWAP, REPEAT, GAP = 1.0, 0.5, 0.7
+#: Costs of the channel, in nats: a look-alike, a dropped repetition, a gap inside a word, a
+#: sign or digit that is none of these and parts words.
+SWAP, REPEAT, GAP, PART = 1.0, 0.5, 0.7, 4.0
 ORDER_BINS = {1: 1 << 12, 2: 1 << 16, 3: 1 << 18}
 #: Weights of the orders in the character model.
 MIX = {3: 0.7, 2: 0.2, 1: 0.09}
-EVIDENCE_BINS = 1 << 20
-EVIDENCE_GRAMS = (4, 5, 6)
+#: Letters of the beginnings of a word that may carry evidence, besides the whole word.
+STEMS = (4, 5, 6, 7)
+#: Different words that have to share a beginning before it counts beside them.
+VARIETY = 3
 #: Standard errors below the log odds; least bound that counts.
 DOUBT, LEAST = 1.5, 1.5
 HELD, REMEMBER = 200_000, 300_000
 WORD = re.compile(r"[^\W\d_]+")
 SIGNS = re.escape("".join(LOOKALIKE))
 #: A token with a look-alike among letters, or a letter three times in a row.
-DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}]|[{SIGNS}][^\W\d_]|([^\W\d_])\1\1")
+DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}]+[^\W\d_]|^[{SIGNS}][^\W\d_]{{2}}|[^\W\d_][0-9@$€£¢]|([^\W\d_])\1\1")
 #: Four or more single characters, each set apart from the next by one sign.
 SPACED = re.compile(rf"(?<!\w)(?:[^\W_]|[{SIGNS}])(?:[ .\-_*·](?:[^\W_]|[{SIGNS}])){{3,}}(?!\w)")
 
@@ -148,15 +151,21 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
             arcs = [(c * min(n, 2), SWAP) for c in LOOKALIKE.get(char, "")]
             if n > 1:
                 arcs += [(c, SWAP + REPEAT) for c in LOOKALIKE.get(char, "")]
-            arcs.append((" ", 2.0))  # a plain sign or digit parts words
+            arcs.append((" ", PART))
         out.append(arcs)
     return out
 
 
-def decode(model: CharModel, stretch: str) -> str:
-    """The likeliest plain reading of a stretch: Viterbi over the last two characters."""
+def decode(model: CharModel, stretch: str, whole: bool = False) -> str:
+    """The likeliest plain reading of a stretch: Viterbi over the last two characters.
+
+    ``whole`` asks for a reading as one word.
+    """
     states = {"  ": (0.0, "")}
-    for arcs in [*lattice(stretch), [(" ", 0.0)]]:
+    steps = lattice(stretch)
+    if whole:
+        steps = [[a for a in arcs if a[0] != " "] or [("", 0.0)] for arcs in steps]
+    for arcs in [*steps, [(" ", 0.0)]]:
         following: dict[str, tuple[float, str]] = {}
         for last, (cost, text) in states.items():
             for chars, channel in arcs:
@@ -172,69 +181,91 @@ def decode(model: CharModel, stretch: str) -> str:
     return min(states.values())[1].strip()
 
 
-def restored_words(model: CharModel, text: str, known: dict[str, tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """The plain words of a text, token by token; readings of spaced stretches come last."""
-    out = []
+def readings(model: CharModel, token: str) -> tuple[str, ...]:
+    """The words of a token as written and, if it looks disguised, as restored."""
+    plain = token
+    if DISGUISED.search(token) and len(token) <= 200:
+        plain += " " + decode(model, token) + " " + decode(model, token, whole=True)
+    return tuple(dict.fromkeys(WORD.findall(plain)))
+
+
+def joined(model: CharModel, stretch: str) -> Iterator[str]:
+    """Words that letters set apart may spell: of the likeliest reading, and runs of the reading as one word.
+
+    Long stretches are read in pieces that overlap by more than a word.
+    """
+    for i in range(0, len(stretch), 360):
+        piece = stretch[i : i + 400]
+        yield from WORD.findall(decode(model, piece))
+        one = decode(model, piece, whole=True)
+        yield from (one[j : j + n] for n in range(4, 13) for j in range(len(one) - n + 1))
+
+
+def restored_words(model: CharModel, text: str) -> set[str]:
+    """The distinct plain words of a text."""
     lower = text.lower()
-    for token in lower.split():
-        words = known.get(token)
-        if words is None:
-            plain = token
-            if DISGUISED.search(token) and len(token) <= 200:
-                plain = decode(model, token)
-            words = tuple(dict.fromkeys([*WORD.findall(token), *WORD.findall(plain)]))
-            if len(known) > REMEMBER:
-                known.clear()
-            known[token] = words
-        out.append(words)
+    out = {w for token in set(lower.split()) for w in readings(model, token)}
     for stretch in SPACED.finditer(lower):
-        # long stretches in pieces, so that one costs no more than its length
-        whole = stretch.group()
-        out.extend(tuple(WORD.findall(decode(model, whole[i : i + 400]))) for i in range(0, len(whole), 400))
+        out.update(joined(model, stretch.group()))
     return out
 
 
 # --- evidence --------------------------------------------------------------------------
 
 
-def word_bins(word: str) -> list[int]:
-    marked = f"<{word}>"
-    out = [zlib.crc32(marked.encode()) % EVIDENCE_BINS]
-    for n in EVIDENCE_GRAMS:
-        out.extend(zlib.crc32(marked[i : i + n].encode()) % EVIDENCE_BINS for i in range(len(marked) - n + 1))
-    return out
+def word_grams(word: str) -> list[int]:
+    """Hashes of a word and of its beginnings."""
+    return [xxhash.xxh3_64_intdigest(g) >> 1 for g in (word + ">", *(word[:n] for n in STEMS if n <= len(word)))]
+
+
+def varied(docs: list[list[str]], grams: dict[str, np.ndarray]) -> set[int]:
+    """The beginnings that enough different words of ``docs`` share, and all whole words."""
+    words = sorted({w for words in docs for w in words})
+    seen = Counter(g for w in words for g in grams[w][1:].tolist())
+    return {g for g, n in seen.items() if n >= VARIETY} | {int(grams[w][0]) for w in words}
 
 
-def evidence_of(bags: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
-    """Per bin, how sure its presence speaks for a toxic document (0: not at all)."""
-    has = [np.zeros(EVIDENCE_BINS), np.zeros(EVIDENCE_BINS)]
-    for bag, c in zip(bags, classes):
-        has[c][bag] += 1
+def evidence_of(bags: list[np.ndarray], classes: np.ndarray) -> dict[int, float]:
+    """Word or beginning -> how sure its presence speaks for a toxic document; those below ``LEAST`` are left out."""
+    none = [np.zeros(0, np.int64)]
+    toxic, has = np.unique(np.concatenate(none + [b for b, c in zip(bags, classes) if c == 1]), return_counts=True)
+    clean, has_not = np.unique(np.concatenate(none + [b for b, c in zip(bags, classes) if c == 0]), return_counts=True)
+    other = np.zeros(len(toxic))
+    both, at, of = np.intersect1d(toxic, clean, assume_unique=True, return_indices=True)
+    other[at] = has_not[of]
     n = [max(1, int((classes == c).sum())) for c in (0, 1)]
-    bound = np.log((has[1] + 0.5) / (n[1] + 1)) - np.log((has[0] + 0.5) / (n[0] + 1)) - DOUBT * np.sqrt(1 / (has[1] + 0.5) + 1 / (has[0] + 0.5))
-    return np.where(bound >= LEAST, bound, 0.0)
+    bound = np.log((has + 0.5) / (n[1] + 1)) - np.log((other + 0.5) / (n[0] + 1)) - DOUBT * np.sqrt(1 / (has + 0.5) + 1 / (other + 0.5))
+    return {int(g): float(b) for g, b in zip(toxic, bound) if b >= LEAST}
+
+
+def weight_of(word: str, evidence: dict[int, float]) -> float:
+    return max((evidence.get(g, 0.0) for g in word_grams(word)), default=0.0)
 
 
-def summary(weights: list[float]) -> tuple[float, float, float]:
-    """What the logistic layer reads of a document: its evidence by word."""
-    return (math.log1p(sum(weights)), max(weights, default=0.0), math.log1p(len(weights)))
+def summary(weights: list[float]) -> tuple[float, float]:
+    """What the logistic layer reads of a document: all of its evidence, and the strongest.
+
+    Squares let one certain word outweigh many doubtful ones.
+    """
+    return (math.log1p(sum((w - LEAST) ** 2 for w in weights)), max(weights, default=0.0))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias by damped Newton steps; non-negative evidence keeps its sign."""
+    """Weights and bias by damped Newton steps; evidence never speaks against toxicity."""
     z = np.c_[x, np.ones(len(x))]
     w = np.zeros(z.shape[1])
-    ridge = np.diag([0.05] * x.shape[1] + [1e-3])
+    ridge = np.diag([0.5] * x.shape[1] + [1e-3])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+        w[:-1] = np.maximum(w[:-1], 0)
     return w[:-1], float(w[-1])
 
 
 @dataclass
 class Model:
     chars: CharModel
-    evidence: np.ndarray
+    evidence: dict[int, float]
     layer: tuple[np.ndarray, float]
 
 
@@ -242,51 +273,60 @@ def fit(chars: CharModel, sample: Sample) -> Model:
     classes = np.array(sample.classes, dtype=np.int64)
     if len(set(sample.classes)) < 2:
         share = sample.totals.get(1, 0) / max(1, sum(sample.totals.values()))
-        return Model(chars, np.zeros(EVIDENCE_BINS), (np.zeros(3), math.inf if share == 1 else -math.inf))
-    known: dict[str, tuple[str, ...]] = {}
-    bins: dict[str, np.ndarray] = {}
-    docs = [sorted({w for words in restored_words(chars, t, known) for w in words}) for t in sample.texts]
+        return Model(chars, {}, (np.zeros(2), math.inf if share == 1 else -math.inf))
+    grams: dict[str, np.ndarray] = {}
+    docs = [sorted(restored_words(chars, t)) for t in sample.texts]
     for words in docs:
         for w in words:
-            if w not in bins:
-                bins[w] = np.array(word_bins(w), dtype=np.int64)
-    bags = [np.unique(np.concatenate([bins[w] for w in words])) if words else np.zeros(0, np.int64) for words in docs]
+            if w not in grams:
+                grams[w] = np.array(word_grams(w), dtype=np.int64)
+    bags = [np.unique(np.concatenate([grams[w] for w in words])) if words else np.zeros(0, np.int64) for words in docs]
+    usable = varied([w for w, c in zip(docs, classes) if c], grams)
     half = np.arange(len(docs)) % 2
-    facts = np.zeros((len(docs), 3))
+    facts = np.zeros((len(docs), 2))
     for side in (0, 1):
         learnt = np.flatnonzero(half != side)
         table = evidence_of([bags[i] for i in learnt], classes[learnt])
+        table = {g: b for g, b in table.items() if g in usable}
+        heavy = {w: weight_of(w, table) for i in np.flatnonzero(half == side) for w in docs[i]}
         for i in np.flatnonzero(half == side):
-            weights = [float(table[bins[w]].max()) for w in docs[i]]
-            facts[i] = summary([x for x in weights if x > 0])
+            facts[i] = summary([x for x in map(heavy.__getitem__, docs[i]) if x > 0])
     weights, bias = _logistic(facts, classes)
-    return Model(chars, evidence_of(bags, classes), (weights, bias + prior_shift(sample)))
+    evidence = {g: b for g, b in evidence_of(bags, classes).items() if g in usable}
+    return Model(chars, evidence, (weights, bias + prior_shift(sample)))
 
 
 def score_texts(model: Model, text: Column, spark) -> Column:
     """The probability of class 1 of each whole, restored text."""
-    sent = spark.sparkContext.broadcast((model.chars.counts, model.evidence.astype(np.float32)))
+    sent = spark.sparkContext.broadcast((model.chars.counts, model.evidence))
     layer, bias = model.layer
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counts, evidence = sent.value
         chars = CharModel(counts)
-        known: dict[str, tuple[str, ...]] = {}
-        heavy: dict[str, float] = {}
-
-        def weight(word: str) -> float:
-            found = heavy.get(word)
-            if found is None:
-                if len(heavy) > REMEMBER:
-                    heavy.clear()
-                found = heavy[word] = float(evidence[word_bins(word)].max())
+        known: dict[str, tuple[tuple[str, float], ...]] = {}
+
+        def learn(token: str) -> tuple[tuple[str, float], ...]:
+            """The words of a token that carry evidence."""
+            if len(known) > REMEMBER:
+                known.clear()
+            weights = ((w, weight_of(w, evidence)) for w in readings(chars, token))
+            found = known[token] = tuple((w, x) for w, x in weights if x > 0)
             return found
 
         def one(text: str | None) -> float:
-            distinct = {w for words in set(restored_words(chars, text or "", known)) for w in words}
-            found = [x for x in map(weight, distinct) if x > 0]
-            z = float(np.dot(layer, summary(found))) + bias
+            lower, found = (text or "").lower(), {}
+            for token in set(lower.split()):
+                heavy = known.get(token)
+                if heavy is None:
+                    heavy = learn(token)
+                if heavy:
+                    found.update(heavy)
+            for stretch in SPACED.finditer(lower):
+                weights = ((w, weight_of(w, evidence)) for w in set(joined(chars, stretch.group())))
+                found.update((w, x) for w, x in weights if x > 0)
+            z = float(np.dot(layer, summary(list(found.values())))) + bias
             return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
         for texts in batches:
