@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontaminate, language, licences, mixing, neardup, quality, toxicity, urls
+from lectern.llm import ann, decontaminate, language, licences, main_text, mixing, neardup, quality, toxicity, urls
 from lectern.llm.columns import table
 
 QUERIES: dict = {}
@@ -142,3 +142,14 @@ from d join m on m.x = d.doc_id left join n using (doc_id)"""
 @query("op10_near_duplicates", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_nearest_vectors")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+@query("op2_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
