@@ -8,7 +8,7 @@ Null doc_ids, null texts and repeated rows pass as the operators define.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontaminate, mixing, neardup, quality, toxicity
 from lectern.llm.columns import table
@@ -18,14 +18,12 @@ from lectern.session import ship_package
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    graded = quality.grade(docs, table(spark, sf_dir, "labels"))
-    return graded.where("predicted = 1").select(*docs.columns)
+    return quality.drop_poor(docs, table(spark, sf_dir, "labels"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    graded = toxicity.grade(docs, table(spark, sf_dir, "labels"))
-    return graded.where("predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,15 +135,17 @@ def drop_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFra
     """``docs`` with every hit word removed from the text, the rest of the text untouched."""
     found = judge(docs, items, width).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("spans").alias("_s")).dropDuplicates(["_d", "_t"])
     joined = docs.join(found, _of(docs, found), "left")
+    text, hit = docs["text"], found["_s"]
     cased = LETTER_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{cased}|{gap}"), F.lit(0))
-    first_is_gap = F.col("text").rlike(f"^{gap}").cast("int")  # words and gaps take turns
+    pieces = F.regexp_extract_all(text, F.lit(f"{cased}|{gap}"), F.lit(0))
+    first_is_gap = text.rlike(f"^{gap}").cast("int")  # words and gaps take turns
 
     def keep(piece: Column, i: Column) -> Column:
         word = (i - first_is_gap).cast("int")
-        inside = F.exists(F.col("_s"), lambda s: (F.floor(word / 2) >= s["at"]) & (F.floor(word / 2) < s["at"] + s["len"]))
+        inside = F.exists(hit, lambda s: (F.floor(word / 2) >= s["at"]) & (F.floor(word / 2) < s["at"] + s["len"]))
         return (word % 2 != 0) | ~inside
 
     cleaned = F.array_join(F.filter(pieces, keep), "")
-    return joined.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)
+    text = F.when(hit.isNull(), text).otherwise(cleaned).alias("text")
+    return joined.select(*(text if c == "text" else docs[c] for c in docs.columns))

@@ -173,8 +173,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 rows += chunk(batch.iloc[i : i + TOGETHER].tolist())
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
-    found = docs.withColumn("_found", predict("text"))
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    found = docs.withColumn("_lectern_found", predict("text"))
+    return found.withColumns({"lang_pred": F.col("_lectern_found.lang_pred"), "score": F.col("_lectern_found.score")}).drop("_lectern_found")
 
 
 def held_out(doc_id: Column) -> Column:

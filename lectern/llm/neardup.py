@@ -257,4 +257,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     drop = written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_drop")).distinct(), "copies")
     if drop.count() <= BROADCAST_ROWS:
         drop = F.broadcast(drop)
-    return docs.join(drop, docs["doc_id"] == F.col("_drop"), "left_anti")
+    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")

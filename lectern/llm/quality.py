@@ -153,6 +153,12 @@ def grade(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_c
     return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 
 
+def drop_poor(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """``docs`` without the rows that score below ``GOOD``; columns as they are."""
+    model = fit(labelled(docs, labels, "quality", F.lit(True), per_class))
+    return docs.where(score_texts(model, docs["text"]) >= GOOD)
+
+
 def held_out(doc_id: Column) -> Column:
     """Never true of a null id, which is never learnt from either."""
     return F.coalesce(crc_remainder(doc_id, 5) == 0, F.lit(False))

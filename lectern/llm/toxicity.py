@@ -343,6 +343,12 @@ def grade(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_c
     return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """``docs`` without the rows that score ``TOXIC`` or more; columns as they are."""
+    model = fit(CharModel.fit(docs), labelled(docs, labels, "toxic", F.lit(True), per_class))
+    return docs.where(score_texts(model, docs["text"], docs.sparkSession) < TOXIC)
+
+
 def held_out(doc_id: Column) -> Column:
     """Never true of a null id, which is never learnt from either."""
     return F.coalesce(crc_remainder(doc_id, 3) == 1, F.lit(False))

@@ -89,4 +89,4 @@ def verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, de
 
     parts = pages.withColumn("host", F.coalesce(ascii_lower(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1)), F.lit("")))
     parts = parts.withColumn("path", F.coalesce(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit("")))
-    return parts.withColumn("_found", look_up("host", "path")).withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")
+    return parts.withColumn("_lectern_found", look_up("host", "path")).withColumns({"rule": F.col("_lectern_found.rule"), "verdict": F.col("_lectern_found.verdict")}).drop("_lectern_found")
