@@ -121,7 +121,7 @@ def test_graders_hard_rows(spark, hard_docs, hard_labels, module, keep):
     # nothing to learn from: all stay
     assert getattr(module, keep)(hard_docs, hard_labels.limit(0)).count() == hard_docs.count()
     one_class = hard_labels.where("doc_id = 1")
-    assert all(r.score == pytest.approx(module is quality, abs=1e-12) for r in module.grade(hard_docs, one_class).collect())
+    assert all(r.score == pytest.approx(float(module is quality), abs=1e-12) for r in module.grade(hard_docs, one_class).collect())
 
 
 def test_sample_is_bounded_and_fixed(spark, hard_docs, hard_labels):
