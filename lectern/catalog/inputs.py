@@ -1,8 +1,7 @@
 """How the driver's tables stand for documents, chunks, requests, vectors and events.
 
 Flat mapping: a document is a ``documents.source``, a chunk is one ``documents`` row
-(pos = doc_id, section = lang). A request is a ``benchmark`` row; it goes to every
-document of the library, or to one (``doc_id``) where the operator needs one list.
+(pos = doc_id, section = lang). A request is a ``benchmark`` row; it asks one document.
 """
 
 from __future__ import annotations
@@ -11,17 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.functions import notation, text as T
 
-WIDE = ("documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. A file of one row group is read by one task; where a scan has fewer
-    splits than the session has cores its rows are dealt out first. Tables of many files
-    are read as they lie, without that shuffle.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in WIDE and df.rdd.getNumPartitions() < cores else df
+    """A driver table, as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def derived_section_type(doc_id: Column) -> Column:
@@ -62,20 +53,13 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.withColumn("query", T.expanded_query(F.col("message"), notation.normalize(F.col("message"))))
 
 
-def fan_out(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Ask every query of every document of the library; the result has rows for each pair.
-
-    Queries fall into 32 shards and each document is put into all of them, so the pairs
-    come out of a hash join on the shard, spread over its tasks.
-    """
-    shards = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long")))
-    return queries.withColumn("_shard", F.pmod(F.xxhash64("query_id"), F.lit(32))).join(
-        docs.select("*", shards.alias("_shard")), "_shard"
-    ).drop("_shard").withColumn(
+def addressed(queries: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query asks one document: the source of the row that has the query's number."""
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("doc_id"))
+    return queries.join(asked, "query_id").withColumn(
         "request_id", F.concat_ws("|", F.col("query_id").cast("string"), F.col("doc_id"))
     )
 
 
 def benchmark_requests(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id")).distinct()
-    return fan_out(benchmark_queries(spark, sf_dir), sources).withColumn("k", F.lit(k))
+    return addressed(benchmark_queries(spark, sf_dir), spark, sf_dir).withColumn("k", F.lit(k))

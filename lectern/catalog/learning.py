@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.catalog import sql as Q
 from lectern.catalog.inputs import table
@@ -242,21 +242,24 @@ def token_usage_rollup(spark, sf_dir):
 # ---------------------------------------------------------------- knowledge tracing
 
 _TERMS = f"""
-tm AS (SELECT conv_id AS doc_id, i AS term_no, w[i] AS english, CASE i % 4 WHEN 0 THEN 'Hyponym-of' WHEN 1 THEN 'Used-for' WHEN 2 THEN 'Part-of' ELSE '' END AS relation_type, 0.3 AS p
-  FROM (SELECT conv_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')))[1:8] AS w FROM conversations WHERE turn = 0), generate_series(1, 8) AS g(i) WHERE i <= len(w)),
+tm AS (SELECT conv_id AS doc_id, i AS term_no, w[i] AS english, CASE i % 4 WHEN 0 THEN 'Hyponym-of' WHEN 1 THEN 'Used-for' WHEN 2 THEN 'Part-of' ELSE '' END AS relation_type, CASE WHEN i % 2 = 0 THEN 0.25 ELSE 0.6 END AS p
+  FROM (SELECT conv_id, w, unnest(range(1, len(w) + 1)) AS i FROM
+    (SELECT conv_id, list_sort(list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]{{4,}}'))))) AS w FROM conversations GROUP BY conv_id))),
 tn AS (SELECT conv_id AS doc_id, CASE WHEN role = 'user' THEN lower(text) ELSE '' END AS question, CASE WHEN role = 'assistant' THEN lower(text) ELSE '' END AS answer FROM conversations),
 kn AS (SELECT tm.doc_id, term_no, english, relation_type, least(1.0, p + count(*) FILTER (contains(question, english)) * 0.1 + count(*) FILTER (contains(answer, english)) * 0.05) AS p_known
   FROM tm JOIN tn ON tm.doc_id = tn.doc_id GROUP BY tm.doc_id, term_no, english, relation_type, p)"""
 
 
 def conversation_terms(spark, sf_dir) -> DataFrame:
-    """Up to eight words of a conversation's opening as its terms."""
-    c = table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
-    found = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)))), 1, 8)
-    return c.select(F.col("conv_id").alias("doc_id"), F.posexplode(found).alias("i", "english")).select(
-        "doc_id", (F.col("i") + 1).alias("term_no"), "english",
-        F.element_at(F.array(*[F.lit(v) for v in ("Hyponym-of", "Used-for", "Part-of", "")]), ((F.col("i") + 1) % 4 + 1)).alias("relation_type"),
-        F.lit(0.3).alias("p_known"),
+    """All words of a conversation from four letters on as its terms."""
+    c = table(spark, sf_dir, "conversations")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)))
+    found = c.select(F.col("conv_id").alias("doc_id"), F.explode(words).alias("english")).distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("english"))
+    return found.select("doc_id", number.alias("term_no"), "english").select(
+        "doc_id", "term_no", "english",
+        F.element_at(F.array(*[F.lit(v) for v in ("Hyponym-of", "Used-for", "Part-of", "")]), F.col("term_no") % 4 + 1).alias("relation_type"),
+        F.when(F.col("term_no") % 2 == 0, 0.25).otherwise(0.6).alias("p_known"),
     )
 
 
@@ -546,13 +549,13 @@ def brief_sources(spark, sf_dir):
 
 @query(
     "section_cache_key",
-    f"""WITH RECURSIVE u AS (SELECT conv_id, turn, text[:40] AS s FROM conversations),
+    f"""WITH RECURSIVE u AS (SELECT conv_id, turn, text AS s FROM conversations),
 h AS (SELECT conv_id, turn, s, 0 AS i, CAST(5381 AS BIGINT) AS v FROM u UNION ALL SELECT conv_id, turn, s, i + 1, xor((v * 33) & 4294967295, CAST(unicode(s[i + 1]) AS BIGINT)) FROM h WHERE i < length(s))
 SELECT conv_id, turn, length(s) || ':' || lower(to_base(v, 36)) AS section_hash FROM h WHERE i = length(s)""",
 )
 def section_cache_key(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", A.section_hash(F.left("text", F.lit(40))).alias("section_hash"))
+    return c.select("conv_id", "turn", A.section_hash(F.col("text")).alias("section_hash"))
 
 
 @query(

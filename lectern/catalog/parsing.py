@@ -266,10 +266,10 @@ def page_fragments(spark, sf_dir) -> DataFrame:
     p = line_pages(spark, sf_dir)
     vision = p.where((F.col("doc_id") + F.col("page_num")) % 5 == 0).select(
         "doc_id", F.col("page_num").alias("page"), F.lit(1).alias("fragment_no"), F.lit("vision").alias("source"),
-        F.left("text", F.lit(60)).alias("text"),
+        "text",
         F.when(F.col("doc_id") % 2 == 0, "good").otherwise("weak").alias("quality"),
         F.lit("table").alias("visual_type"), F.array(F.lit("rows"), F.lit(" ")).alias("key_observations"),
-        F.left("text", F.lit(20)).alias("table_summary"),
+        F.col("text").alias("table_summary"),
     )
     both = ocr.unionByName(vision)
     for name in ("formula_summary", "chart_summary", "qa_hint"):
@@ -289,7 +289,7 @@ fr AS (
   SELECT doc_id, page, 0 AS no, 'ocr' AS source, CASE ocr_quality WHEN '' THEN 'failed' ELSE ocr_quality END AS quality, {Q.strip('text')} AS f_text FROM ocr
   UNION ALL
   SELECT doc_id, page_num, 1, 'vision', CASE WHEN doc_id % 2 = 0 THEN 'good' ELSE 'weak' END,
-    {Q.strip(f"concat_ws(chr(10), nullif({Q.strip('text[:60]')}, ''), 'Visual type: table', 'Key observations:' || chr(10) || '- rows', CASE WHEN {Q.strip('text[:20]')} <> '' THEN 'Table summary: ' || {Q.strip('text[:20]')} END)")}
+    {Q.strip(f"concat_ws(chr(10), nullif({Q.strip('text')}, ''), 'Visual type: table', 'Key observations:' || chr(10) || '- rows', CASE WHEN {Q.strip('text')} <> '' THEN 'Table summary: ' || {Q.strip('text')} END)")}
   FROM ln WHERE (doc_id + page_num) % 5 = 0
 ),
 u AS (SELECT fr.*, {Q.strip('ln.text')} AS p_text FROM fr JOIN ln ON fr.doc_id = ln.doc_id AND fr.page = ln.page_num WHERE quality <> 'failed' AND f_text <> ''),
@@ -368,14 +368,22 @@ FROM pq FULL OUTER JOIN v ON pq.doc_id = v.doc_id AND pq.unit_id = v.unit_id""",
 )
 def merge_llm_quality(spark, sf_dir):
     p = line_pages(spark, sf_dir)
-    judged = p.where((F.col("doc_id") + F.col("page_num")) % 3 == 0).select(
+    number = F.col("doc_id") + F.col("page_num")
+    unit = F.concat(F.lit("page_"), (F.col("page_num") + 1).cast("string")).alias("unit_id")
+    judged = p.where(number % 3 == 0).select(
         "doc_id",
-        F.concat(F.lit("page_"), (F.col("page_num") + 1).cast("string")).alias("unit_id"),
+        unit,
+        F.lit(1).alias("item_no"),
         F.lit(0.5).alias("llm_score"),
         F.when(F.col("char_count") >= 100, "good").alias("quality"),
         F.lit("keep").alias("recommended_action"),
         F.lit("model").alias("llm_reason"),
     )
+    first_thought = p.where(number % 6 == 0).select(
+        "doc_id", unit, F.lit(0).alias("item_no"), F.lit(0.1).alias("llm_score"), F.lit("failed").alias("quality"),
+        F.lit("ocr").alias("recommended_action"), F.lit("first thought").alias("llm_reason"),
+    )
+    judged = judged.unionByName(first_thought)
     return quality.merge_model_quality(scored_pages(spark, sf_dir), judged)
 
 
@@ -532,9 +540,10 @@ def question_intent(spark, sf_dir):
 @query(
     "near_duplicate_fingerprint",
     f"""WITH f AS (SELECT doc_id, regexp_replace({Q.squeeze('lower(text)')}, '[^0-9a-z{Q.CJK} ]+', '', 'g')[:320] AS fp FROM documents)
-SELECT min(doc_id) AS doc_id, count(*) - 1 AS suppressed FROM f GROUP BY fp""",
+SELECT min(doc_id) AS doc_id, count(*) - 1 AS suppressed FROM f GROUP BY CASE WHEN fp = '' THEN 'id' || doc_id ELSE fp END""",
 )
 def near_duplicate_fingerprint(spark, sf_dir):
-    """The first of all rows with one fingerprint stays; the aggregate combines map-side."""
+    """The first of all rows with one fingerprint stays, blank ones all stay; sums combine map-side."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fp"))
+    d = d.withColumn("fp", F.when(F.col("fp") == "", F.concat(F.lit("id"), F.col("doc_id").cast("string"))).otherwise(F.col("fp")))
     return d.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), (F.count(F.lit(1)) - 1).alias("suppressed")).drop("fp")

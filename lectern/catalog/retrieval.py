@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.catalog import sql as Q
-from lectern.catalog.inputs import benchmark_queries, benchmark_requests, fan_out, flat_chunks, table
+from lectern.catalog.inputs import addressed, benchmark_queries, benchmark_requests, flat_chunks, table
 from lectern.catalog.registry import Area
 from lectern.functions import fixed as X
 from lectern.functions import notation
@@ -22,8 +22,8 @@ DEPTH = 15  # candidates per request: three times five
 # ---------------------------------------------------------------- SQL stages
 
 BENCH = f"""
-b AS (SELECT item_id, text AS message, CASE WHEN norm <> '' AND norm <> text THEN text || ' ' || norm ELSE text END AS query
-      FROM (SELECT item_id, text, {Q.normalized('text')} AS norm FROM benchmark))"""
+b AS (SELECT item_id, text AS message, source AS asked, CASE WHEN norm <> '' AND norm <> text THEN text || ' ' || norm ELSE text END AS query
+      FROM (SELECT item_id, b.text, source, {Q.normalized('b.text')} AS norm FROM benchmark b JOIN documents ON doc_id = item_id))"""
 
 
 def scoring(tok: str = "SELECT source AS doc, doc_id AS pos, text, lang AS section FROM documents") -> str:
@@ -50,7 +50,7 @@ def ranking(k: int, score: str = "coalesce(s, 0.0)", name: str = "lex") -> str:
     return f"""
 {name} AS (SELECT b.item_id, ch.doc, ch.pos, {Q.settle(score)} AS score, coalesce(nm, 0) AS nm,
     row_number() OVER (PARTITION BY b.item_id, ch.doc ORDER BY {Q.settle(score)} DESC, ch.pos) AS rank
-  FROM b CROSS JOIN ch LEFT JOIN sc ON sc.item_id = b.item_id AND sc.doc = ch.doc AND sc.pos = ch.pos
+  FROM b JOIN ch ON ch.doc = b.asked LEFT JOIN sc ON sc.item_id = b.item_id AND sc.doc = ch.doc AND sc.pos = ch.pos
   QUALIFY rank <= {k})"""
 
 
@@ -114,20 +114,17 @@ def overlap_topk(spark, sf_dir):
     return result(found)
 
 
-# requests of a few rare words: most chunks share none of them, so ties fill the results
-_RARE = f"""
-b AS (SELECT item_id, message, query, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE '' END AS wanted
-  FROM (SELECT item_id, text AS message, array_to_string(list_sort(list_filter({Q.tokens('text')}, lambda t: length(t) >= 10)), ' ') AS query FROM benchmark) WHERE query <> '')"""
+_WANTING = f"""
+b AS (SELECT item_id, b.text AS message, source AS asked, array_to_string(list_sort({Q.tokens('b.text')}), ' ') AS query,
+  CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE '' END AS wanted FROM benchmark b JOIN documents ON doc_id = item_id)"""
 
 
-def rare_word_requests(spark, sf_dir, k: int = 5) -> DataFrame:
-    long_words = F.array_join(F.array_sort(F.filter(T.tokens(F.col("message")), lambda t: F.length(t) >= 10)), " ")
+def section_requests(spark, sf_dir, k: int = 5) -> DataFrame:
+    """Requests that name a section, their words in order."""
     at = F.col("query_id") % 4
-    q = benchmark_queries(spark, sf_dir).withColumn("query", long_words).where(F.col("query") != "").withColumn(
-        "section_id", F.when(at == 0, "en").when(at == 1, "fr").when(at == 2, "de").otherwise("")
-    )
-    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id")).distinct()
-    return scoped(fan_out(q, sources)).withColumn("k", F.lit(k))
+    q = benchmark_queries(spark, sf_dir).withColumn("query", F.array_join(F.array_sort(T.tokens(F.col("message"))), " "))
+    q = q.withColumn("section_id", F.when(at == 0, "en").when(at == 1, "fr").when(at == 2, "de").otherwise(""))
+    return scoped(addressed(q, spark, sf_dir)).withColumn("k", F.lit(k))
 
 
 _BOOSTED = "coalesce(s, 0.0) + CASE WHEN b.wanted = ch.section THEN 2.0 ELSE 0.0 END"
@@ -135,10 +132,10 @@ _BOOSTED = "coalesce(s, 0.0) + CASE WHEN b.wanted = ch.section THEN 2.0 ELSE 0.0
 
 @query(
     "bm25_section_boost",
-    f"WITH {_RARE}, {scoring()}, {QUERY_TERMS}, {SCORES}, {ranking(5, _BOOSTED)} SELECT {OUT} FROM lex",
+    f"WITH {_WANTING}, {scoring()}, {QUERY_TERMS}, {SCORES}, {ranking(5, _BOOSTED)} SELECT {OUT} FROM lex",
 )
 def bm25_section_boost(spark, sf_dir):
-    return result(lexical.search(scoped(flat_chunks(spark, sf_dir)), rare_word_requests(spark, sf_dir)))
+    return result(lexical.search(scoped(flat_chunks(spark, sf_dir)), section_requests(spark, sf_dir)))
 
 
 @query(
@@ -149,7 +146,7 @@ scopes AS (SELECT DISTINCT source, lang FROM documents),
             UNION ALL SELECT source, doc_id, text FROM documents''')},
 {QUERY_TERMS}, {SCORES},
 rq AS (SELECT w.item_id, s.source, CASE WHEN sc2.lang IS NULL THEN s.source ELSE s.source || chr(1) || w.section END AS scope
-  FROM wanted w CROSS JOIN (SELECT DISTINCT source FROM documents) s LEFT JOIN scopes sc2 ON sc2.source = s.source AND sc2.lang = w.section),
+  FROM wanted w JOIN documents s ON s.doc_id = w.item_id LEFT JOIN scopes sc2 ON sc2.source = s.source AND sc2.lang = w.section),
 x AS (SELECT rq.item_id || '|' || rq.source AS request_id, ch.pos, {Q.settle('coalesce(s, 0.0)')} AS score
   FROM rq JOIN ch ON ch.doc = rq.scope LEFT JOIN sc ON sc.item_id = rq.item_id AND sc.doc = rq.scope AND sc.pos = ch.pos)
 SELECT request_id, pos, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pos) AS rank FROM x QUALIFY rank <= 5""",
@@ -169,24 +166,24 @@ _CORE_LIST = f"list_filter(list_distinct({Q.tokens('b.query')}), lambda t: NOT l
 
 @query(
     "courseware_adjust",
-    f"""WITH {_RARE}, {scoring()}, {QUERY_TERMS}, {SCORES},
+    f"""WITH {_WANTING}, {scoring()}, {QUERY_TERMS}, {SCORES},
 x AS (SELECT b.item_id, ch.doc, ch.pos, {_BOOSTED} AS s0, {_CORE_LIST} AS core, {Q.tokens('ch.text')} AS tt,
    {Q.tokens("array_to_string(string_split(ch.text, chr(10))[1:3], chr(10))")} AS head, ch.pos % 4 = 0 AS slide, ch.pos % 3 = 0 AS formula
-  FROM b CROSS JOIN ch LEFT JOIN sc ON sc.item_id = b.item_id AND sc.doc = ch.doc AND sc.pos = ch.pos),
+  FROM b JOIN ch ON ch.doc = b.asked LEFT JOIN sc ON sc.item_id = b.item_id AND sc.doc = ch.doc AND sc.pos = ch.pos),
 y AS (SELECT *, len(list_intersect(core, tt)) AS o, len(list_intersect(core, head)) AS h FROM x),
 z AS (SELECT item_id, doc, pos, {Q.settle("CASE WHEN NOT slide OR len(core) = 0 THEN s0 WHEN o = 0 THEN s0 * 0.35 ELSE s0 + o * 0.5 + h * 1.5 + CASE WHEN formula THEN least(2.0, o * 0.35) ELSE 0.0 END END")} AS score FROM y)
 SELECT item_id || '|' || doc AS request_id, pos, score, row_number() OVER (PARTITION BY item_id, doc ORDER BY score DESC, pos) AS rank FROM z QUALIFY rank <= 5""",
 )
 def courseware_adjust(spark, sf_dir):
-    return result(lexical.search(scoped(flat_chunks(spark, sf_dir)), rare_word_requests(spark, sf_dir), slides=True))
+    return result(lexical.search(scoped(flat_chunks(spark, sf_dir)), section_requests(spark, sf_dir), slides=True))
 
 
 _VARIANTS = f"""
 v AS (SELECT item_id, 0 AS no, text AS variant FROM benchmark
   UNION ALL SELECT item_id, 1, split_part(text, '.', 1) FROM benchmark
   UNION ALL SELECT item_id, 2, array_to_string(string_split(text, ' ')[1:8], ' ') FROM benchmark),
-b AS (SELECT item_id * 10 + no AS item_id, item_id AS qid, no, variant, CASE WHEN norm <> '' AND norm <> variant THEN variant || ' ' || norm ELSE variant END AS query
-  FROM (SELECT *, {Q.normalized('variant')} AS norm FROM v))"""
+b AS (SELECT item_id * 10 + no AS item_id, item_id AS qid, no, variant, source AS asked, CASE WHEN norm <> '' AND norm <> variant THEN variant || ' ' || norm ELSE variant END AS query
+  FROM (SELECT v.*, source, {Q.normalized('variant')} AS norm FROM v JOIN documents ON doc_id = item_id))"""
 
 
 @query(
@@ -206,8 +203,7 @@ def bm25_multi_variant(spark, sf_dir):
         ).alias("variant_no", "variant"),
     )
     wording = wording.withColumn("query", T.expanded_query(F.col("variant"), notation.normalize(F.col("variant"))))
-    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id")).distinct()
-    asked = scoped(fan_out(wording.withColumnRenamed("query_no", "query_id"), sources))
+    asked = scoped(addressed(wording.withColumnRenamed("query_no", "query_id"), spark, sf_dir))
     asked = asked.drop("query_id").withColumnRenamed("request_id", "query_id").withColumn("k", F.lit(5)).withColumn(
         "section_id", F.lit("")
     )
@@ -219,10 +215,10 @@ def bm25_multi_variant(spark, sf_dir):
 
 VECTORS = f"""
 ve AS (SELECT d.source AS doc, e.vec_id AS pos, CAST(embedding AS DOUBLE[]) AS v FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
-qe AS (SELECT item_id, CAST(embedding AS DOUBLE[]) AS qv FROM benchmark JOIN embeddings ON vec_id = item_id),
+qe AS (SELECT item_id, source AS asked, CAST(embedding AS DOUBLE[]) AS qv FROM benchmark JOIN embeddings ON vec_id = item_id JOIN documents ON doc_id = item_id),
 vec AS (SELECT item_id, doc, pos, {Q.settle('greatest(0.0, list_cosine_similarity(qv, v))')} AS score,
   row_number() OVER (PARTITION BY item_id, doc ORDER BY {Q.settle('greatest(0.0, list_cosine_similarity(qv, v))')} DESC, pos) AS rank
-  FROM qe CROSS JOIN ve QUALIFY rank <= {DEPTH})"""
+  FROM qe JOIN ve ON ve.doc = qe.asked QUALIFY rank <= {DEPTH})"""
 
 
 def vector_hits(spark, sf_dir, k: int = DEPTH) -> DataFrame:
@@ -505,7 +501,7 @@ tg AS (SELECT item_id, 1 AS no, lower({Q.squeeze('text')}) AS term, NULL AS lang
   UNION ALL SELECT item_id, 3, NULL, NULL, item_id % 97, CAST(item_id AS VARCHAR) FROM benchmark WHERE item_id % 3 = 0),
 mt AS (SELECT it.item_id, it.doc, it.rank, tg.no FROM it JOIN tg ON it.item_id = tg.item_id
   WHERE coalesce(contains(it.body, tg.term), false) OR coalesce(it.lang = tg.lang, false) OR coalesce(it.page = tg.page, false) OR coalesce(it.cid = tg.cid, false)),
-cs AS (SELECT b.item_id, s.source AS doc FROM b CROSS JOIN (SELECT DISTINCT source FROM documents) s),
+cs AS (SELECT item_id, asked AS doc FROM b),
 ms AS (SELECT cs.item_id, cs.doc, (SELECT count(*) FROM tg WHERE tg.item_id = cs.item_id) AS nt, min(mt.rank) FILTER (mt.rank <= 5) AS er,
    count(DISTINCT mt.no) FILTER (mt.rank <= 5) AS em, count(DISTINCT mt.no) AS cm FROM cs LEFT JOIN mt ON mt.item_id = cs.item_id AND mt.doc = cs.doc GROUP BY ALL),
 mx AS (SELECT item_id || '|' || doc AS case_id, CASE WHEN er IS NULL THEN 0.0 ELSE 1.0 END AS hit_at_k, CASE WHEN cm > 0 THEN 1.0 ELSE 0.0 END AS context_hit_at_k,

@@ -1,22 +1,25 @@
 """Context expansion: neighbours and related chunks of the hits, admitted in order.
 
 Which chunks are related to a hit is found by equi-joins. Which of them enter depends on
-what entered before, so admission walks one request's rows in an Arrow function. Its
-input is bounded: a context holds at most ``limit`` chunks, and of a hit's candidates
-(storage order, copies of a slide removed) at most ``limit`` can be in the context
-already and at most ``limit`` can repeat a slide of it, so the first 3 x limit decide.
+what entered before, so admission goes through one request's hits in an Arrow function.
+
+Its input is bounded without losing a chunk. A chunk goes by its copy: the print of a slide,
+else its id. A context holds at most ``limit`` copies, so of a hit's candidates, one for each
+copy, in storage order, at most ``limit`` are in it already and at most ``limit`` can enter:
+the first 2 x limit decide. The same holds for each key that brings candidates, as a copy
+comes no later in the list of a hit than in the list of the key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions import text as T
 
-MAX_CONTEXT = 120
-REACH = 3 * MAX_CONTEXT
-
 FLAT = (
     "section_id section_type content_type page_start has_formula formula_ids cross_refs referenced_by caption "
     "contextual_prefix"
@@ -28,19 +31,23 @@ def flat(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "pos", "chunk_id", "text", *[F.col(f"metadata.{c}").alias(c) for c in FLAT])
 
 
-def _first_of(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The first REACH candidates of a group in storage order, copies of a slide removed."""
-    slide_copy = F.when(F.col("c_slide") & (F.col("c_print") != ""), F.col("c_print")).otherwise(
-        F.concat(F.lit("#"), F.col("c_pos").cast("string"))
+def _copy(slide: Column, fingerprint: Column, chunk_id: Column) -> Column:
+    return F.when(slide & (fingerprint != ""), F.concat(F.lit("print "), fingerprint)).otherwise(
+        F.concat(F.lit("id "), chunk_id)
     )
-    once = df.withColumn("_copy", slide_copy).groupBy(*keys, "_copy").agg(F.min("c_pos").alias("c_pos"))
+
+
+def _first_of(stored: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The candidates of each asked key that can decide for its largest limit."""
+    wanted = asked.groupBy(*keys).agg(F.max("limit").alias("_limit"))
+    once = stored.groupBy(*keys, "copy").agg(F.min("c_pos").alias("c_pos")).join(wanted, keys)
     ranked = once.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("c_pos")))
-    return ranked.where(F.col("_n") <= REACH + 1).drop("_n", "_copy")
+    return ranked.where(F.col("_n") <= 2 * F.col("_limit") + 1).drop("_n", "_limit")
 
 
 def candidates(hits: DataFrame, requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """request_id, hit_rank, stage, c_pos, factor: what each hit may bring, in scan order."""
-    h = hits.join(requests.select("request_id", "message", "intent"), "request_id").withColumn(
+    h = hits.join(requests.select("request_id", "message", "intent", "limit"), "request_id").withColumn(
         "slide", T.is_slide(F.col("content_type"), F.col("section_type"), F.col("section_id"))
     )
     refs = lambda: F.array_distinct(F.concat("cross_refs", "referenced_by"))
@@ -56,8 +63,9 @@ def candidates(hits: DataFrame, requests: DataFrame, chunks: DataFrame) -> DataF
         refs().alias("c_refs"),
         T.is_slide(F.col("content_type"), F.col("section_type"), F.col("section_id")).alias("c_slide"),
         T.fingerprint(F.col("text")).alias("c_print"),
-    )
-    hit = ["request_id", F.col("rank").alias("hit_rank"), "doc_id", "pos"]
+    ).where(F.coalesce("c_id", F.lit("")) != "")
+    stored = stored.withColumn("copy", _copy(F.col("c_slide"), F.col("c_print"), F.col("c_id")))
+    hit = ["request_id", F.col("rank").alias("hit_rank"), "doc_id", "pos", "limit"]
     near = lambda *offsets: F.explode(F.array(*[F.col("pos") + o for o in offsets])).alias("c_pos")
     result = ["request_id", "hit_rank", "stage", "c_pos", "factor"]
     tag = lambda df, stage, factor: df.withColumn("stage", F.lit(stage)).withColumn("factor", F.lit(factor)).select(*result)
@@ -91,26 +99,21 @@ def candidates(hits: DataFrame, requests: DataFrame, chunks: DataFrame) -> DataF
                 F.array(F.struct(F.col("chunk_id").alias("key"), F.lit("ref").alias("kind"))),
             )
         ).alias("k"),
-    ).select("request_id", "hit_rank", "doc_id", F.col("k.key").alias("key"), F.col("k.kind").alias("kind"))
-    pointed = (
-        stored.select("doc_id", "c_pos", "c_slide", "c_print", F.explode("c_refs").alias("key"), F.lit("ref").alias("kind"))
-        .unionByName(stored.select("doc_id", "c_pos", "c_slide", "c_print", F.col("c_id").alias("key"), F.lit("id").alias("kind")))
-        .join(pointing.select("doc_id", "key", "kind").distinct(), ["doc_id", "key", "kind"], "left_semi")
+    ).select("request_id", "hit_rank", "doc_id", "pos", "limit", F.col("k.key").alias("key"), F.col("k.kind").alias("kind"))
+    pointed = stored.select("doc_id", "c_pos", "copy", F.explode("c_refs").alias("key"), F.lit("ref").alias("kind")).unionByName(
+        stored.select("doc_id", "c_pos", "copy", F.col("c_id").alias("key"), F.lit("id").alias("kind"))
     )
-    by_ref = pointing.join(_first_of(pointed, ["doc_id", "key", "kind"]), ["doc_id", "key", "kind"])
+    by_key = ["doc_id", "key", "kind"]
+    by_ref = pointing.join(_first_of(pointed, pointing, by_key), by_key)
 
     # same section: formula chunks for formula questions, same type for the others
     formula = sectioned.where(F.col("intent") == "formula")
     with_flag = formula.where(F.col("has_formula")).select(*hit, F.col("section_id").alias("c_section"))
-    flagged = stored.where(F.col("c_formula")).join(
-        with_flag.select("doc_id", "c_section").distinct(), ["doc_id", "c_section"], "left_semi"
-    )
-    by_flag = with_flag.join(_first_of(flagged, ["doc_id", "c_section"]), ["doc_id", "c_section"])
+    by_section = ["doc_id", "c_section"]
+    by_flag = with_flag.join(_first_of(stored.where(F.col("c_formula")), with_flag, by_section), by_section)
     with_ids = formula.select(*hit, F.col("section_id").alias("c_section"), F.explode("formula_ids").alias("fid"))
-    carrying = stored.withColumn("fid", F.explode("c_formula_ids")).join(
-        with_ids.select("doc_id", "c_section", "fid").distinct(), ["doc_id", "c_section", "fid"], "left_semi"
-    )
-    by_id = with_ids.join(_first_of(carrying, ["doc_id", "c_section", "fid"]), ["doc_id", "c_section", "fid"])
+    by_formula = ["doc_id", "c_section", "fid"]
+    by_id = with_ids.join(_first_of(stored.withColumn("fid", F.explode("c_formula_ids")), with_ids, by_formula), by_formula)
     typed_hits = sectioned.where(
         ((F.col("intent") == "method") & (F.col("section_type") == "method"))
         | (
@@ -119,75 +122,64 @@ def candidates(hits: DataFrame, requests: DataFrame, chunks: DataFrame) -> DataF
             & (F.col("section_type") != "prose")
         )
     ).select(*hit, F.col("section_id").alias("c_section"), F.col("section_type").alias("c_type"))
-    typed = stored.join(
-        typed_hits.select("doc_id", "c_section", "c_type").distinct(), ["doc_id", "c_section", "c_type"], "left_semi"
-    )
-    by_type = typed_hits.join(_first_of(typed, ["doc_id", "c_section", "c_type"]), ["doc_id", "c_section", "c_type"])
+    by_kind = ["doc_id", "c_section", "c_type"]
+    by_type = typed_hits.join(_first_of(stored, typed_hits, by_kind), by_kind)
 
-    related = tag(by_ref, 0, 0.9)
-    for part in (by_flag, by_id, by_type):
-        related = related.unionByName(tag(part, 0, 0.9))
-    related = related.distinct()
+    related = reduce(DataFrame.unionByName, [p.select("request_id", "hit_rank", "pos", "limit", "copy", "c_pos") for p in (by_ref, by_flag, by_id, by_type)])
+    # one row for each copy of a hit, and no more of them than can decide
+    related = related.where(F.col("c_pos") != F.col("pos")).groupBy("request_id", "hit_rank", "limit", "copy").agg(F.min("c_pos").alias("c_pos"))
     nth = Window.partitionBy("request_id", "hit_rank").orderBy("c_pos")
-    related = related.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= REACH + 1).drop("_n")
+    related = tag(related.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= 2 * F.col("limit")), 0, 0.9)
     return related.unionByName(tag(slides, 0, 0.85)).unionByName(tag(neighbours, 1, 0.85))
 
 
+def _fresh(rows: pd.DataFrame, ids: set[str], copies: set[str]) -> pd.DataFrame:
+    """The first row of each id, then of each copy, that is not in the context yet."""
+    rows = rows[rows["chunk_id"].fillna("") != ""].drop_duplicates("chunk_id").drop_duplicates("copy")
+    return rows[~(rows["chunk_id"].isin(ids) | rows["copy"].isin(copies))]
+
+
 def _admit(pdf: pd.DataFrame) -> pd.DataFrame:
-    limit = int(pdf["limit"].iat[0])
-    hits = pdf[pdf["stage"] < 0].sort_values("hit_rank")
-    offers = pdf[pdf["stage"] >= 0].sort_values(["hit_rank", "stage", "pos"])
-    seen: set[str] = set()
-    prints: set[str] = set()
-    rows: list[tuple] = []
-
-    def add(row, score, source, rank) -> bool:
-        if not row.chunk_id or row.chunk_id in seen or len(rows) >= limit:
-            return False
-        if row.slide and row.print:
-            if row.print in prints:
-                seen.add(row.chunk_id)
-                return False
-            prints.add(row.print)
-        seen.add(row.chunk_id)
-        rows.append((row.request_id, row.doc_id, row.pos, row.chunk_id, score, source, rank, len(rows) + 1))
-        return True
-
-    for row in hits.itertuples(index=False):
-        add(row, row.score, row.source, row.hit_rank)
-    brought: dict[int, int] = {}
-    for row in offers.itertuples(index=False):
-        if len(rows) >= limit:
-            break
-        if row.budget >= 0 and brought.get(row.hit_rank, 0) >= 2 * row.budget:
-            continue
-        if row.pos == row.hit_pos or row.chunk_id in seen:
-            continue
-        if add(row, row.hit_score * row.factor, "context_expanded", len(rows) + 1):
-            brought[row.hit_rank] = brought.get(row.hit_rank, 0) + 1
-    return pd.DataFrame(
-        rows, columns=["request_id", "doc_id", "pos", "chunk_id", "score", "source", "rank", "context_no"]
-    )
+    """The context of one request: its hits, then what each hit in turn may still bring."""
+    room = int(pdf["limit"].iat[0])
+    ids: set[str] = set()
+    copies: set[str] = set()
+    parts = []
+    pdf = pdf.sort_values(["stage", "pos"])
+    for _, rows in pdf.groupby(np.where(pdf["stage"] < 0, -1, pdf["hit_rank"])):
+        if rows["stage"].iat[0] < 0:
+            entering = _fresh(rows.sort_values("hit_rank"), ids, copies)
+        else:
+            entering = _fresh(rows[rows["pos"] != rows["hit_pos"]], ids, copies)
+            if rows["budget"].iat[0] >= 0:
+                entering = entering.head(2 * int(rows["budget"].iat[0]))
+        entering = entering.head(room)
+        room -= len(entering)
+        ids.update(entering["chunk_id"])
+        copies.update(entering["copy"])
+        parts.append(entering)
+    out = pd.concat(parts, ignore_index=True)
+    out["context_no"] = np.arange(1, len(out) + 1)
+    found = out["stage"] < 0
+    out["score"] = np.where(found, out["score"], out["hit_score"] * out["factor"])
+    out["source"] = np.where(found, out["source"], "context_expanded")
+    out["rank"] = np.where(found, out["hit_rank"], out["context_no"])
+    return out[["request_id", "doc_id", "pos", "chunk_id", "score", "source", "rank", "context_no"]]
 
 
 def expand(hits: DataFrame, requests: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``hits`` and ``chunks`` flat, ``requests``: request_id, message, intent, limit (<= 120).
+    """``hits`` and ``chunks`` flat, ``requests``: request_id, message, intent, limit.
 
     Returns request_id, doc_id, pos, chunk_id, score, source, rank, context_no.
     """
-    requests = requests.withColumn(
-        "limit",
-        F.when(F.col("limit") <= MAX_CONTEXT, F.col("limit")).otherwise(
-            F.raise_error(F.lit(f"context limit above {MAX_CONTEXT}"))
-        ),
-    ).where(F.col("limit") > 0)
+    requests = requests.where(F.col("limit") > 0)
     slide = T.is_slide(F.col("content_type"), F.col("section_type"), F.col("section_id"))
     asked = requests.select("request_id", "message", "intent", "limit")
     budget = F.when(slide, T.slide_budget(F.col("intent"), F.col("rank"), F.col("message"))).otherwise(-1)
     base = hits.join(asked, "request_id").select(
         "request_id", "doc_id", "pos", "chunk_id", "score", "source", "limit",
         F.col("rank").alias("hit_rank"), F.lit(-1).alias("stage"), F.lit(1.0).alias("factor"),
-        slide.alias("slide"), T.fingerprint(F.col("text")).alias("print"),
+        _copy(slide, T.fingerprint(F.col("text")), F.col("chunk_id")).alias("copy"),
         F.col("pos").alias("hit_pos"), F.col("score").alias("hit_score"), budget.cast("int").alias("budget"),
     )
     offers = candidates(hits, asked, chunks).withColumnRenamed("c_pos", "pos")
@@ -195,7 +187,7 @@ def expand(hits: DataFrame, requests: DataFrame, chunks: DataFrame) -> DataFrame
         "request_id", "hit_rank", "doc_id", "limit", "hit_pos", "hit_score", "budget"
     )
     offered = offers.join(owner, ["request_id", "hit_rank"]).join(
-        chunks.select("doc_id", "pos", "chunk_id", slide.alias("slide"), T.fingerprint(F.col("text")).alias("print")),
+        chunks.select("doc_id", "pos", "chunk_id", _copy(slide, T.fingerprint(F.col("text")), F.col("chunk_id")).alias("copy")),
         ["doc_id", "pos"],
     ).withColumn("score", F.col("hit_score")).withColumn("source", F.lit("context_expanded"))
     kind = hits.schema["request_id"].dataType.simpleString()

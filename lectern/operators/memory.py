@@ -263,16 +263,14 @@ def knowledge(terms: DataFrame, turns: DataFrame) -> DataFrame:
     ).drop("asked", "explained")
 
 
-def propagate(terms: DataFrame, most: int = 20) -> DataFrame:
+def propagate(terms: DataFrame) -> DataFrame:
     """Pass knowledge on along relations, term by term in list order.
 
-    Later terms see what earlier ones passed on. A document has at most ``most`` terms.
+    Later terms see what earlier ones passed on, so the terms of one document are one list.
     """
     sized = terms.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("term_no", "english", "relation_type", "p_known"))).alias("ts")
     )
-    ok = F.when(F.size("ts") <= most, F.col("ts")).otherwise(F.raise_error(F.lit(f"more than {most} terms in a document")))
-
     def step(acc: Column, i: Column) -> Column:
         src = acc[i]
         active = (src["p_known"] >= 0.7) & (F.coalesce(src["relation_type"], F.lit("")) != "")
@@ -295,7 +293,7 @@ def propagate(terms: DataFrame, most: int = 20) -> DataFrame:
         return F.transform(acc, gain)
 
     walked = F.aggregate(F.sequence(F.lit(0), F.size("ts") - 1), F.col("ts"), step)
-    return sized.withColumn("ts", ok).withColumn("ts", walked).select("doc_id", F.inline("ts"))
+    return sized.withColumn("ts", walked).select("doc_id", F.inline("ts"))
 
 
 def knowledge_gaps(terms: DataFrame, messages: DataFrame) -> DataFrame:

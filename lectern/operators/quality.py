@@ -273,10 +273,12 @@ def job_status(pages: DataFrame, quality_col: str) -> DataFrame:
 def merge_model_quality(quality: DataFrame, judged: DataFrame) -> DataFrame:
     """Model verdicts override four columns of matching units; unknown units are appended.
 
-    ``judged``: doc_id, unit_id, llm_score, quality, recommended_action, llm_reason; a
+    ``judged``: doc_id, unit_id, item_no, llm_score, quality, recommended_action, llm_reason; a
     null there leaves the heuristic value. Of several verdicts the last (``item_no``) counts.
     """
-    q, j = quality.alias("q"), judged.alias("j")
+    said = F.struct("llm_score", "quality", "recommended_action", "llm_reason")
+    last = judged.groupBy("doc_id", "unit_id").agg(F.max_by(said, "item_no").alias("v")).select("doc_id", "unit_id", "v.*")
+    q, j = quality.alias("q"), last.alias("j")
     return q.join(
         j, (F.col("q.doc_id") == F.col("j.doc_id")) & (F.col("q.unit_id") == F.col("j.unit_id")), "full_outer"
     ).select(

@@ -117,6 +117,19 @@ def test_expansion_matches_the_rules(spark):
     assert got == cases
 
 
+def test_a_fresh_chunk_behind_many_copies_is_reached(spark):
+    """Eight references, 400 candidates with 50 texts, and one fresh chunk behind them all."""
+    refs = [f"Figure {i}" for i in range(8)]
+    chunks = [("d", 0, "c0", "the hit", "s", "prose", "table", 0, False, [], refs, [], "", "")]
+    chunks += [("d", i, f"c{i}", f"slide {i % 50}", "slide_1", "slide", "slide", 0, False, [], refs, [], "", "") for i in range(1, 401)]
+    chunks.append(("d", 401, "c401", "fresh", "slide_1", "slide", "slide", 0, False, [], refs[:1], [], "", ""))
+    hits = spark.createDataFrame([(1, 2.0, 1, "bm25", *chunks[0])], "request_id int, score double, rank int, source string, " + CHUNK)
+    for limit, rows in ((60, 52), (200, 52), (20, 20)):
+        requests = spark.createDataFrame([(1, "q", "figure", limit)], "request_id int, message string, intent string, limit int")
+        got = expand.expand(hits, requests, spark.createDataFrame(chunks, CHUNK)).collect()
+        assert len(got) == rows and (limit < 60 or "c401" in {r.chunk_id for r in got})
+
+
 def test_overlap_and_memory_boost(spark):
     hits = spark.createDataFrame(
         [(1, 0, 0.03, 1, "s1", "about graphs"), (1, 1, 0.02, 2, "s2", "Self-Attention layers")],
