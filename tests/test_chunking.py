@@ -83,6 +83,31 @@ def test_references_are_left_out_and_positions_are_dense(spark):
     ]
 
 
+def test_documents_without_a_title_are_chunked_whole(spark):
+    docs = spark.createDataFrame(
+        [(1, "research_paper", "Method\nalpha beta"), (2, "research_paper", "nothing to be found here"), (3, "research_paper", " ")],
+        "doc_id long, doc_subtype string, raw_text string",
+    )
+    toc = spark.createDataFrame([(1, 1, "Method"), (2, 1, "Nowhere"), (3, 1, "Gone")], "doc_id long, section_no int, title string")
+    out = chunking.chunk_by_titles(docs, toc).orderBy("doc_id", "pos").collect()
+    assert [(r.doc_id, r.pos, r.chunk_id, r.text) for r in out] == [
+        (1, 0, "1_1_1_0", "Method\nalpha beta"),
+        (2, 0, "2_0_0", "nothing to be found here"),
+    ]
+
+
+def test_last_verdict_counts(spark):
+    from lectern.operators import quality
+
+    scored = spark.createDataFrame([(1, "u", 0.4, "weak", "ocr")], "doc_id long, unit_id string, overall_score double, quality string, recommended_action string")
+    said = spark.createDataFrame(
+        [(1, "u", 1, 0.9, "good", None, "b"), (1, "u", 0, 0.1, "failed", "ocr", "a"), (1, "new", 0, 0.5, "good", "keep", "c")],
+        "doc_id long, unit_id string, item_no int, llm_score double, quality string, recommended_action string, llm_reason string",
+    )
+    rows = {r.unit_id: tuple(r) for r in quality.merge_model_quality(scored, said).collect()}
+    assert rows == {"u": (1, "u", 0.4, 0.9, "good", "ocr", "b"), "new": (1, "new", None, 0.5, "good", "keep", "c")}
+
+
 def test_slides_fall_back_to_sections(spark):
     docs = spark.createDataFrame([("d", "slides_pdf", "")], "doc_id string, doc_subtype string, raw_text string")
     pages = spark.createDataFrame(
