@@ -24,18 +24,17 @@ def page_number(*candidates: Column) -> Column:
     )
 
 
+def subtype_of(avg_chars: Column, two_column: Column) -> Column:
+    return F.when((avg_chars < X.SLIDES_MAX_CHARS) & ~two_column, "slides_pdf").otherwise("research_paper")
+
+
 def document_subtype(pages: DataFrame) -> DataFrame:
     """slides_pdf where pages are short on average and none has two columns."""
     return pages.groupBy("doc_id").agg(
         F.avg("char_count").alias("avg_chars"),
         F.coalesce(F.bool_or("is_two_column"), F.lit(False)).alias("two_column"),
         F.coalesce(F.bool_or("has_abstract"), F.lit(False)).alias("abstract"),
-    ).withColumn(
-        "doc_subtype",
-        F.when((F.col("avg_chars") < X.SLIDES_MAX_CHARS) & ~F.col("two_column"), "slides_pdf").otherwise(
-            "research_paper"
-        ),
-    )
+    ).withColumn("doc_subtype", subtype_of(F.col("avg_chars"), F.col("two_column")))
 
 
 def text_quality(docs: DataFrame, pages: DataFrame, sections: DataFrame) -> DataFrame:
