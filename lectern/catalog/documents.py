@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.catalog import sql as Q
 from lectern.catalog.inputs import table
@@ -42,32 +42,36 @@ def plain_chunks(spark, sf_dir, max_tokens=None, overlap=None) -> DataFrame:
 
 # ---------------------------------------------------------------- chunking
 
-# A document is one paragraph: whole if it fits, else overlapping word windows. With
-# no wide characters, n words fit while their lengths and blanks stay below 4 * (limit + 1).
-_WINDOWS = f"""
-d AS (SELECT doc_id, {Q.strip('text')} AS s FROM documents WHERE {Q.strip('text')} <> ''),
-ws AS (SELECT doc_id, s, {Q.words('s')} AS w FROM d),
-k AS (SELECT doc_id, i, sum(n + 1) OVER (PARTITION BY doc_id ORDER BY i) AS key FROM (SELECT doc_id, generate_subscripts(w, 1) AS i, length(unnest(w)) AS n FROM ws WHERE length(s) // 4 > 800)),
-lens AS (SELECT doc_id, max(i) AS n FROM k GROUP BY doc_id),
+# A text of one paragraph: whole if it fits, else overlapping word windows. With no wide
+# characters, n words fit while their lengths and blanks stay below 4 * (limit + 1).
+def windows(texts: str, limit: int, overlap: int) -> str:
+    """cks: (u, pos, text), the chunks of each row of ``texts`` (u, s)."""
+    return f"""
+d AS ({texts}),
+ws AS (SELECT u, s, {Q.words('s')} AS w FROM d),
+k AS (SELECT u, i, sum(n + 1) OVER (PARTITION BY u ORDER BY i) AS key FROM (SELECT u, generate_subscripts(w, 1) AS i, length(unnest(w)) AS n FROM ws WHERE length(s) // 4 > {limit})),
+lens AS (SELECT u, max(i) AS n FROM k GROUP BY u),
 win AS (
-  SELECT doc_id, 0 AS no, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, CAST(0 AS HUGEINT) AS key, n FROM lens
+  SELECT u, 0 AS no, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, CAST(0 AS HUGEINT) AS key, n FROM lens
   UNION ALL
-  SELECT doc_id, no + 1, s2, e2, k2, n FROM (
-    SELECT x.doc_id, x.no, x.s2, x.n, max(k.i) AS e2, (SELECT coalesce(max(k3.key), 0) FROM k k3 WHERE k3.doc_id = x.doc_id AND k3.i = x.s2) AS k2 FROM (
-      SELECT doc_id, no, n, CASE WHEN no = 0 THEN 0 ELSE e - least(100, e - s - 1) END AS s2 FROM win WHERE e < n) x
-    JOIN k ON k.doc_id = x.doc_id AND k.i > x.s2 AND (k.i = x.s2 + 1 OR k.key - (SELECT coalesce(max(k4.key), 0) FROM k k4 WHERE k4.doc_id = x.doc_id AND k4.i = x.s2) - 1 < 3204)
+  SELECT u, no + 1, s2, e2, k2, n FROM (
+    SELECT x.u, x.no, x.s2, x.n, max(k.i) AS e2, (SELECT coalesce(max(k3.key), 0) FROM k k3 WHERE k3.u = x.u AND k3.i = x.s2) AS k2 FROM (
+      SELECT u, no, n, CASE WHEN no = 0 THEN 0 ELSE e - least({overlap}, e - s - 1) END AS s2 FROM win WHERE e < n) x
+    JOIN k ON k.u = x.u AND k.i > x.s2 AND (k.i = x.s2 + 1 OR k.key - (SELECT coalesce(max(k4.key), 0) FROM k k4 WHERE k4.u = x.u AND k4.i = x.s2) - 1 < {4 * (limit + 1)})
     GROUP BY ALL)
 ),
 cks AS (
-  SELECT doc_id, 0 AS pos, s AS text FROM ws WHERE length(s) // 4 <= 800
-  UNION ALL SELECT win.doc_id, no - 1, array_to_string(w[s + 1:e], ' ') FROM win JOIN ws ON ws.doc_id = win.doc_id WHERE no > 0
+  SELECT u, 0 AS pos, s AS text FROM ws WHERE length(s) // 4 <= {limit}
+  UNION ALL SELECT win.u, no - 1, array_to_string(w[win.s + 1:win.e], ' ') FROM win JOIN ws ON ws.u = win.u WHERE no > 0
 )"""
-_WINDOWS = _WINDOWS.replace("SELECT win.doc_id, no - 1, array_to_string(w[s + 1:e], ' ')", "SELECT win.doc_id, no - 1, array_to_string(w[win.s + 1:win.e], ' ')")
+
+
+_WINDOWS = windows(f"SELECT doc_id AS u, {Q.strip('text')} AS s FROM documents WHERE {Q.strip('text')} <> ''", 800, 100)
 
 
 @query(
     "chunk_documents",
-    f"WITH RECURSIVE {_WINDOWS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, doc_id || '_0_' || pos AS chunk_id, md5(text) AS digest, CAST({Q.estimate('text')} AS BIGINT) AS tokens FROM cks",
+    f"WITH RECURSIVE {_WINDOWS} SELECT u AS doc_id, CAST(pos AS BIGINT) AS pos, u || '_0_' || pos AS chunk_id, md5(text) AS digest, CAST({Q.estimate('text')} AS BIGINT) AS tokens FROM cks",
 )
 def chunk_documents(spark, sf_dir):
     c = plain_chunks(spark, sf_dir)
@@ -135,14 +139,16 @@ def section_chunks(spark, sf_dir):
 
 @query(
     "slide_chunks",
-    f"""WITH {Q.LINES}, s AS (SELECT doc_id, page_num, {Q.strip('text')} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS n FROM ln WHERE {Q.strip('text')} <> '')
-SELECT doc_id, n - 1 AS pos, doc_id || '_slide_' || page_num || '_0' AS chunk_id, t AS text, 'slide' AS section_type, 'slide' AS content_type, CAST(n AS VARCHAR) AS chapter, page_num AS page_start FROM s""",
+    f"""WITH RECURSIVE {Q.LINES}, sl AS (SELECT doc_id, page_num, {Q.strip('text')} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS n FROM ln WHERE {Q.strip('text')} <> ''),
+{windows("SELECT doc_id * 1000000 + page_num AS u, t AS s FROM sl", 500, 50)}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, pos) - 1 AS pos, doc_id || '_slide_' || page_num || '_' || pos AS chunk_id, text, 'slide' AS section_type, 'slide' AS content_type,
+  CAST(n AS VARCHAR) AS chapter, page_num AS page_start FROM cks JOIN sl ON u = doc_id * 1000000 + page_num""",
 )
 def slide_chunks(spark, sf_dir):
     """Every document as a slide deck, one slide per line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("slides_pdf").alias("doc_subtype"), F.col("text").alias("raw_text"))
     pages = line_pages(spark, sf_dir).withColumn("page_no", F.col("page_num")).withColumn("content_source", F.lit("parser")).withColumn("enhanced", F.lit(False))
-    made = chunking.chunk(chunking.slide_units(docs, pages, no_sections(spark)), max_tokens=1_000_000)
+    made = chunking.chunk(chunking.slide_units(docs, pages, no_sections(spark)))
     return made.select(
         "doc_id", "pos", "chunk_id", "text", "metadata.section_type", "metadata.content_type", "metadata.chapter", "metadata.page_start"
     )
@@ -290,8 +296,11 @@ def store_update_delete(spark, sf_dir):
 # ---------------------------------------------------------------- retrieval from line chunks
 
 _TURNS = f"""
-b AS (SELECT conv_id * 1000 + turn AS item_id, CAST(conv_id AS BIGINT) AS want, message, CASE WHEN norm <> '' AND norm <> message THEN message || ' ' || norm ELSE message END AS query
-  FROM (SELECT conv_id, turn, trim(text, ' ') AS message, {Q.normalized("trim(text, ' ')")} AS norm FROM conversations WHERE role = 'user') JOIN documents d ON d.doc_id = conv_id)"""
+ut AS (SELECT conv_id, text AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role = 'user'),
+cn AS (SELECT max(conv_id) + 1 AS m FROM conversations),
+b AS (SELECT doc_id AS item_id, doc_id AS want, message, CASE WHEN norm <> '' AND norm <> message THEN message || ' ' || norm ELSE message END AS query
+  FROM (SELECT doc_id, trim(said, ' ') AS message, {Q.normalized("trim(said, ' ')")} AS norm
+        FROM documents JOIN cn ON true JOIN ut ON conv_id = doc_id % m AND nth = (doc_id // m) % n))"""
 _LINE_CHUNKS = "SELECT doc_id AS doc, page_num AS pos, text, 's' || (page_num // 3) AS section FROM ln WHERE doc_id IN (SELECT want FROM b)"
 
 
@@ -321,21 +330,24 @@ def line_chunks(spark, sf_dir) -> DataFrame:
 
 
 def turn_requests(spark, sf_dir, top_k: int = 5) -> DataFrame:
-    """User turns asked of the document with the conversation's number."""
-    u = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"))
-    return u.join(docs, "conv_id").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
-        F.col("conv_id").cast("string").alias("doc_id"),
+    """One user turn asked of every document; the conversations are dealt over the documents."""
+    c = table(spark, sf_dir, "conversations")
+    n = (c.agg(F.max("conv_id")).first()[0] or 0) + 1
+    by_turn = Window.partitionBy("conv_id")
+    u = c.where(F.col("role") == "user").select(
+        "conv_id", "text", (F.row_number().over(by_turn.orderBy("turn")) - 1).alias("nth"), F.count(F.lit(1)).over(by_turn).alias("turns")
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % n).alias("conv_id"), F.floor(F.col("doc_id") / n).alias("lap"))
+    return docs.join(u, "conv_id").where(F.col("nth") == F.col("lap") % F.col("turns")).select(
+        F.col("doc_id").alias("request_id"),
+        F.col("doc_id").cast("string").alias("doc_id"),
         F.col("text").alias("message"),
         F.lit(top_k).alias("top_k"),
     )
 
 
-def asked_line_chunks(spark, sf_dir) -> DataFrame:
-    """The chunk table of all documents that a turn is asked of."""
-    asked = turn_requests(spark, sf_dir).select("doc_id").distinct()
-    return written(line_chunks(spark, sf_dir).join(asked, "doc_id", "left_semi"), "line-chunks")
+def written_line_chunks(spark, sf_dir) -> DataFrame:
+    return written(line_chunks(spark, sf_dir), "line-chunks")
 
 
 _LEX = f"""{Q.LINES}, {_TURNS}, {scoring(_LINE_CHUNKS)}, {QUERY_TERMS},
@@ -346,7 +358,7 @@ al AS (SELECT b.item_id, ch.doc, ch.pos, ch.section, b.message, {Q.settle('coale
 
 
 def line_hits(spark, sf_dir, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    chunks = asked_line_chunks(spark, sf_dir).withColumn("scope_id", F.col("doc_id"))
+    chunks = written_line_chunks(spark, sf_dir).withColumn("scope_id", F.col("doc_id"))
     r = turn_requests(spark, sf_dir).withColumn("scope_id", F.col("doc_id")).withColumn("k", F.lit(k))
     r = r.withColumn("message", F.trim("message"))
     r = r.withColumn("query", T.expanded_query(F.col("message"), notation.normalize(F.col("message"))))
@@ -401,17 +413,15 @@ FROM sel JOIN b ON b.item_id = sel.item_id JOIN ch ON ch.doc = b.want AND ch.pos
 )
 def retrieve_evidence(spark, sf_dir):
     """The whole search path: wording, lexical search, rules, cap, diversity, evidence."""
-    got = plan.retrieve(asked_line_chunks(spark, sf_dir), turn_requests(spark, sf_dir), slides=False)
+    got = plan.retrieve(written_line_chunks(spark, sf_dir), turn_requests(spark, sf_dir), slides=False)
     return plan.evidence(got.hits, got.requests).select(
         "request_id", F.col("citation").cast("long").alias("citation"), "chunk_id", "quote", "score"
     )
 
 
 def packed_chunks(spark, sf_dir) -> DataFrame:
-    """Chunks of 120 tokens of the documents that are asked about."""
-    wanted = turn_requests(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    docs = papers(spark, sf_dir).join(wanted, "doc_id", "left_semi")
-    return plan.flat_chunks(chunking.chunk(chunking.paper_units(docs, no_sections(spark)), 120, 20))
+    """Chunks of 120 tokens."""
+    return plan.flat_chunks(chunking.chunk(chunking.whole_units(papers(spark, sf_dir)), 120, 20))
 
 
 @query("retrieve_context")

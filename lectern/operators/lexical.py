@@ -23,7 +23,10 @@ from lectern.functions import text as T
 from lectern.operators.ranking import top_k
 from lectern.operators.stage import written
 
-MAX_K = 400
+
+def greatest_k(requests: DataFrame) -> int:
+    """The largest ``k`` asked for: the literal limit that is pushed below the shuffles."""
+    return int(requests.agg(F.max("k")).first()[0] or 1)
 
 
 def scope_chunks(chunks: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,7 +175,7 @@ def _matches(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     return tokens.join(terms, ["scope_id", "term"]).select("request_id", "pos").distinct()
 
 
-def _fill(chunks: DataFrame, asking: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
+def _fill(chunks: DataFrame, asking: DataFrame, matches: DataFrame, keys: list[str], most: int) -> DataFrame:
     """First k chunks (by pos) of a request's ``keys`` group that share no token with it.
 
     Positions fall into doubling ranges. Counts per range, made with map-side
@@ -197,7 +200,7 @@ def _fill(chunks: DataFrame, asking: DataFrame, matches: DataFrame, keys: list[s
         .select("k", *group, "_range")
     )
     rows = needed.join(ranged, [*keys, "_range"]).join(matches, ["request_id", "pos"], "left_anti")
-    return top_k(rows, group, [F.col("pos")], "k", "_n", most=MAX_K).select("request_id", "pos")
+    return top_k(rows, group, [F.col("pos")], "k", "_n", most=most).select("request_id", "pos")
 
 
 def search(
@@ -221,10 +224,9 @@ def search(
         "scope_id",
         "query",
         F.coalesce("section_id", F.lit("")).alias("section_id"),
-        F.when(F.col("k").between(1, MAX_K), F.col("k"))
-        .otherwise(F.raise_error(F.lit(f"k must lie in 1..{MAX_K}")))
-        .alias("k"),
+        F.when(F.col("k") >= 1, F.col("k")).otherwise(F.raise_error(F.lit("k must be positive"))).alias("k"),
     )
+    most = greatest_k(requests)
     facts = (("section_id",) if section_boost else ()) + (("is_slide", "has_formula") if slides else ())
     has_core = F.size(T.core_tokens(F.col("query"))) > 0 if slides else F.lit(False)
     wanted = requests.select(
@@ -259,7 +261,7 @@ def search(
     carried = ("k",) + (("wanted",) if section_boost else ()) + (("has_core",) if slides else ())
     matched = match_scores(chunks, asked, scoring, slides, facts, carried)
     matched = matched.withColumn("score", T.settle(score)).select(*columns)
-    best = written(top_k(matched, ["request_id"], order, "k", "rank", most=MAX_K), "lexical-best")
+    best = written(top_k(matched, ["request_id"], order, "k", "rank", most=most), "lexical-best")
 
     # Chunks without a shared token all score alike: 0, or the boost when in the section
     # asked for. They matter only where fewer than k matches score above that.
@@ -277,20 +279,20 @@ def search(
         return best.drop("k")
 
     matches = _matches(chunks, unfinished)
-    extra = _fill(chunks, short, matches, ["scope_id"])
+    extra = _fill(chunks, short, matches, ["scope_id"], most)
     if section_boost:
         keys, asking = ["scope_id", "section_id"], short_in_section
         if slides:
             keys = [*keys, "is_slide"]
             asking = asking.withColumn("is_slide", F.explode(F.array(F.lit(True), F.lit(False))))
-        extra = extra.unionByName(_fill(chunks, asking, matches, keys)).distinct()
+        extra = extra.unionByName(_fill(chunks, asking, matches, keys, most)).distinct()
     extra = extra.join(wanted, "request_id")
     if facts:
         extra = extra.join(chunks.select("scope_id", "pos", *facts), ["scope_id", "pos"])
     extra = extra.withColumn("score", T.settle(base)).withColumn("n_matched", F.lit(0).cast("long"))
 
     pool = best.select(*columns).unionByName(extra.select(*columns))
-    return written(top_k(pool, ["request_id"], order, "k", "rank", most=MAX_K).drop("k"), "lexical-filled")
+    return written(top_k(pool, ["request_id"], order, "k", "rank", most=most).drop("k"), "lexical-filled")
 
 
 def search_variants(chunks: DataFrame, requests: DataFrame, slides: bool = False) -> DataFrame:
@@ -322,5 +324,5 @@ def search_variants(chunks: DataFrame, requests: DataFrame, slides: bool = False
         F.max("k").alias("k"),
     )
     return top_k(
-        best, ["query_id"], [F.col("score").desc(), F.col("_seen")], "k", "rank", most=MAX_K
+        best, ["query_id"], [F.col("score").desc(), F.col("_seen")], "k", "rank", most=greatest_k(requests)
     ).drop("_seen", "k")
