@@ -44,26 +44,27 @@ def plain_chunks(spark, sf_dir, max_tokens=None, overlap=None) -> DataFrame:
 
 # A text of one paragraph: whole if it fits, else overlapping word windows. With no wide
 # characters, n words fit while their lengths and blanks stay below 4 * (limit + 1).
-def windows(texts: str, limit: int, overlap: int) -> str:
-    """cks: (u, pos, text), the chunks of each row of ``texts`` (u, s)."""
+def windows(texts: str, limit: int, overlap: int, pieces: str = "", p: str = "") -> str:
+    """{p}cks: (u, pos, text), the chunks of each row of ``texts`` (u, s).
+
+    ``pieces``: what to pack instead of the words of texts over the limit; then all texts are packed.
+    """
+    long = "true" if pieces else f"length(s) // 4 > {limit}"
+    whole = "" if pieces else f"SELECT u, 0 AS pos, s AS text FROM {p}ws WHERE length(s) // 4 <= {limit} UNION ALL"
     return f"""
-d AS ({texts}),
-ws AS (SELECT u, s, {Q.words('s')} AS w FROM d),
-k AS (SELECT u, i, sum(n + 1) OVER (PARTITION BY u ORDER BY i) AS key FROM (SELECT u, generate_subscripts(w, 1) AS i, length(unnest(w)) AS n FROM ws WHERE length(s) // 4 > {limit})),
-lens AS (SELECT u, max(i) AS n FROM k GROUP BY u),
-win AS (
-  SELECT u, 0 AS no, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, CAST(0 AS HUGEINT) AS key, n FROM lens
+{p}ws AS (SELECT u, s, {pieces or Q.words('s')} AS w FROM ({texts})),
+{p}k AS (SELECT u, i, sum(n + 1) OVER (PARTITION BY u ORDER BY i) AS key FROM (SELECT u, generate_subscripts(w, 1) AS i, length(unnest(w)) AS n FROM {p}ws WHERE {long})),
+{p}lens AS (SELECT u, max(i) AS n FROM {p}k GROUP BY u),
+{p}win AS (
+  SELECT u, 0 AS no, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, CAST(0 AS HUGEINT) AS key, n FROM {p}lens
   UNION ALL
   SELECT u, no + 1, s2, e2, k2, n FROM (
-    SELECT x.u, x.no, x.s2, x.n, max(k.i) AS e2, (SELECT coalesce(max(k3.key), 0) FROM k k3 WHERE k3.u = x.u AND k3.i = x.s2) AS k2 FROM (
-      SELECT u, no, n, CASE WHEN no = 0 THEN 0 ELSE e - least({overlap}, e - s - 1) END AS s2 FROM win WHERE e < n) x
-    JOIN k ON k.u = x.u AND k.i > x.s2 AND (k.i = x.s2 + 1 OR k.key - (SELECT coalesce(max(k4.key), 0) FROM k k4 WHERE k4.u = x.u AND k4.i = x.s2) - 1 < {4 * (limit + 1)})
+    SELECT x.u, x.no, x.s2, x.n, max(k.i) AS e2, (SELECT coalesce(max(k3.key), 0) FROM {p}k k3 WHERE k3.u = x.u AND k3.i = x.s2) AS k2 FROM (
+      SELECT u, no, n, CASE WHEN no = 0 THEN 0 ELSE e - least({overlap}, e - s - 1) END AS s2 FROM {p}win WHERE e < n) x
+    JOIN {p}k k ON k.u = x.u AND k.i > x.s2 AND (k.i = x.s2 + 1 OR k.key - (SELECT coalesce(max(k4.key), 0) FROM {p}k k4 WHERE k4.u = x.u AND k4.i = x.s2) - 1 < {4 * (limit + 1)})
     GROUP BY ALL)
 ),
-cks AS (
-  SELECT u, 0 AS pos, s AS text FROM ws WHERE length(s) // 4 <= {limit}
-  UNION ALL SELECT win.u, no - 1, array_to_string(w[win.s + 1:win.e], ' ') FROM win JOIN ws ON ws.u = win.u WHERE no > 0
-)"""
+{p}cks AS ({whole} SELECT win.u, no - 1 AS pos, array_to_string(w[win.s + 1:win.e], ' ') AS text FROM {p}win win JOIN {p}ws ws ON ws.u = win.u WHERE no > 0)"""
 
 
 _WINDOWS = windows(f"SELECT doc_id AS u, {Q.strip('text')} AS s FROM documents WHERE {Q.strip('text')} <> ''", 800, 100)
@@ -154,7 +155,17 @@ def slide_chunks(spark, sf_dir):
     )
 
 
-@query("fact_chunks")
+_FIGURED = "replace(replace(text, ' is ', ' 3' || chr(46) || '5 '), ' are ', ' 42 ')"
+_SENTENCES = f"list_filter(list_transform(regexp_extract_all(s, '[^.!?。！？；]*[.!?。！？；]|[^.!?。！？；]+'), lambda x: {Q.strip('x')}), lambda x: x <> '')"
+
+
+@query(
+    "fact_chunks",
+    f"""WITH RECURSIVE {windows(f"SELECT doc_id AS u, {Q.strip(_FIGURED)} AS s FROM documents WHERE {Q.strip('text')} <> ''", 800, 100)},
+{windows("SELECT u * 100000 + pos AS u, text AS s FROM cks", X.FACT_MAX_TOKENS, 0, _SENTENCES, "f_")},
+f AS (SELECT u // 100000 AS doc_id, u % 100000 AS pos, row_number() OVER (PARTITION BY u ORDER BY pos) - 1 AS fact_no, text FROM f_cks WHERE regexp_matches(text, '\\p{{Nd}}'))
+SELECT doc_id, pos, CAST(fact_no AS INTEGER) AS fact_no, doc_id || '_0_' || pos || '_f' || fact_no AS chunk_id, text, 'fact' AS content_type FROM f""",
+)
 def fact_chunks(spark, sf_dir):
     """Facts in documents whose frequent words were exchanged for figures."""
     d = table(spark, sf_dir, "documents").select(
