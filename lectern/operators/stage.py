@@ -2,7 +2,8 @@
 
 A result that several later steps read is written once, as parquet, in the folder the
 session names in ``spark.checkpoint.dir``. It survives lost executors, cuts the
-lineage, and its true size drives the planner's later join choices.
+lineage, and its true size drives the planner's later join choices. All of an application's
+tables lie in one folder, ``lectern-<application id>``, to be dropped with it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from lectern.session import shared_dir
 
 def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lectern-{label}-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark).rstrip('/')}/lectern-{application}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -38,6 +38,13 @@ def local_session(cores: int | str = 8, app: str = "lectern", **extra: str) -> S
 
 
 _shipped: set[str] = set()
+#: Local folders of this process; they go when it ends.
+_own: list[tempfile.TemporaryDirectory] = []
+
+
+def _own_folder(prefix: str) -> str:
+    _own.append(tempfile.TemporaryDirectory(prefix=prefix, dir="/tmp", ignore_cleanup_errors=True))
+    return _own[-1].name
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -47,7 +54,7 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    base = Path(tempfile.mkdtemp(prefix="lectern-package-")) / "lectern"
+    base = Path(_own_folder("lectern-package-")) / "lectern"
     tree = base.parent / "tree"
     shutil.copytree(package, tree / package.name, ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(str(base), "zip", tree))
@@ -72,6 +79,6 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not is_local(spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="lectern-", dir="/tmp")
+    made = _own_folder("lectern-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
