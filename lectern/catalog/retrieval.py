@@ -410,9 +410,11 @@ def model_rerank(spark, sf_dir):
     return result(scored, "source")
 
 
-# one list per item over all documents, so that the cap and the diversity step have work to do
+# one list for several items, and so over several documents, so that the cap and the diversity step have work to do
+LISTS_POOLED = 6
 POOL = f"""{FLAT_LEX}, {ranking(DEPTH)},
-pool AS (SELECT item_id, doc, pos, lang, {Q.settle('score / 100', 9)} AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pos) AS rank FROM lex JOIN documents d ON d.doc_id = lex.pos),
+several AS (SELECT item_id % {LISTS_POOLED} AS item_id, doc, pos, lang, max(score) AS score FROM lex JOIN documents d ON d.doc_id = lex.pos GROUP BY ALL),
+pool AS (SELECT item_id, doc, pos, lang, {Q.settle('score / 100', 9)} AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pos) AS rank FROM several),
 cap AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY item_id, doc ORDER BY rank) <= 3)"""
 
 
@@ -420,7 +422,8 @@ def pooled_hits(spark, sf_dir) -> DataFrame:
     from lectern.operators.ranking import ranked
 
     hits = with_content(lexical_hits(spark, sf_dir), spark, sf_dir, "chunk_id", "section_id")
-    pool = hits.withColumn("request_id", F.split_part("request_id", F.lit("|"), F.lit(1)))
+    group = (F.split_part("request_id", F.lit("|"), F.lit(1)).cast("long") % LISTS_POOLED).cast("string")
+    pool = hits.withColumn("request_id", group).groupBy("request_id", "doc_id", "pos", "chunk_id", "section_id").agg(F.max("score").alias("score"))
     pool = ranked(pool, ["request_id"], [F.col("score").desc(), F.col("pos")])
     return pool.withColumn("score", T.settle(F.col("score") / 100, 9))
 
