@@ -343,20 +343,23 @@ bo AS (SELECT item_id, doc, pos, text, lang, CASE WHEN known THEN s1 * 1.2 + 2.0
 mb AS (SELECT item_id, doc, pos, text, lang, score, row_number() OVER (PARTITION BY item_id, doc ORDER BY score DESC, old) AS rank FROM bo)"""
 
 
-def boosted_hits(spark, sf_dir) -> DataFrame:
-    hits = with_content(
-        hybrid_hits(spark, sf_dir), spark, sf_dir,
-        "chunk_id", "text", "section_id", "section_type", "difficulty_score", "content_type", "page_start",
-    )
+def memory_hints(spark, sf_dir) -> DataFrame:
     at = F.col("query_id") % 3
     words = T.tokens(F.col("message"))
     word = lambda i: F.coalesce(F.try_element_at(words, F.lit(i)), F.lit(""))
-    hints = benchmark_requests(spark, sf_dir).select(
+    return benchmark_requests(spark, sf_dir).select(
         "request_id",
         F.when(at == 0, "en").when(at == 1, "fr").otherwise("").alias("current_section_id"),
         F.array(word(5), F.concat(word(1), F.lit(" "), word(2))).alias("concepts"),
     )
-    return fusion.memory_boost(hits, hints)
+
+
+def boosted_hits(spark, sf_dir) -> DataFrame:
+    hits = with_content(
+        hybrid_hits(spark, sf_dir), spark, sf_dir,
+        "chunk_id", "text", "section_id", "section_type", "difficulty_score", "content_type", "page_start",
+    )
+    return fusion.memory_boost(hits, memory_hints(spark, sf_dir))
 
 
 @query("memory_boost", f"{BOOST} SELECT item_id || '|' || doc AS request_id, pos, {Q.settle('score')} AS score, CAST(rank AS BIGINT) AS rank FROM mb")
@@ -550,3 +553,47 @@ def retrieval_metrics_cases(spark, sf_dir):
 )
 def retrieval_metrics(spark, sf_dir):
     return evaluate.summary(case_metrics(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- the whole path, both searches
+
+# a chunk without a score that shares words with the message scores their number
+_SHARED = f"""lex AS (SELECT item_id, doc, pos, nm, score, row_number() OVER (PARTITION BY item_id, doc ORDER BY score DESC, seen) AS rank FROM
+  (SELECT lex0.item_id, doc, pos, nm, rank AS seen, CASE WHEN score <= 0 AND shared > 0 THEN shared ELSE score END AS score FROM
+    (SELECT lex0.*, len(list_intersect({Q.tokens('message')}, {Q.tokens('d.text')})) AS shared FROM lex0 JOIN b USING (item_id) JOIN documents d ON d.doc_id = lex0.pos) lex0))"""
+HYBRID_PATH = (
+    BOOST.replace("WITH", "WITH RECURSIVE", 1).replace(ranking(DEPTH), ranking(20, name="lex0") + ", " + _SHARED).replace(f"rank <= {DEPTH}", "rank <= 20")
+    + f""",
+ra AS (SELECT *, score * {_WEIGHT} * (1.0 - abs(CASE WHEN length(text) < 1000 THEN 0.3 WHEN length(text) < 3000 THEN 0.5 ELSE 0.8 END - 0.5) * 0.5) AS a FROM mb),
+rr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {Q.settle('a', 9)} DESC, rank) AS r2 FROM ra),
+capm AS MATERIALIZED (SELECT * FROM rr WHERE r2 <= 3),
+sel AS (
+  SELECT item_id, doc, 0 AS step, CAST([] AS BIGINT[]) AS picked, CAST([] AS VARCHAR[]) AS secs, CAST(-1 AS BIGINT) AS pos, CAST(0 AS DOUBLE) AS score FROM (SELECT DISTINCT item_id, doc FROM capm)
+  UNION ALL
+  SELECT item_id, doc, step, picked, secs, pos, score FROM (
+    SELECT s.item_id, s.doc, s.step + 1 AS step, list_append(s.picked, c.pos) AS picked, list_append(s.secs, c.lang) AS secs, c.pos, c.a AS score,
+      row_number() OVER (PARTITION BY s.item_id ORDER BY floor((0.7 * c.a - (1.0 - 0.7) * (0.3 * len(s.picked) + 0.1 * len(list_filter(s.secs, lambda d: d = c.lang)))) * 1e9 + 0.5) DESC, c.r2) AS rn
+    FROM sel s JOIN capm c ON c.item_id = s.item_id WHERE NOT list_contains(s.picked, c.pos)) WHERE rn = 1
+)
+SELECT item_id || '|' || doc AS request_id, pos, {Q.settle('score')} AS score, CAST(step AS BIGINT) AS rank FROM sel WHERE step > 0"""
+)
+
+
+@query("retrieve_hybrid", HYBRID_PATH)
+def retrieve_hybrid(spark, sf_dir):
+    """Wording, lexical and vector search, fusion, memory boost, rules, cap and diversity through the plan."""
+    from lectern.plans.retrieval import retrieve
+
+    none = F.array().cast("array<string>")
+    chunks = flat_chunks(spark, sf_dir)
+    for name in ("formula_ids", "cross_refs", "referenced_by"):
+        chunks = chunks.withColumn(name, none)
+    chunks = chunks.withColumn("caption", F.lit("")).withColumn("contextual_prefix", F.lit(""))
+    requests = benchmark_requests(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    stored = chunks.select("doc_id", "pos").join(e, F.col("pos") == F.col("vec_id")).select("doc_id", "pos", "embedding")
+    asked = requests.join(e, F.col("query_id") == F.col("vec_id")).select("request_id", "embedding")
+    got = retrieve(
+        chunks, requests.select("request_id", "doc_id", "message"), vectors=stored, request_vectors=asked, hints=memory_hints(spark, sf_dir), slides=False
+    )
+    return result(got.hits.withColumn("score", T.settle(F.col("score"))))
