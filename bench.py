@@ -17,19 +17,20 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 HEADLINE = (
     "tokenize_counts text_quality_diagnosis page_quality enhancement_decision enhancement_merge "
     "near_duplicate_fingerprint chunk_documents semantic_blocks bm25_topk_by_source bm25_document_search "
-    "vector_topk rrf_fuse mmr_rerank retrieve_evidence retrieve_context retrieval_metrics understanding_l0_l1 "
+    "vector_topk rrf_fuse mmr_rerank retrieve_evidence retrieve_context retrieve_hybrid retrieval_metrics understanding_l0_l1 "
     "concept_memory concept_state_stream"
 ).split()
 
 
 def main() -> None:
     from lectern.catalog import all_queries
-    from lectern.session import local_session
+    from lectern.session import local_session, ship_package
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, app="bench")
+    ship_package(spark)
     queries = all_queries()
     spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     times: dict[str, float] = {}
