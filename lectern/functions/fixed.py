@@ -11,8 +11,9 @@ TOKEN = f"([{CJK}]|[a-zA-Z0-9]+)"
 
 # ---- fixed values: query stop words ----
 QUERY_STOPWORDS = (
-    "a an and are as be by for from how in is it of on or the to what when where which why with"
-).split()
+    "a", "an", "and", "are", "as", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or",
+    "the", "to", "what", "when", "where", "which", "why", "with",
+)
 
 # ---- fixed values: BM25 and fusion constants ----
 BM25_K1 = 1.5
@@ -144,8 +145,9 @@ SYMBOL_NAMES = {
     "′": " prime ", "’": " prime ",
 }
 MATH_WORDS = (
-    "alpha beta gamma lambda mu sigma theta dot times sqrt sum integral softmax argmax log loss matrix"
-).split()
+    "alpha", "beta", "gamma", "lambda", "mu", "sigma", "theta", "dot", "times", "sqrt", "sum", "integral",
+    "softmax", "argmax", "log", "loss", "matrix",
+)
 MATH_LIKE = r"[\$\\=+\-*/^_{}()\[\]<>≤≥≠≈∙·⋅×⊙√∑Σ∫∞𝒂-𝒛𝑨-𝒁𝑎-𝑧𝛼-𝜔α-ω]"
 MATH_OPERATORS = r"[=+*/^_≤≥≠≈∙·⋅×⊙√∑Σ∫]"
 MATH_TERMS = (r"\bq\s+dot\s+k\b", r"\bk\s+transpose\b", r"\bsoftmax\b", r"\balpha\b")
@@ -174,9 +176,9 @@ CONCEPT_PHRASES = (
     "transformer architecture",
 )
 CONCEPT_STOPWORDS = (
-    "what is are the a an of and or to in on how why does do this that with for about explain "
-    "please use used here there"
-).split()
+    "what", "is", "are", "the", "a", "an", "of", "and", "or", "to", "in", "on", "how", "why", "does", "do",
+    "this", "that", "with", "for", "about", "explain", "please", "use", "used", "here", "there",
+)
 NEEDS_REVIEW = "不理解|不会|困惑|看不懂|confus|struggl|formula|公式|推导"
 SIGNALS_KEPT = 20
 ACTIONS_KEPT = 8
