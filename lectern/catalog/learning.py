@@ -352,7 +352,7 @@ def key_terms(spark, sf_dir):
     return o.select("doc_id", F.array_join(analysis.key_terms(F.col("opening")), ",").alias("terms"))
 
 
-_SECTION_ROWS = f"sr AS (SELECT doc_id, page_num + 1 AS no, 1 + (page_num * 7 + doc_id) % 3 AS level, CASE WHEN {Q.strip('text[:20]')} = '' THEN 'n' || page_num ELSE {Q.strip('text[:20]')} END AS title FROM ln WHERE page_num < 30)"
+_SECTION_ROWS = f"sr AS (SELECT doc_id, page_num + 1 AS no, 1 + (page_num * 7 + doc_id) % 3 AS level, CASE WHEN {Q.strip('text')} = '' THEN 'n' || page_num ELSE {Q.strip('text')} END AS title FROM ln WHERE page_num < 30)"
 
 
 @query(
@@ -364,7 +364,7 @@ SELECT doc_id, 'graph TD' || chr(10) || '  doc["' || doc_id || '"]' || chr(10) |
 )
 def outline(spark, sf_dir):
     p = line_pages(spark, sf_dir)
-    title = T.strip(F.left("text", F.lit(20)))
+    title = T.strip(F.col("text"))
     sections = p.select(
         "doc_id", (F.col("page_num") + 1).alias("section_no"),
         F.concat(F.lit("n"), F.col("page_num").cast("string")).alias("section_id"), title.alias("title"),
@@ -373,19 +373,23 @@ def outline(spark, sf_dir):
     return analysis.outline(table(spark, sf_dir, "documents").select("doc_id"), sections)
 
 
-_L = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text[:50] ELSE '' END AS l0, CASE WHEN doc_id % 3 = 0 THEN text[:90] ELSE '' END AS l1, doc_id % 5 = 0 AS detail FROM documents"
+# the layers of understanding, each missing for some documents
+_L = f"""SELECT doc_id, section_id, CASE WHEN n % 2 = 0 THEN l0 ELSE '' END AS l0, CASE WHEN n % 3 = 0 THEN l1 ELSE '' END AS l1, n % 5 = 0 AS detail FROM
+  (SELECT source AS doc_id, lang AS section_id, CAST(source[4:] AS INTEGER) AS n, {Q.squeeze("string_agg(text, ' ' ORDER BY doc_id)")}[:220] AS l0, {Q.squeeze("string_agg(text, ' ' ORDER BY doc_id)")}[:900] AS l1
+   FROM documents GROUP BY ALL)"""
 
 
 @query(
     "layer_resolution",
-    f"""SELECT doc_id, CASE WHEN l0 <> '' AND NOT detail THEN l0 WHEN l1 <> '' THEN l1 WHEN l0 <> '' THEN l0 ELSE '' END AS content,
+    f"""SELECT doc_id, section_id, CASE WHEN l0 <> '' AND NOT detail THEN l0 WHEN l1 <> '' THEN l1 WHEN l0 <> '' THEN l0 ELSE '' END AS content,
  CASE WHEN l0 <> '' AND NOT detail THEN 'L0' WHEN l1 <> '' THEN 'L1' WHEN l0 <> '' THEN 'L0+L2' ELSE 'L2' END AS layer FROM ({_L})""",
 )
 def layer_resolution(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    l0 = F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(50))).otherwise("")
-    l1 = F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(90))).otherwise("")
-    return d.select("doc_id", analysis.resolve_layer(l0, l1, F.col("doc_id") % 5 == 0).alias("r")).select("doc_id", "r.*")
+    made = analysis.layers(library_sections(spark, sf_dir), library_chunks(spark, sf_dir))
+    n = F.substring("doc_id", 4, 9).cast("int")
+    l0 = F.when(n % 2 == 0, F.col("l0")).otherwise("")
+    l1 = F.when(n % 3 == 0, F.col("l1")).otherwise("")
+    return made.select("doc_id", "section_id", analysis.resolve_layer(l0, l1, n % 5 == 0).alias("r")).select("doc_id", "section_id", "r.*")
 
 
 @query(
