@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.catalog import sql as Q
@@ -304,6 +306,36 @@ def store_update_delete(spark, sf_dir):
     return store.read("documents").select("doc_id", "status", "n_chars")
 
 
+@query(
+    "delete_cascade",
+    f"""WITH {Q.LINES}, n AS (SELECT doc_id, count(*) AS n FROM ln GROUP BY doc_id)
+SELECT 'documents' AS artifact, CAST(d.doc_id AS VARCHAR) AS doc_id, 1 AS n_rows, n.n AS value FROM documents d JOIN n ON n.doc_id = d.doc_id WHERE d.doc_id % 5 > 0
+UNION ALL SELECT 'chunks', CAST(doc_id AS VARCHAR), n, n - 1 FROM n WHERE doc_id % 5 > 0
+UNION ALL SELECT 'vectors', CAST(vec_id AS VARCHAR), 1, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END FROM embeddings WHERE vec_id % 5 > 0
+UNION ALL SELECT 'learning_events', CAST(conv_id AS VARCHAR), count(*), max(turn) FROM conversations WHERE conv_id % 5 > 0 GROUP BY conv_id""",
+)
+def delete_cascade(spark, sf_dir):
+    """Documents, chunks, vectors and events in a store; vectors indexed again; a fifth deleted everywhere."""
+    import uuid
+
+    store = Store(spark, f"{shared_dir(spark).rstrip('/')}/lectern-store-{uuid.uuid4().hex}")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("num_chunks"))
+    store.replace("documents", d)
+    store.save_chunks(line_chunks(spark, sf_dir).select("doc_id", "pos", "chunk_id", "text"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding", F.lit(1).alias("version"))
+    store.replace("vectors", v)
+    store.replace("vectors", v.where(F.col("doc_id").cast("long") % 2 == 0).withColumn("version", F.lit(2)))
+    store.append("learning_events", table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), "turn"))
+    every = d.select("doc_id").union(v.select("doc_id")).distinct()
+    store.delete(every.where(F.col("doc_id").cast("long") % 5 == 0))
+    kept = {"documents": "num_chunks", "chunks": "pos", "vectors": "version", "learning_events": "turn"}
+    counted = [
+        store.read(name).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(value).cast("long").alias("value")).select(F.lit(name).alias("artifact"), "*")
+        for name, value in kept.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 # ---------------------------------------------------------------- retrieval from line chunks
 
 _TURNS = f"""

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 BUCKETS = 64
+#: Tasks, and so files, among which the rows of a rewritten bucket are dealt.
+SPREAD = 8
 ARTIFACTS = (
     "documents parsed_docs doc_pages doc_sections section_summaries chunks vectors page_quality ocr_pages "
     "vision_pages understanding analysis_meta briefs translations learning_events concept_memory term_log "
@@ -57,7 +59,9 @@ class Store:
         from lectern.operators.stage import written
 
         staged = written(rows, f"store-{artifact}")
-        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        # a bucket is written by several tasks, so that a large document or bucket is not one task's work
+        part = ["doc_id", "pos"] if "pos" in rows.columns else ["doc_id"]
+        staged.repartition("bucket", F.pmod(F.xxhash64(*part), F.lit(SPREAD))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "bucket"
         ).parquet(self.path(artifact))
 
