@@ -39,9 +39,3 @@ def hard_docs(spark):
 def hard_labels(spark):
     rows = [(1, 1, 0), (1, 1, 0), (3, 0, 0), (5, None, 1), (7, 0, 1), (None, 1, 1), (9, 1, None), (99, 0, 0)]
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int").withColumn("text", F.lit("mine"))
-
-
-def same_rows(kept, docs) -> None:
-    """``kept`` has rows of ``docs``, untouched."""
-    assert kept.columns == docs.columns
-    assert kept.exceptAll(docs).isEmpty()

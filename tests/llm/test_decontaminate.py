@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from conftest import same_rows  # noqa: F401
+from llm_helpers import same_rows
 
 from lectern.llm import catalog, decontaminate
 

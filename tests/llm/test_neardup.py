@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import same_rows
+from llm_helpers import same_rows
 from pyspark.sql import functions as F
 
 from lectern.llm import graph, neardup

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from conftest import same_rows
+from llm_helpers import same_rows
 
 from lectern.llm import decontaminate, neardup, quality, toxicity
 
