@@ -28,6 +28,8 @@ WIDTH = 13
 SHARE = 20
 #: Estimated size up to which benchmark windows are broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Keys of contaminated rows up to which they are broadcast: 32 bytes each.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass
@@ -126,9 +128,15 @@ def _of(docs: DataFrame, found: DataFrame):
 
 
 def drop_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """``docs`` without the contaminated rows, columns as they are."""
+    """``docs`` without the contaminated rows, columns as they are.
+
+    The rows to drop are written and counted first: up to ``BROADCAST_ROWS`` of them no text is
+    shuffled to find them.
+    """
     bad = judge(docs, items, width, share).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
-    return docs.join(bad, _of(docs, bad), "left_anti")
+    bad = written(bad, "contaminated")
+    small = F.broadcast if bad.count() <= BROADCAST_ROWS else (lambda df: df)
+    return docs.join(small(bad), _of(docs, bad), "left_anti")
 
 
 def drop_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
