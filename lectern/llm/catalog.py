@@ -81,9 +81,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_canonical(text: str) -> str:
     out = f"translate(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = f"regexp_replace({out}, '{licences.COPYRIGHT_LINE}', '', 'g')"
+    out = f"'  ' || replace(regexp_replace({out}, '{licences.NOT_WORD}', '  ', 'g'), chr(10), '  ' || chr(10) || '  ') || '  '"
     for spelling, one in licences.SPELLINGS:
-        out = f"regexp_replace({out}, '\\b{spelling}\\b', '{one}', 'g')"
-    return f"trim(regexp_replace({out}, '{licences.NOT_WORD}', ' ', 'g'))"
+        padded = spelling.replace(" ", "  ")
+        out = f"replace({out}, ' {padded} ', ' {one} ')"
+    return f"trim(regexp_replace({out}, '[ \\n]+', ' ', 'g'), ' ')"
 
 
 def _sql_texts() -> str:

@@ -1,7 +1,7 @@
 """Licence scans: whole texts, made canonical, hash-joined to the digests of known licences.
 
-Canonical form: ASCII lower case; lines that only state a copyright dropped; equivalent
-spellings made one; everything but letters and digits turned into single spaces. Two texts
+Canonical form: ASCII lower case; lines that only state a copyright dropped; everything but
+letters and digits turned into single spaces; equivalent spellings made one. Two texts
 that differ in case, punctuation, layout, holder or year then share one SHA-256. The digest
 of each document's whole text and of each of its lines (a notice is a whole text of one
 line) meets the known digests in a hash join.
@@ -17,7 +17,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lectern.llm.columns import ascii_lower
+from lectern.llm.columns import ascii_lower, once
 
 #: Public licence texts and notices.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -34,12 +34,12 @@ KNOWN = {
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0."),
 }
-#: (spelling, the one it stands for), applied to whole words of the lower-cased text.
+#: (spelling, the one it stands for), words of the lower-cased text without its punctuation.
 SPELLINGS = (
     ("licence", "license"),
     ("licenced", "licensed"),
     ("sublicence", "sublicense"),
-    ("non-infringement", "noninfringement"),
+    ("non infringement", "noninfringement"),
     ("organisation", "organization"),
     ("per cent", "percent"),
     ("owner", "holder"),
@@ -47,20 +47,33 @@ SPELLINGS = (
 )
 #: A line that only states a copyright: the word or sign, then a year or a sign.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4})[^\n]*$"
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: All ASCII but letters, digits and line ends.
+NOT_WORD = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def canonical(text: Column) -> Column:
+    """The canonical text, its lines still apart and padded: words stand between two spaces each,
+    so that a spelling is replaced by plain search."""
     out = F.regexp_replace(ascii_lower(F.regexp_replace(text, "\r\n?", "\n")), COPYRIGHT_LINE, "")
+    out = F.concat(F.lit("  "), F.regexp_replace(out, NOT_WORD, "  "), F.lit("  "))
+    out = F.replace(out, F.lit("\n"), F.lit("  \n  "))
     for spelling, one in SPELLINGS:
-        out = F.regexp_replace(out, rf"\b{spelling}\b", one)
-    return F.trim(F.regexp_replace(out, NOT_WORD, " "))
+        padded = spelling.replace(" ", "  ")
+        out = F.replace(out, F.lit(f" {padded} "), F.lit(f" {one} "))
+    return out
+
+
+def _single(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "[ \n]+", " "))
+
+
+def _sha(plain: Column) -> Column:
+    return F.when(plain != "", F.sha2(plain, 256))
 
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical text; null where nothing is left of it."""
-    plain = canonical(text)
-    return F.when(plain != "", F.sha2(plain, 256))
+    return once(_single(canonical(text)), _sha)
 
 
 def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KNOWN) -> DataFrame:
@@ -76,9 +89,14 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     The digests of a row travel as small rows of their own; the text leaves the scan for no
     shuffle. ``known`` is joined without a hint, so its measured size decides on a broadcast.
     """
-    # a line without a letter or digit has no digest; most lines cannot be a notice, but all are looked up
-    line_digests = F.transform(F.split("text", "\r\n?|\n"), digest)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), digest(F.col("text")).alias("digest"), F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), digest(F.col("text")).alias("d"))), F.coalesce(F.transform(F.filter(line_digests, lambda d: d.isNotNull()), lambda d: F.struct(F.lit(False).alias("whole"), d.alias("d"))), F.array().cast("array<struct<whole:boolean,d:string>>")))).alias("part"))
+    # the text is made canonical once; its lines and the whole follow from that
+    lines = lambda c: F.transform(F.filter(F.transform(F.split(c, "\n"), _single), lambda t: t != ""), lambda t: F.sha2(t, 256))
+    digests = once(canonical(F.col("text")), lambda c: F.struct(once(_single(c), _sha).alias("whole"), lines(c).alias("lines")))
+    read = docs.select("doc_id", F.xxhash64("text").alias("text_key"), digests.alias("_d"))
+    one = F.array(F.struct(F.lit(True).alias("whole"), F.col("_d.whole").alias("d")))
+    rest = F.transform("_d.lines", lambda d: F.struct(F.lit(False).alias("whole"), d.alias("d")))
+    none = F.array().cast("array<struct<whole:boolean,d:string>>")
+    rows = read.select("doc_id", "text_key", F.col("_d.whole").alias("digest"), F.explode(F.concat(one, F.coalesce(rest, none))).alias("part"))
     found = rows.join(known, F.col("part.d") == F.col("known_digest"), "left").where(F.col("part.whole") | F.col("licence").isNotNull())
     whole = F.col("part.whole")
     per = found.groupBy("doc_id", "text_key", "digest").agg(

@@ -258,13 +258,12 @@ def _varied(blocks: list[Block], labels: list[bool], words: list[str], rng: np.r
         path = tuple(container if e.split()[0] in ("article", "main") else e for e in b.path) if y else b.path
         out.append((Block(path, b.text, b.linked), y))
     for path, n in (EXTRA[i] for i in rng.choice(len(EXTRA), 6, replace=False)):
-        elements = tuple(path.split(" ", 1)[0] + (" " + path.split(" ", 1)[1] if " " in path else "") for path in (path,))
         inside = rng.random() < 0.3
         at = int(rng.integers(len(out) + 1))
-        base = ("html", "body", container) if inside else ("html", "body")
+        base = ("html", "body", container, path) if inside else ("html", "body", path)
         for _ in range(int(rng.integers(1, 4))):
             text = " ".join(words[i] for i in rng.integers(len(words), size=max(1, int(rng.poisson(n)))))
-            out.insert(at, (Block((*base, *elements, "p") if rng.random() < 0.5 else (*base, *elements), text, float(rng.random() < 0.3)), False))
+            out.insert(at, (Block((*base, "p") if rng.random() < 0.5 else base, text, float(rng.random() < 0.3)), False))
     return [b for b, _ in out], [y for _, y in out]
 
 
