@@ -14,7 +14,8 @@ Pages are read whole, in batches of similar length; memory follows the longest p
 
 Defined results: null and empty pages have the text ``""``; a page without tags is one block;
 unclosed and unopened tags are tolerated; scripts, styles, comments and the head never hold
-text; repeated rows each come back; an empty table gives no rows.
+text; as in browsers an svg also ends before a tag that has no place in it, and other raw
+elements without an end tag reach to the end; an svg with no end at all is empty; repeated rows each come back; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,10 +50,20 @@ EPOCHS, BATCH, RATE = 6, 16, 0.02
 #: Pages read together.
 TOGETHER = 64
 
+#: Attributes up to the end of a tag; quotes count only after "=".
+RAW_ATTRIBUTES = r"(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+"
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*)[^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})(?=[\s/>])({RAW_ATTRIBUTES})>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*)[^>]*>",
     re.S | re.I,
 )
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW_TAGS.split("|")}
+#: Fixed values of HTML: parts of an svg that hold tags of a page; tags of a page that end an svg outside of them.
+SVG_HOSTS = "foreignobject|desc|title"
+SVG_STEP = re.compile(
+    rf"(?P<end></svg(?=[\s/>])[^>]*>)|<(?P<shut>/?)(?:{SVG_HOSTS})(?=[\s/>])(?P<own>[^>]*)>|</p(?=[\s/>])"
+    r"|<(?:blockquote|body|center|d[dlt]|div|em|h[1-6]|head|hr|img|li|menu|nobr|ol|p|pre|span|strong|table|ul)(?=[\s/>])",
+    re.I,
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+|[0-9]+")
 
@@ -92,13 +103,24 @@ def blocks_of(page: str | None) -> list[Block]:
 
     end = 0
     page = page or ""
-    for m in MARKUP.finditer(page):
+    unclosed: set[str] = set()  # raw tags that nothing ends from here on
+    while m := MARKUP.search(page, end):
         say(page[end : m.start()])
         end = m.end()
-        name = (m.group(3) or m.group(6) or "").lower()
+        if m.group(1):
+            raw = m.group(1).lower()
+            if raw == "svg" and m.group(2).endswith("/"):
+                continue
+            after = None if raw in unclosed else raw_end(page, raw, end)
+            if after is None:
+                unclosed.add(raw)
+                after = end if raw == "svg" else len(page)
+            end = after
+            continue
+        name = (m.group(4) or m.group(7) or "").lower()
         if not name:
             continue
-        if m.group(2) or m.group(5):
+        if m.group(3) or m.group(6):
             if name in BLOCK_TAGS:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
@@ -115,14 +137,37 @@ def blocks_of(page: str | None) -> list[Block]:
                 stack.pop()
                 while stack and name in CLOSES.get(stack[-1][0], ()):
                     stack.pop()
-        if name not in VOID_TAGS and not (m.group(4) or "").endswith("/"):
-            tokens = [t for a in ATTRIBUTE.finditer(m.group(4) or "") for t in TOKEN.findall((a.group(2) or a.group(3) or a.group(4) or "").lower())]
+        if name not in VOID_TAGS and not (m.group(5) or "").endswith("/"):
+            tokens = [t for a in ATTRIBUTE.finditer(m.group(5) or "") for t in TOKEN.findall((a.group(2) or a.group(3) or a.group(4) or "").lower())]
             stack.append((name, " ".join([name, *tokens])))
     say(page[end:])
     flush()
     return out
 
 
+def svg_end(page: str, at: int) -> int | None:
+    """Where the svg ends whose content starts at ``at``; None if nothing ends it."""
+    hosts = 0
+    for m in SVG_STEP.finditer(page, at):
+        if m["end"]:
+            return m.end()
+        if m["own"] is None:
+            if not hosts:
+                return m.start()
+        elif m["shut"]:
+            hosts = max(0, hosts - 1)
+        elif not m["own"].endswith("/"):
+            hosts += 1
+    return None
+
+
+def raw_end(page: str, name: str, at: int) -> int | None:
+    if name == "svg":
+        return svg_end(page, at)
+    close = RAW_END[name].search(page, at)
+    return close.end() if close else None
+
+
 def vector(block: Block) -> np.ndarray:
     x = np.zeros(WIDTH, dtype=np.float32)
     for element in block.path:

@@ -50,6 +50,25 @@ def test_hard_pages(spark, labeller):
     assert main_text.extract(df.where(F.col("html").isNull())).select("text").distinct().collect()[0].text == ""
 
 
+@pytest.mark.parametrize(
+    "tag",
+    ['<svg-icon name="x"></svg-icon>', '<svg class="i"/>', "<svg class='a > b' />", "<svg/>", "<template-x>", "<template-x/>", "<script-loader src=x></script-loader>"]
+    + ["<svg><path d='M0 0'/><text>no</text></svg >", "<svg><foreignObject><p>no</p></foreignObject></svg>", "<svg><title>no<title/></svg>", "<iframe src=x>no</iframe\n>"],
+)
+def test_raw_tags_end_where_they_end(tag):
+    page = f"<article><p>One {tag} two.</p><p>Three.</p></article>"
+    assert [b.text for b in main_text.blocks_of(page)] == ["One two.", "Three."]
+    page += "<p>Four <svg><text>no</text></svg> five.</p>"
+    assert [b.text for b in main_text.blocks_of(page)] == ["One two.", "Three.", "Four five."]
+
+
+def test_unclosed_svg_loses_no_page():
+    blocks = lambda page: [b.text for b in main_text.blocks_of(page)]
+    assert blocks("<p>One <svg class=i></p><p>Two <svg><text>no</text></svg> three.</p>") == ["One", "Two three."]
+    assert blocks("<p>One <svg> two.") == ["One two."]
+    assert len(blocks("<p>a <svg><title>" * 50_000)) > 0  # in linear time
+
+
 def test_gradients():
     """Back-propagation against differences."""
     import numpy as np
