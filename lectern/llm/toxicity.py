@@ -4,6 +4,8 @@ What was written is taken for a distorted copy of plain words: letters replaced
 digits and signs, letters repeated, letters set apart. A suspicious stretch becomes a lattice
 of the characters it may stand for, each arc with the channel's cost, and Viterbi finds the
 reading that is likeliest under a character trigram model. The restored text is then scored.
+Stretches of any length are read, long ones in pieces that overlap; what signs part inside a
+token, or scripts written without blanks, is read for itself, and joined across the signs.
 
 * The character model comes from all documents: each task sums its words, then hashed n-gram
   counts, one aggregate adds the tasks up. It has a fixed number of bins.
@@ -58,8 +60,20 @@ WORD = re.compile(r"[^\W\d_]+")
 SIGNS = re.escape("".join(LOOKALIKE))
 #: A token with a look-alike among letters, or a letter three times in a row.
 DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}]+[^\W\d_]|^[{SIGNS}][^\W\d_]{{2}}|[^\W\d_][0-9@$€£¢]|([^\W\d_])\1\1")
-#: Four or more single characters, each set apart from the next by one sign.
-SPACED = re.compile(rf"(?<!\w)(?:[^\W_]|[{SIGNS}])(?:[ .\-_*·](?:[^\W_]|[{SIGNS}])){{3,}}(?!\w)")
+#: White space and signs that stand for no letter.
+APART = rf"(?:[^\w{SIGNS}]|_)"
+APARTS = re.compile(APART + "+")
+#: Four or more single characters, each set apart from the next by such signs or one star.
+SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{SIGNS}])(?:(?:{APART}+|\*)(?:[^\W_]|[{SIGNS}])){{3,}}(?![^\W_])")
+#: Scripts whose words no blank parts from others: Thai to Burmese, Khmer, Korean, Japanese, Chinese.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1100-\u11ff\u1780-\u17ff\u3040-\u30ff\u3130-\u318f\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff\uff66-\uffdc\U00020000-\U0003ffff"
+BORDER = re.compile(rf"{APART}+|(?<=[{UNSPACED}])(?=[^{UNSPACED}])|(?<=[^{UNSPACED}])(?=[{UNSPACED}])")
+#: What a token has between two parts, or a border of scripts.
+PARTED = re.compile(rf"[\w{SIGNS}]{APART}+.|[{UNSPACED}]")
+#: More than three equal characters; the lattice makes no difference between three and more.
+LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
+#: Characters from which on a token is read in pieces; letters of words that signs may have cut.
+WHOLE, CUT_WORD = 200, range(4, 25)
 
 
 # --- character model -------------------------------------------------------------------
@@ -141,7 +155,7 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     out = []
     for run in re.finditer(r"(.)\1*", stretch, re.S):
         char, n = run.group(1), run.end() - run.start()
-        if char in " .-_*·" and 0 < run.start() and run.end() < len(stretch) and n == 1:
+        if (APARTS.match(char) or (char == "*" and n == 1)) and 0 < run.start() and run.end() < len(stretch):
             arcs = [("", GAP), (" ", 0.0)]
             if char == "*":
                 arcs += [(c, SWAP + 1.6) for c in LOOKALIKE["*"]]
@@ -182,19 +196,43 @@ def decode(model: CharModel, stretch: str, whole: bool = False) -> str:
 
 
 def readings(model: CharModel, token: str) -> tuple[str, ...]:
-    """The words of a token as written and, if it looks disguised, as restored."""
-    plain = token
-    if DISGUISED.search(token) and len(token) <= 200:
-        plain += " " + decode(model, token) + " " + decode(model, token, whole=True)
-    return tuple(dict.fromkeys(WORD.findall(plain)))
+    """The words of a token as written and, if it or a part of it looks disguised, as restored."""
+    found = dict.fromkeys(WORD.findall(token))
+    if len(token) > WHOLE:
+        token = LONG_RUN.sub(r"\1\1\1", token)
+    parts = [p for p in BORDER.split(token) if p] if PARTED.search(token) else []
+    if len(parts) > 1:
+        found.update(dict.fromkeys(w for p in parts for w in WORD.findall(p)))
+        found.update(dict.fromkeys(uncut(parts)))
+    for part in dict.fromkeys((token, *parts)) if parts else (token,):
+        if not DISGUISED.search(part):
+            continue
+        if len(part) <= WHOLE:
+            found.update(dict.fromkeys(WORD.findall(decode(model, part) + " " + decode(model, part, whole=True))))
+        else:
+            found.update(dict.fromkeys(joined(model, part)))
+    return tuple(found)
+
+
+def uncut(parts: list[str]) -> Iterator[str]:
+    """Words that neighbouring parts of letters only make together."""
+    for i, word in enumerate(parts):
+        for j in range(i + 1, len(parts)):
+            part = parts[j]
+            if not (word.isalpha() and part.isalpha()) or len(word) + len(part) >= CUT_WORD.stop:
+                break
+            word += part
+            if len(word) in CUT_WORD:
+                yield word
 
 
 def joined(model: CharModel, stretch: str) -> Iterator[str]:
-    """Words that letters set apart may spell: of the likeliest reading, and runs of the reading as one word.
+    """Words that a stretch may spell: of the likeliest reading, and runs of the reading as one word.
 
     Long stretches are read in pieces that overlap by more than a word.
     """
-    for i in range(0, len(stretch), 360):
+    stretch = APARTS.sub(" ", LONG_RUN.sub(r"\1\1\1", stretch))
+    for i in range(0, len(stretch), 320):
         piece = stretch[i : i + 400]
         yield from WORD.findall(decode(model, piece))
         one = decode(model, piece, whole=True)

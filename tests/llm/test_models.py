@@ -58,6 +58,22 @@ def test_restores_disguised_words(chars, text, word):
     assert word in toxicity.restored_words(chars, text)
 
 
+@pytest.mark.parametrize(
+    "text,word",
+    [("l" + "0" * 150 + "s" * 150 + "er", "loser"), ("people,other/day-" * 20 + "1d10t,say", "idiot"), ("这是一句很长的话" * 30 + "l0ser了" + "你好" * 40, "loser")]
+    + [("คนนี้" * 60 + "m0ron" + "ครับ", "moron"), ("x9" * 150 + "/pathet1c/" + "9x" * 150, "pathetic"), ("这loser了", "loser")]
+    + [("id.iot", "idiot"), ("mo-ron", "moron"), ("mor_on", "moron"), ("you,lo/ser", "loser"), ("say/1d10t/day", "idiot")]
+    + [("i  d  i  o  t", "idiot"), ("i\nd\ni\no\nt\n", "idiot"), ("i - d - i - o - t", "idiot"), ("i/d/i/o/t", "idiot"), ("m_o_r_o_n_", "moron"), ("say: l , 0 , s , e , r.", "loser")],
+)
+def test_restores_long_and_parted_words(chars, text, word):
+    assert word in toxicity.restored_words(chars, text)
+
+
+def test_long_hard_texts_take_linear_time(chars):
+    for text in ("* " * 20_000 + "ab", "a_" * 20_000 + "bc", "ab." * 10_000, "-" * 100_000, "a!" + "!" * 100_000):
+        toxicity.restored_words(chars, text)
+
+
 def test_plain_words_stay(chars):
     assert toxicity.restored_words(chars, "The people say so 4 times, e.g. in 2.0.") == {"the", "people", "say", "so", "times", "e", "g", "in"}
 
