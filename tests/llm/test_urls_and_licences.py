@@ -82,3 +82,14 @@ def test_licences(spark):
     )
     assert licences.scan(docs.limit(0), known).count() == 0
     assert licences.scan(docs, known.limit(0)).where("licence is not null").count() == 0
+
+
+def test_whole_texts_and_notices(spark):
+    bsd = licences._read("BSD-3-Clause").replace("University nor", "copyright holder nor").replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT OWNER OR")
+    texts = {name: licences._read(name) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "Zlib")}
+    said = {"This work is licensed under the MIT License.": "MIT", "Released under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the MIT License, see LICENSE": "MIT", "Copyright The X Authors\n" + licences.MIT: "MIT"}
+    said |= {"MIT License\n\nCopyright Jane Doe\n\n" + licences.MIT: "MIT", bsd: "BSD-3-Clause", bsd.replace("All rights reserved.", ""): "BSD-3-Clause", "Copyright law is old.": None}
+    said |= {text: name for name, text in texts.items()}
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(docs, licences.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
