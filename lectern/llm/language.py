@@ -3,8 +3,9 @@
 For every learnt language the corpus gives counts of hashed character n-grams (orders
 ``ORDERS``, word ends included), so a word has a likelihood in each language. A document is a
 mixture: expectation-maximisation finds the proportions of the languages its words come from.
-The set of languages is chosen by penalised likelihood: languages join in order of their
-proportion while the gain in log likelihood exceeds the penalty for one more. The language of
+The set of languages is chosen by penalised likelihood: of the sets that languages make in
+order of their proportion, the one whose log likelihood less the penalty for each language is
+largest, for each document by itself. The language of
 the document is the one with the largest share of the chosen set, the score that share.
 
 Counting covers every learnable document: each task sums its words, then its n-grams, and one
@@ -113,7 +114,7 @@ def proportions(odds: np.ndarray, n: np.ndarray, of: np.ndarray, start: np.ndarr
 
 
 def infer(odds: np.ndarray, n: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Proportions of each document's chosen set of languages."""
+    """Proportions of each document's best set of languages; every size of set is tried for every document."""
     k_langs = odds.shape[1]
     start, of = np.r_[0, np.cumsum(lengths)[:-1]], np.repeat(np.arange(len(lengths)), lengths)
     shares, _ = proportions(odds, n, of, start, np.full((len(lengths), k_langs), 1 / k_langs), ROUNDS)
@@ -128,8 +129,6 @@ def infer(odds: np.ndarray, n: np.ndarray, lengths: np.ndarray) -> np.ndarray:
             best, best_fit = found, fit
             continue
         better = fit > best_fit
-        if not better.any():
-            break
         best[better], best_fit[better] = found[better], fit[better]
     return best
 

@@ -117,6 +117,15 @@ def test_em_finds_proportions():
     assert alone.tolist() == [1.0, 0.0, 0.0]
 
 
+def test_languages_do_not_depend_on_neighbours():
+    """The second language adds nothing to the first, the third does; a neighbour has two clear languages."""
+    own = np.where(np.arange(300)[:, None] % 3 > 0, [1.0, 0.999, 0.0001], [0.02, 0.0201, 0.2])
+    other = np.where(np.arange(300)[:, None] % 5 > 1, [1.0, 0.01, 0.001], [0.01, 1.0, 0.001])
+    alone = language.infer(own, np.ones(300), np.array([300]))[0]
+    both = language.infer(np.r_[own, other], np.ones(600), np.array([300, 300]))[0]
+    assert np.allclose(alone, both) and alone[2] > 0.2
+
+
 def test_language_hard_rows(spark, hard_docs):
     model = language.fit(hard_docs)
     rows = language.identify(hard_docs, model).collect()
