@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import ann, decontaminate, language, licences, main_text, mixing, neardup, quality, toxicity, urls
-from lectern.llm.columns import table
+from lectern.llm import ann, decontaminate, infill, language, licences, main_text, manifest, mixing, neardup, quality, sharding, toxicity, urls
+from lectern.llm.columns import ascii_lower, crc_remainder, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -155,3 +155,83 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_shard")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    none = F.lit(None).cast("int")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", none.alias("grown_shard"))
+
+
+OP12_SQL = r"""
+with d as (select doc_id, coalesce(text, '') t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+l as (select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') u, cast('0x' || h[1:8] as bigint) h1, cast('0x' || h[9:16] as bigint) h2,
+             cast('0x' || h[17:24] as bigint) h3, cast('0x' || h[25:32] as bigint) h4 from d),
+c as (select *, len(u) n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) b,
+             case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+                  when h4 % 100 < 50 then 'spm' else 'psm' end form from l),
+p as (select *, array_to_string(u[1:a], '') x, array_to_string(u[a + 1:b], '') y, array_to_string(u[b + 1:], '') z from c)
+select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(length(x) as bigint) end prefix_chars,
+       case when form <> 'plain' then cast(length(y) as bigint) end middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) output_sha256,
+       sha256(t) restored_sha256
+from p"""
+
+
+@query("op12_infill", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def _sql_leaf(text: str) -> str:
+    fields = ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", text)
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+OP13_SQL = f"""
+with recursive bits(doc_id, s, i, c) as (
+  select doc_id, cast(doc_id as varchar), 0, cast(4294967295 as bigint) from documents where doc_id is not null
+  union all
+  select doc_id, s, i + 1, list_reduce(range(8), lambda a, k: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end, xor(c, cast(ascii(s[i + 1]) as bigint)))
+  from bits where i < length(s)),
+crc as (select distinct doc_id, xor(c, 4294967295) crc from bits where i = length(s)),
+leaves as (select doc_id, lang, {_sql_leaf('text')} leaf, {_sql_leaf(LOWER)} lower_leaf from documents),
+placed as (select l.*, coalesce(c.crc % 3 = 0, false) bad, row_number() over (partition by lang order by l.doc_id nulls first, leaf) - 1 pos,
+                  count(*) over (partition by lang) n, dense_rank() over (order by encode(lang) nulls first) - 1 tree from leaves l left join crc c on c.doc_id = l.doc_id),
+nodes(tree, pos, n, lvl, digest) as (
+  select tree, pos, n, 0, leaf from placed
+  union all
+  select tree, pos // 8, (n + 7) // 8, lvl + 1, sha256(string_agg(digest, '' order by pos)) from nodes where n > 1 group by tree, pos // 8, n, lvl),
+tops as (select tree, digest, lvl from nodes where n = 1),
+over_(pos, n, lvl, digest) as (
+  select tree, count(*) over (), 0, digest from tops
+  union all
+  select pos // 8, (n + 7) // 8, lvl + 1, sha256(string_agg(digest, '' order by pos)) from over_ where n > 1 group by pos // 8, n, lvl),
+every as (select tree, lvl, pos, digest from nodes where n > 1
+          union all select t.tree, t.lvl + o.lvl, o.pos, o.digest from tops t join over_ o on o.n > 1),
+path(tree, pos, doc_id, leaf, here, lvl, sibs, fold) as (
+  select tree, pos, doc_id, leaf, pos, 0, '', case when bad then lower_leaf else leaf end from placed
+  union all
+  select p.tree, p.pos, p.doc_id, p.leaf, any_value(case when p.lvl + 1 = t.lvl then p.tree else p.here // 8 end), p.lvl + 1,
+         any_value(p.sibs) || coalesce(string_agg(e.digest, '' order by e.pos) filter (where e.pos <> p.here), ''),
+         sha256(string_agg(case when e.pos = p.here then p.fold else e.digest end, '' order by e.pos))
+  from path p join tops t on t.tree = p.tree join every e on e.tree = p.tree and e.lvl = p.lvl and e.pos // 8 = p.here // 8
+  group by p.tree, p.pos, p.doc_id, p.leaf, p.lvl),
+ends as (select * from path qualify row_number() over (partition by tree, pos order by lvl desc) = 1)
+select e.doc_id, e.leaf, t.digest subroot, r.digest root, sha256(e.sibs) proof_sha256, e.fold folded_root, e.fold = r.digest verified
+from ends e join tops t on t.tree = e.tree join over_ r on r.n = 1"""
+
+
+@query("op13_manifest", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*manifest.FIELDS)
+    tampered = [ascii_lower(F.col(f)) if f == "text" else F.col(f) for f in manifest.FIELDS]
+    presented = F.when(crc_remainder(F.col("doc_id"), 3) == 0, manifest.leaf(tampered))
+    proven = manifest.build(docs, presented=presented)
+    proven = proven.withColumn("folded_root", manifest.folded(F.col("path"), F.coalesce("presented", "leaf")))
+    proof = F.sha2(manifest.siblings(F.col("path")), 256)
+    return proven.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
