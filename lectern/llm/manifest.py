@@ -117,19 +117,19 @@ def checkpoints(nodes: DataFrame, widest: int) -> list[DataFrame]:
 
 
 def paths(levels: list[DataFrame], upper: DataFrame) -> DataFrame:
-    """The columns of the lowest of ``levels`` and the ``path`` of each node; ``upper`` (tree, path)
-    has the paths of the trees' tops."""
-    found = upper.select("tree", F.lit(0).cast("long").alias("pos"), "path")
+    """The columns of the lowest of ``levels``, the ``path`` of each node and ``top``; ``upper``
+    (tree, path, top) has the paths of the trees' tops and what their nodes are to carry."""
+    found = upper.select("tree", F.lit(0).cast("long").alias("pos"), "path", "top")
     for nodes in reversed(levels[:-1]):
-        above = found.select("tree", F.col("pos").alias("block"), F.col("path").alias("_up"))
+        above = found.select("tree", F.col("pos").alias("block"), F.col("path").alias("_up"), "top")
         trees = _subtrees(nodes).join(above, ["tree", "block"])
 
         def own(levels: list[Column]) -> Column:
             with_path = lambda node, at: F.struct(node.alias("node"), F.concat(_siblings(levels, F.col("width"), at), F.col("_up")).alias("path"))
             return F.transform("nodes", with_path)
 
-        proven = trees.select("tree", "width", F.explode_outer(_climb(F.col("nodes.digest"), F.col("width"), own)).alias("p"))
-        found = proven.select("tree", "width", "p.node.*", "p.path")
+        proven = trees.select("tree", "width", "top", F.explode_outer(_climb(F.col("nodes.digest"), F.col("width"), own)).alias("p"))
+        found = proven.select("tree", "width", "top", "p.node.*", "p.path")
     return found if len(levels) > 1 else levels[0].join(found.drop("pos"), "tree")
 
 
@@ -151,14 +151,13 @@ def build(docs: DataFrame, group: str = "lang", key: str = "doc_id", fields: Seq
     nodes = placed.select("tree", (F.col("rank") - F.col("_first")).alias("pos"), "width", "digest", "_key", "presented")
     levels = checkpoints(nodes, bounds["widest"] or 0)
     tops = levels[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(bounds["n"]).cast("long").alias("width"), "digest")
-    over = checkpoints(tops, bounds["n"])
-    root = over[-1].select("tree", F.col("digest").alias("root"))
+    over = checkpoints(written(tops, "subroots"), bounds["n"])
     nothing = F.array().cast("array<struct<left:string,right:string>>")
-    upper = paths(over, over[-1].select("tree", nothing.alias("path")))
-    upper = upper.join(root, "tree").select(F.col("pos").alias("tree"), "path", F.col("digest").alias("subroot"), "root")
-    facts = upper.select("tree", "subroot", "root").join(groups.select("tree", "_of"), "tree")
-    proven = paths(levels, upper.select("tree", "path")).join(facts, "tree")
-    return proven.select(F.col("_of").alias(group), F.col("_key").alias(key), F.col("digest").alias("leaf"), "subroot", "root", "path", "presented")
+    proven_tops = paths(over, over[-1].select("tree", nothing.alias("path"), F.struct(F.col("digest").alias("root")).alias("top")))
+    facts = F.struct("_of", F.col("digest").alias("subroot"), "top.root")
+    upper = proven_tops.select(F.col("pos").alias("tree"), "path", "digest", "top").join(groups.select("tree", "_of"), "tree").select("tree", "path", facts.alias("top"))
+    proven = paths(levels, upper)
+    return proven.select(F.col("top._of").alias(group), F.col("_key").alias(key), F.col("digest").alias("leaf"), "top.subroot", "top.root", "path", "presented")
 
 
 def folded(path: Column, start: Column) -> Column:
