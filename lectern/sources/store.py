@@ -1,29 +1,44 @@
-"""The document store: one parquet table per artifact under a shared folder.
+"""The document store: one log-structured table per artifact under a shared folder.
 
-Rows are spread over a fixed number of hash buckets of the document id, written as a
-partition column. A point update or delete rewrites only the buckets it touches, and a
-lookup of one document prunes to its bucket; a folder per document would mean millions
-of tiny files. A bucket that holds a very large document is just more files in it.
+A change writes the rows that change and nothing else: new rows of a document, or a mark that it
+is gone, become a segment of their own (``segments``). Reading merges: of a document, the rows of
+the last version that replaced it count, and rows that were only added after that. Segments that
+replace nothing, such as event logs, are read without any join.
+
+``compact`` bounds what reading merges. Segments that together are small beside the base become one
+segment; once they reach a share of the base they are folded into a new base.
+
+Rows lie in the order of a hash of the document id, cut into files by size, so that a lookup of
+one document reads the row groups whose range holds its hash. Nothing depends on a number of
+buckets, and a document of any size is just more files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
-BUCKETS = 64
-#: Tasks, and so files, among which the rows of a rewritten bucket are dealt.
-SPREAD = 8
+from lectern.sources.segments import Segment, SegmentLog
+
+#: Segments beside the base from which on ``compact`` merges them.
+MOST_SEGMENTS = 8
+#: Share of the base's bytes from which on all becomes a new base.
+FOLD_SHARE = 0.25
 ARTIFACTS = (
     "documents parsed_docs doc_pages doc_sections section_summaries chunks vectors page_quality ocr_pages "
     "vision_pages understanding analysis_meta briefs translations learning_events concept_memory term_log "
-    "reflections session_summaries validation_records reading_records"
+    "reflections session_summaries validation_records reading_records derivations"
 ).split()
 STATUSES = "uploaded parsing chunking summarizing indexing ready failed".split()
+#: What a stored row does to the earlier rows of its document.
+ADDED, REPLACING, GONE = 0, 1, 2
+OWN_COLUMNS = ("_hash", "_version", "_does")
 
 
-def bucket(doc_id):
-    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(BUCKETS)).cast("int")
+def _hash(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id.cast("string"))
 
 
 class Store:
@@ -35,83 +50,101 @@ class Store:
             raise ValueError(f"unknown artifact {artifact!r}")
         return f"{self.root}/{artifact}"
 
+    def log(self, artifact: str) -> SegmentLog:
+        return SegmentLog(self.spark, self.path(artifact))
+
     def exists(self, artifact: str) -> bool:
-        try:
-            self.spark.read.parquet(self.path(artifact)).schema  # noqa: B018
-            return True
-        except AnalysisException:
-            return False
+        return bool(self.log(artifact).live())
+
+    # --- reading ---
+
+    def _segments(self, segments: list[Segment]) -> DataFrame:
+        parts = [self.spark.read.parquet(s.path) for s in segments]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def _merged(self, segments: list[Segment], keep_marks: bool = False) -> DataFrame:
+        """The rows of ``segments`` that count; with the marks of removed documents, if asked for."""
+        if all(s.kind != "r" for s in segments):
+            return self._segments(segments)
+        heads = self._segments([s for s in segments if s.kind == "r"]).where(F.col("_does") != ADDED)
+        heads = heads.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_version").alias("_head"))
+        rows = self._segments(segments)
+        kept = rows.join(heads, rows["doc_id"] == heads["_id"], "left").where("_head is null or _version >= _head")
+        return kept.drop("_id", "_head") if keep_marks else kept.drop("_id", "_head").where(F.col("_does") != GONE)
 
     def read(self, artifact: str, doc_id: str | None = None) -> DataFrame:
-        df = self.spark.read.parquet(self.path(artifact))
+        segments = self.log(artifact).live()
+        if not segments:
+            raise AnalysisException(f"nothing is stored as {artifact!r}")
+        df = self._merged(segments)
         if doc_id is not None:
-            df = df.where((F.col("bucket") == bucket(F.lit(doc_id))) & (F.col("doc_id") == doc_id))
-        return df.drop("bucket")
+            df = df.where((F.col("_hash") == _hash(F.lit(doc_id))) & (F.col("doc_id") == doc_id))
+        return df.drop(*OWN_COLUMNS)
 
-    def append(self, artifact: str, rows: DataFrame) -> None:
-        rows.withColumn("bucket", bucket(F.col("doc_id"))).write.mode("append").partitionBy("bucket").parquet(
-            self.path(artifact)
-        )
+    # --- writing ---
 
-    def _overwrite(self, artifact: str, rows: DataFrame) -> None:
-        """Replace exactly the buckets present in ``rows``. The new rows are written aside
-        first: a job must not overwrite the files it is still reading."""
-        from lectern.operators.stage import written
-
-        staged = written(rows, f"store-{artifact}")
-        # a bucket is written by several tasks, so that a large document or bucket is not one task's work
-        part = ["doc_id", "pos"] if "pos" in rows.columns else ["doc_id"]
-        staged.repartition("bucket", F.pmod(F.xxhash64(*part), F.lit(SPREAD))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "bucket"
-        ).parquet(self.path(artifact))
-
-    def _touched(self, artifact: str, doc_ids: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold any of the documents."""
-        buckets = doc_ids.select(bucket(F.col("doc_id")).alias("bucket")).distinct()
-        # at most BUCKETS rows, so this side is safe to broadcast
-        return self.spark.read.parquet(self.path(artifact)).join(F.broadcast(buckets), "bucket", "left_semi")
-
-    def replace(self, artifact: str, rows: DataFrame) -> None:
+    def _laid(self, rows: DataFrame) -> DataFrame:
+        order = ["_hash", "pos"] if "pos" in rows.columns else ["_hash"]
+        return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def _put(self, artifact: str, rows: DataFrame, does: int, kind: str) -> Segment | None:
+        log = self.log(artifact)
+        version = log.next_version()
+        marked = rows.withColumn("_hash", _hash(F.col("doc_id"))).withColumn("_version", F.lit(version).cast("long"))
+        return log.write(self._laid(marked.withColumn("_does", F.lit(does))), kind, version, version)
+
+    def append(self, artifact: str, rows: DataFrame) -> Segment | None:
+        return self._put(artifact, rows, ADDED, "a")
+
+    def replace(self, artifact: str, rows: DataFrame) -> Segment | None:
         """Put these documents' rows in place of what the artifact held for them."""
-        keyed = rows.withColumn("bucket", bucket(F.col("doc_id")))
-        if not self.exists(artifact):
-            keyed.write.mode("append").partitionBy("bucket").parquet(self.path(artifact))
-            return
-        ids = rows.select("doc_id").distinct()
-        kept = self._touched(artifact, ids).join(ids, "doc_id", "left_anti")
-        self._overwrite(artifact, kept.unionByName(keyed, allowMissingColumns=True))
-
-    def update(self, artifact: str, changes: DataFrame) -> None:
-        """Set the non-null columns of ``changes`` (one row per doc_id) on existing rows."""
+        return self._put(artifact, rows, REPLACING, "r")
+
+    def update(self, artifact: str, changes: DataFrame) -> Segment | None:
+        """Set the non-null columns of ``changes`` (one row per doc_id) on existing rows. Documents
+        that hold these values already are not written again."""
         names = [c for c in changes.columns if c != "doc_id"]
-        renamed = changes.select("doc_id", *[F.col(c).alias(f"_new_{c}") for c in names])
-        rows = self._touched(artifact, changes).join(renamed, "doc_id", "left")
+        new = changes.select("doc_id", *[F.col(c).alias(f"_new_{c}") for c in names])
+        rows = self.read(artifact)
+        for c in names:
+            if c not in rows.columns:
+                rows = rows.withColumn(c, F.lit(None).cast(changes.schema[c].dataType))
+        differs = reduce(Column.__or__, [F.col(f"_new_{c}").isNotNull() & ~F.col(f"_new_{c}").eqNullSafe(F.col(c)) for c in names])
+        met = rows.join(new, "doc_id")
+        touched = met.where(differs).select("doc_id").distinct()
+        changed = met.join(touched, "doc_id", "left_semi")
         for c in names:
-            rows = rows.withColumn(c, F.coalesce(f"_new_{c}", c))
-        self._overwrite(artifact, rows.drop(*[f"_new_{c}" for c in names]))
+            changed = changed.withColumn(c, F.coalesce(f"_new_{c}", c))
+        return self.replace(artifact, changed.drop(*[f"_new_{c}" for c in names]))
 
     def delete(self, doc_ids: DataFrame, artifacts: list[str] | None = None) -> None:
-        """Remove documents from every artifact: rows go by anti-join, emptied buckets by filter."""
+        """Remove documents from every artifact: a mark for each document that an artifact holds."""
         ids = doc_ids.select("doc_id").distinct()
         for artifact in artifacts or ARTIFACTS:
             if not self.exists(artifact):
                 continue
-            whole = self.spark.read.parquet(self.path(artifact))
-            if "doc_id" not in whole.columns:
-                continue
-            kept = self._touched(artifact, ids).join(ids, "doc_id", "left_anti")
-            emptied = self._touched(artifact, ids).select("bucket").distinct().join(
-                kept.select("bucket").distinct(), "bucket", "left_anti"
-            )
-            gone = [r["bucket"] for r in emptied.collect()]  # at most BUCKETS numbers
-            self._overwrite(artifact, kept)
-            for number in gone:
-                self._drop_bucket(artifact, number)
-
-    def _drop_bucket(self, artifact: str, number: int) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path(artifact)}/bucket={number}")
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            held = self.read(artifact)
+            if "doc_id" in held.columns:
+                self._put(artifact, ids.join(held.select("doc_id"), "doc_id", "left_semi"), GONE, "r")
+
+    def compact(self, artifact: str, most: int = MOST_SEGMENTS, share: float = FOLD_SHARE) -> Segment | None:
+        """Merge small segments once there are more than ``most``, and fold all into a new base once
+        they hold more than ``share`` of its bytes. Old segments stay until ``vacuum``."""
+        log = self.log(artifact)
+        live = log.live()
+        base = sum(s.size for s in live if s.kind == "b")
+        recent = [s for s in live if s.kind != "b"]
+        if not recent or (len(recent) <= most and sum(s.size for s in recent) <= share * base):
+            return None
+        if sum(s.size for s in recent) > share * base:
+            return log.write(self._laid(self._merged(live)), "b", 0, live[-1].high)
+        kind = "r" if any(s.kind == "r" for s in recent) else "a"
+        return log.write(self._laid(self._merged(recent, keep_marks=True)), kind, recent[0].low, recent[-1].high)
+
+    def vacuum(self, artifact: str) -> int:
+        return self.log(artifact).vacuum()
+
+    # --- artifacts ---
 
     def list_documents(self) -> DataFrame:
         return self.read("documents").orderBy("doc_id")
@@ -133,6 +166,13 @@ class Store:
             n = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("num_chunks"))
             self.update("documents", n)
 
+    def save_sections(self, sections: DataFrame) -> None:
+        """Sections of whole documents, and their number in the documents table."""
+        self.replace("doc_sections", sections)
+        if self.exists("documents"):
+            n = sections.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("num_sections"))
+            self.update("documents", n)
+
     def index_vectors(self, chunks: DataFrame, embed_fn) -> None:
         """Vectors of whole documents; old ones go first, so indexing twice changes nothing."""
         from lectern.operators.vector import embedding_text, flatten_metadata
