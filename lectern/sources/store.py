@@ -27,7 +27,7 @@ MOST_SEGMENTS = 8
 #: Share of the base's bytes from which on all becomes a new base.
 FOLD_SHARE = 0.25
 ARTIFACTS = (
-    "documents parsed_docs doc_pages doc_sections section_summaries chunks vectors page_quality ocr_pages "
+    "documents parsed_docs doc_pages enhanced_pages doc_sections section_summaries chunks vectors page_quality ocr_pages "
     "vision_pages understanding analysis_meta briefs translations learning_events concept_memory term_log "
     "reflections session_summaries validation_records reading_records derivations"
 ).split()
