@@ -134,15 +134,20 @@ def concept_memory(spark, sf_dir):
 
 @query("concept_state_stream", f"WITH {STATE} SELECT {_STATE_OUT} FROM cs")
 def concept_state_stream(spark, sf_dir):
-    """The same state, folded batch by batch from the events file read as a stream."""
+    """The same state from a stream of several files, one a batch; the stream stops after some of
+    them and goes on when the others have come. The state is folded every third batch."""
     import uuid
 
     from lectern.streaming import memory_stream
 
-    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     base = f"{shared_dir(spark).rstrip('/')}/lectern-stream-{uuid.uuid4().hex}"
-    run = memory_stream.run(mapped_events(raw), f"{base}/states", f"{base}/progress")
-    run.awaitTermination()
+    events = table(spark, sf_dir, "events")
+    half = events.agg(F.percentile_approx("event_id", 0.6)).first()[0] or 0
+    for early in (True, False):
+        part = events.where((F.col("event_id") <= half) if early else (F.col("event_id") > half))
+        part.repartition(4, F.xxhash64("event_id")).write.mode("append").parquet(f"{base}/events")
+        raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+        memory_stream.run(mapped_events(raw), f"{base}/states", f"{base}/progress", most=3).awaitTermination()
     return state_row(memory_stream.current_state(spark, f"{base}/states"))
 
 

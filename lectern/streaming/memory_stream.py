@@ -1,9 +1,11 @@
 """Learning memory kept up to date from an event stream.
 
-Each micro-batch is folded into partial concept states (counts, last state, last signals),
-which are written to a folder named after the batch. A batch that is run again after a
-failure overwrites its own folder, so events count once. The current state is the merge
-of all partials; ``compact`` folds them into one.
+The state is keyed by concept and document and kept as a log of segments. A micro-batch is
+aggregated to partial states (counts, last state, last signals) and becomes the segment with its
+number; the merge of all segments is the state. After ``MOST_BATCHES`` batches they are folded
+into one, so that reading merges a bounded number and the state grows with its keys, not with its
+events. A batch that runs again after a failure overwrites its own segment if that was not finished,
+and is passed over if its number is covered already, also by a folded segment: events count once.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions import fixed as X
 from lectern.operators import memory
+from lectern.sources.segments import SegmentLog
 
+#: Batches that stand beside the folded state.
+MOST_BATCHES = 8
 EVENT_SCHEMA = "id long, event_type string, doc_id string, section_id string, payload string, ts timestamp"
 PARTIAL_SCHEMA = (
     "concept string, doc_id string, evidence_count long, last struct<id:long,status:string,section_id:string,ts:timestamp>, "
@@ -34,13 +39,21 @@ def partial_states(events: DataFrame) -> DataFrame:
     return memory.concept_counts(signals).join(collected, ["concept", "doc_id"])
 
 
-def run(events: DataFrame, folder: str, checkpoint: str, available_now: bool = True):
-    """Start folding a stream of events into partial states under ``folder``."""
+def fold_batch(log: SegmentLog, events: DataFrame, batch_id: int, most: int = MOST_BATCHES) -> None:
+    """Take one batch into the state. Batches come in order, and one that the state covers already,
+    as a partial or folded, is a replay and changes nothing."""
+    if batch_id < log.next_version():
+        return
+    partial = partial_states(events).withColumn("batch", F.lit(batch_id).cast("long"))
+    log.write(partial, "a", batch_id, batch_id)
+    if sum(s.kind == "a" for s in log.live()) > most:
+        compact(log)
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        partial_states(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    writer = events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+def run(events: DataFrame, folder: str, checkpoint: str, available_now: bool = True, most: int = MOST_BATCHES):
+    """Start folding a stream of events into the state under ``folder``."""
+    log = SegmentLog(events.sparkSession, folder)
+    writer = events.writeStream.foreachBatch(lambda batch, batch_id: fold_batch(log, batch, batch_id, most)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -65,7 +78,8 @@ def merged(partials: DataFrame) -> DataFrame:
 
 
 def read_partials(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(PARTIAL_SCHEMA).parquet(folder)
+    live = SegmentLog(spark, folder).live()
+    return spark.read.schema(PARTIAL_SCHEMA).parquet(*[s.path for s in live]) if live else spark.createDataFrame([], PARTIAL_SCHEMA)
 
 
 def current_state(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,6 +94,13 @@ def current_state(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def compact(spark: SparkSession, folder: str, target: str) -> None:
-    """Fold all partials of ``folder`` into one under ``target``, for a fresh start there."""
-    merged(read_partials(spark, folder)).write.mode("overwrite").parquet(f"{target}/batch=-1")
+def compact(log: SegmentLog) -> None:
+    """Fold the state and the batches since into one segment, in the order of a hash of the key."""
+    live = log.live()
+    if len(live) < 2:
+        return
+    newest = live[-1].high
+    rows = merged(read_partials(log.spark, log.root)).withColumn("batch", F.lit(newest).cast("long"))
+    key = F.xxhash64("concept", "doc_id")
+    log.write(rows.repartitionByRange(key).sortWithinPartitions(key), "b", 0, newest)
+    log.vacuum()
