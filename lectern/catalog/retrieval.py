@@ -80,6 +80,25 @@ def bm25_topk_by_source(spark, sf_dir):
     return result(lexical_hits(spark, sf_dir, 5), "n_matched")
 
 
+# every item asks the whole library, which is one scope
+_LIBRARY = f"""WITH b AS (SELECT item_id, 'all' AS asked, CASE WHEN norm <> '' AND norm <> text THEN text || ' ' || norm ELSE text END AS query
+      FROM (SELECT item_id, text, {Q.normalized('text')} AS norm FROM benchmark)),
+{scoring("SELECT 'all' AS doc, doc_id AS pos, text, lang AS section FROM documents")}, {QUERY_TERMS}, {SCORES}, {ranking(5)}"""
+
+
+def library_requests(spark, sf_dir, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    chunks = flat_chunks(spark, sf_dir).withColumn("scope_id", F.lit("all"))
+    asked = benchmark_queries(spark, sf_dir).select(F.col("query_id").alias("request_id"), F.lit("all").alias("scope_id"), "query", F.lit(k).alias("k"))
+    return chunks, asked
+
+
+@query("bm25_library_pruned", f"{_LIBRARY} SELECT item_id AS request_id, pos, score, CAST(rank AS BIGINT) AS rank, nm AS n_matched FROM lex")
+def bm25_library_pruned(spark, sf_dir):
+    """Exact search of the whole library that skips the blocks which cannot hold a hit."""
+    chunks, asked = library_requests(spark, sf_dir)
+    return result(lexical.search(chunks, asked, section_boost=False, width=lexical.BLOCK_WIDTH), "n_matched")
+
+
 @query(
     "corpus_statistics",
     f"WITH {scoring()} SELECT doc AS source, n AS n_chunks, {Q.settle('a')} AS avg_len, count(*) AS n_terms, {Q.settle('avg(w)')} AS mean_weight, {Q.settle('max(w)')} AS top_weight FROM idf JOIN st USING (doc) GROUP BY ALL",

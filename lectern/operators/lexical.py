@@ -16,6 +16,9 @@ fill a result (all their scores are equal), and ``_fill`` fetches just enough of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions import fixed as X
@@ -24,6 +27,14 @@ from lectern.operators.ranking import top_k
 from lectern.operators.stage import written
 
 
+#: Positions of a block of postings in a pruned search.
+BLOCK_WIDTH = 1024
+#: Terms of a request whose strongest postings give it a first floor.
+LEADS = 8
+#: What a word of a slide request can add beside its impact: overlap, header, formula.
+CORE_GAIN = 0.5 + 1.5 + 0.35
+
+
 def greatest_k(requests: DataFrame) -> int:
     """The largest ``k`` asked for: the literal limit that is pushed below the shuffles."""
     return int(requests.agg(F.max("k")).first()[0] or 1)
@@ -118,6 +129,48 @@ def request_terms(requests: DataFrame, facts: tuple[str, ...] = ()) -> DataFrame
     )
 
 
+def impacts(
+    chunks: DataFrame, terms: DataFrame, scoring: str = "bm25", slides: bool = False, facts: tuple[str, ...] = ()
+) -> DataFrame:
+    """Postings of the requested terms with what a posting adds to a score (``impact``)."""
+    tokenized = tokenize(chunks, slides, facts)
+    post = postings(tokenized, terms.select("scope_id", "term").distinct(), facts)
+    if scoring != "bm25":
+        return post.withColumn("impact", F.lit(1.0))
+    stats = scope_stats(tokenized)
+    weights = term_weights(tokenized, stats).select("scope_id", "term", "idf")
+    norm = X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * F.col("len") / F.col("avg_len"))
+    return (
+        post.join(weights, ["scope_id", "term"])
+        .join(stats, "scope_id")
+        .withColumn("impact", F.col("idf") * (F.col("tf") * (X.BM25_K1 + 1)) / (F.col("tf") + norm))
+        .select("scope_id", "pos", "term", "in_header", "impact", *facts)
+    )
+
+
+def met(
+    post: DataFrame,
+    terms: DataFrame,
+    scoring: str,
+    slides: bool,
+    keys: tuple[str, ...],
+    on: tuple[str, ...] = ("scope_id", "term"),
+) -> DataFrame:
+    """Scores of the chunks whose postings meet request terms."""
+    score = F.sum(F.col("qtf") * F.col("impact")) if scoring == "bm25" else F.count(F.lit(1)).cast("double")
+    extra = []
+    if slides:
+        extra = [
+            F.count_if("core").alias("core_overlap"),
+            F.count_if(F.col("core") & F.col("in_header")).alias("header_overlap"),
+        ]
+    return (
+        post.join(terms, list(on))
+        .groupBy("request_id", "scope_id", "pos", *keys)
+        .agg(score.alias("match_score"), F.count(F.lit(1)).alias("n_matched"), *extra)
+    )
+
+
 def match_scores(
     chunks: DataFrame,
     requests: DataFrame,
@@ -133,32 +186,101 @@ def match_scores(
     keys, which saves joining them to all matches.
     """
     terms = request_terms(requests, request_facts)
-    tokenized = tokenize(chunks, slides, facts)
-    post = postings(tokenized, terms.select("scope_id", "term").distinct(), facts)
-    if scoring == "bm25":
-        stats = scope_stats(tokenized)
-        weights = term_weights(tokenized, stats).select("scope_id", "term", "idf")
-        norm = X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * F.col("len") / F.col("avg_len"))
-        post = (
-            post.join(weights, ["scope_id", "term"])
-            .join(stats, "scope_id")
-            .withColumn("impact", F.col("idf") * (F.col("tf") * (X.BM25_K1 + 1)) / (F.col("tf") + norm))
-            .select("scope_id", "pos", "term", "in_header", "impact", *facts)
-        )
-        score = F.sum(F.col("qtf") * F.col("impact"))
-    else:
-        score = F.count(F.lit(1)).cast("double")
-    extra = []
-    if slides:
-        extra = [
-            F.count_if("core").alias("core_overlap"),
-            F.count_if(F.col("core") & F.col("in_header")).alias("header_overlap"),
-        ]
-    return (
-        post.join(terms, ["scope_id", "term"])
-        .groupBy("request_id", "scope_id", "pos", *request_facts, *facts)
-        .agg(score.alias("match_score"), F.count(F.lit(1)).alias("n_matched"), *extra)
+    return met(impacts(chunks, terms, scoring, slides, facts), terms, scoring, slides, (*request_facts, *facts))
+
+
+# --- exact search with pruning ----------------------------------------------------------------
+
+
+@dataclass
+class Pruned:
+    """``best``: the hits of a pruned search; ``report``: what it had and what it read per request."""
+
+    best: DataFrame
+    report: DataFrame
+
+
+def pruned_search(
+    chunks: DataFrame,
+    requests: DataFrame,
+    width: int = BLOCK_WIDTH,
+    slides: bool = False,
+    facts: tuple[str, ...] = (),
+    request_facts: tuple[str, ...] = (),
+    score: Callable[[DataFrame], DataFrame] | None = None,
+    bonus: Column | None = None,
+) -> Pruned:
+    """The k best matching chunks per request, exact, without pairing requests with all matches.
+
+    Postings lie in blocks: the chunks of a section within ``width`` positions. Of each term and
+    block the greatest impact is known.
+
+    1. *Floor.* The ``k`` strongest postings of a request's ``LEADS`` weightiest terms name a few
+       chunks; their k-th score is a floor.
+    2. *Essential terms.* In a block, a request's terms are put in order of what they can add
+       there. Those that cannot reach the floor together are not essential: a chunk that
+       matches no other term is no hit. Only postings of essential terms meet the request; a
+       block without any is skipped. A common word is seldom essential, so its postings, which
+       are most of all, are rarely touched; where it is, they are spread over its blocks.
+    3. *Completion.* Chunks whose essential impacts and the most that the others can add reach
+       the floor are scored in full.
+
+    ``score`` turns match scores into scores (columns score, k); ``bonus`` is what it may add at
+    most to the sum of impacts, beside ``CORE_GAIN`` for each core word of a slide request.
+    """
+    terms = request_terms(requests, request_facts)
+    post = impacts(chunks, terms, "bm25", slides, (*facts, *(() if "section_id" in facts else ("section_id",))))
+    block = F.concat_ws(":", F.coalesce("section_id", F.lit("")), F.floor(F.col("pos") / width))
+    post = written(post.withColumn("block", block), "lexical-postings")
+    most = greatest_k(requests)
+    order = [F.col("score").desc(), F.col("pos")]
+    plain = lambda found: found.withColumn("score", T.settle(F.col("match_score"))).join(requests.select("request_id", "k"), "request_id")
+    gain = lambda impact: F.col("qtf") * F.greatest(impact, F.lit(0.0)) + (F.when(F.col("core"), CORE_GAIN).otherwise(0.0) if slides else F.lit(0.0))
+
+    def completed(found: DataFrame) -> DataFrame:
+        """The k best of the chunks (request_id, scope_id, pos)."""
+        wanted = found.join(terms, ["request_id", "scope_id"])
+        scored = met(post, wanted, "bm25", slides, (*request_facts, *facts), ("scope_id", "pos", "term"))
+        return top_k((score or plain)(scored), ["request_id"], order, "k", "rank", most=most)
+
+    maxima = written(post.groupBy("scope_id", "term", "block").agg(F.max("impact").alias("most"), F.count(F.lit(1)).alias("n")), "lexical-maxima")
+    tops = maxima.groupBy("scope_id", "term").agg(F.max("most").alias("most")).join(terms, ["scope_id", "term"])
+    leads = top_k(tops, ["request_id"], [gain(F.col("most")).desc(), F.col("term")], LEADS, "_n").select("request_id", "scope_id", "term")
+    champions = top_k(post.select("scope_id", "term", "pos", "impact"), ["scope_id", "term"], [F.col("impact").desc(), F.col("pos")], most, "_n")
+    early = completed(champions.join(leads, ["scope_id", "term"]).select("request_id", "scope_id", "pos").distinct())
+    extra = F.lit(0.0) if bonus is None else bonus
+    # sums may differ in their last digits by the order of adding, and scores are settled at six
+    floors = written(early.where(F.col("rank") == F.col("k")).select("request_id", (F.col("score") - 1e-5).alias("_floor")), "lexical-floors")
+
+    carried = ["request_id", "scope_id", "block"]
+    inside = Window.partitionBy("request_id", "block").orderBy("_gain", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weighed = (
+        maxima.join(terms, ["scope_id", "term"])
+        .select(*carried, "term", "qtf", "core", "n", gain(F.col("most")).alias("_gain"), extra.alias("_extra"))
+        .join(floors, "request_id", "left")
+        .withColumn("_reach", F.sum("_gain").over(inside))
+        .withColumn("essential", F.col("_floor").isNull() | (F.col("_reach") + F.col("_extra") >= F.col("_floor")))
     )
+    weighed = written(weighed, "lexical-weighed")
+    rest = weighed.where("not essential").groupBy("request_id", "block").agg(F.max("_reach").alias("_rest"))
+    essential = weighed.where("essential").join(rest, ["request_id", "block"], "left")
+    ceiling = F.sum(gain(F.col("impact"))) + F.first("_rest_or_none") + F.first("_extra")
+    candidates = (
+        post.select("scope_id", "term", "block", "pos", "impact")
+        .join(essential.withColumn("_rest_or_none", F.coalesce("_rest", F.lit(0.0))), ["scope_id", "term", "block"])
+        .groupBy("request_id", "scope_id", "pos")
+        .agg(ceiling.alias("_ceiling"), F.first("_floor").alias("_floor"))
+        .where("_floor is null or _ceiling >= _floor")
+        .select("request_id", "scope_id", "pos")
+    )
+    best = written(completed(candidates), "lexical-best")
+    report = weighed.groupBy("request_id").agg(
+        F.count_distinct("block").alias("n_blocks"),
+        F.count_distinct(F.when(F.col("essential"), F.col("block"))).alias("blocks_read"),
+        F.sum("n").alias("n_postings"),
+        F.sum(F.when(F.col("essential"), F.col("n")).otherwise(0)).alias("postings_read"),
+    )
+    return Pruned(best, report)
 
 
 def _range_of(pos: Column) -> Column:
@@ -209,9 +331,12 @@ def search(
     scoring: str = "bm25",
     slides: bool = False,
     section_boost: bool = True,
+    width: int | None = None,
 ) -> DataFrame:
     """The k best chunks per request, ties in storage order.
 
+    With a block ``width``, blocks of postings that cannot reach a request's k best are skipped
+    (``pruned_search``, for scopes of many chunks); results are the same.
     ``slides`` turns on the courseware adjustment (chunks need is_slide, has_formula).
     Returns request_id, scope_id, pos, score, rank, n_matched.
     """
@@ -259,9 +384,14 @@ def search(
         "request_id", "scope_id", "query", "k", F.col("section_id").alias("wanted"), has_core.alias("has_core")
     )
     carried = ("k",) + (("wanted",) if section_boost else ()) + (("has_core",) if slides else ())
-    matched = match_scores(chunks, asked, scoring, slides, facts, carried)
-    matched = matched.withColumn("score", T.settle(score)).select(*columns)
-    best = written(top_k(matched, ["request_id"], order, "k", "rank", most=most), "lexical-best")
+    if width is None or scoring != "bm25":
+        matched = match_scores(chunks, asked, scoring, slides, facts, carried)
+        matched = matched.withColumn("score", T.settle(score)).select(*columns)
+        best = written(top_k(matched, ["request_id"], order, "k", "rank", most=most), "lexical-best")
+    else:
+        bonus = F.when(F.col("wanted") != "", X.SECTION_BOOST).otherwise(0.0) if section_boost else None
+        settled = lambda found: found.withColumn("score", T.settle(score)).select(*columns)
+        best = pruned_search(chunks, asked, width, slides, facts, carried, settled, bonus).best
 
     # Chunks without a shared token all score alike: 0, or the boost when in the section
     # asked for. They matter only where fewer than k matches score above that.
