@@ -11,6 +11,9 @@ from lectern.catalog.documents import windows
 from lectern.catalog.inputs import table
 from lectern.catalog.parsing import _MERGE, line_pages, page_fragments
 from lectern.catalog.registry import Area
+from lectern.functions import text as T
+from lectern.operators import analyzer
+from lectern.operators.stage import written
 from lectern.plans import enhancement
 from lectern.session import shared_dir
 from lectern.sources.store import Store
@@ -81,3 +84,87 @@ def apply_enhancement(spark, sf_dir):
     )
     counted = joined.join(pages, "doc_id", "left").join(sections, "doc_id", "left").fillna(0, ["n_enhanced", "n_sections", "gist_chars"])
     return counted.withColumn("new_segments", F.lit(added))
+
+
+# ---------------------------------------------------------------- the analyzer
+
+_SECTIONS = """
+se AS (SELECT doc_id, page_num // 3 AS section_no, CASE WHEN (page_num // 3) % 4 = 3 THEN 'no such title' ELSE text[:20] END AS title,
+  CASE WHEN (page_num // 3) % 2 = 0 THEN page_num // 6 END AS page_start FROM ln WHERE page_num % 3 = 0)"""
+
+
+def third_line_sections(spark, sf_dir) -> DataFrame:
+    """Every third line begins a section; half of them know their page, some have titles that stand nowhere."""
+    no = F.floor(F.col("page_num") / 3)
+    return line_pages(spark, sf_dir).where("page_num % 3 = 0").select(
+        "doc_id", no.alias("section_no"), no.cast("string").alias("section_id"), F.lit(1).alias("level"),
+        F.when(no % 4 == 3, "no such title").otherwise(F.left("text", F.lit(20))).alias("title"),
+        F.when(no % 2 == 0, F.floor(F.col("page_num") / 6)).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"),
+    )
+
+
+@query(
+    "analyzer_windows",
+    f"""WITH {Q.LINES}, {_SECTIONS},
+k AS (SELECT se.*, d.text, position(title IN text) AS p FROM se JOIN documents d USING (doc_id) WHERE section_no < 10),
+w AS (SELECT *, greatest(0, CASE WHEN page_start IS NOT NULL THEN page_start * 3000 - 500 WHEN title = '' THEN 0 WHEN p > 0 THEN p - 1 - 200 ELSE 0 END) AS a,
+  least(length(text), CASE WHEN page_start IS NOT NULL THEN page_start * 3000 + 3500 WHEN title = '' THEN 3000 WHEN p > 0 THEN p - 1 + 3000 ELSE 3000 END) AS z FROM k),
+x AS (SELECT doc_id, section_no, CASE WHEN a < z THEN substr(text, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) ELSE '' END AS t FROM w)
+SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, length(t) AS n_chars, md5(t) AS digest, md5(t[:2000]) AS l0_digest, md5(t[:5000]) AS l1_digest FROM x
+UNION ALL SELECT doc_id, -1, length(text[:8000]), md5(text[:8000]), NULL, NULL FROM documents""",
+)
+def analyzer_windows(spark, sf_dir):
+    """What the analyzer reads of each document and section, cut from page rows."""
+    pages = line_pages(spark, sf_dir)
+    found = analyzer.section_windows(pages, third_line_sections(spark, sf_dir))
+    windows = found.select(
+        "doc_id", F.col("section_no").cast("long").alias("section_no"), F.length("window").cast("long").alias("n_chars"),
+        F.md5("window").alias("digest"), F.md5("l0_text").alias("l0_digest"), F.md5("l1_text").alias("l1_digest"),
+    )
+    none = F.lit(None).cast("string")
+    start = analyzer.opening(pages).select(
+        "doc_id", F.lit(-1).cast("long").alias("section_no"), F.length("excerpt").cast("long").alias("n_chars"), F.md5("excerpt").alias("digest"), none.alias("l0_digest"), none.alias("l1_digest")
+    )
+    return windows.unionByName(start)
+
+
+def analyzer_answers(spark, sf_dir) -> DataFrame:
+    """Answers of every kind a model gives, made from the lines of a document: fenced, without
+    sections, broken, sections that are no list, an empty list, prose around, a bare list."""
+    d = table(spark, sf_dir, "documents")
+    lines = F.filter(F.split("text", "\n"), lambda t: T.strip(t) != "")
+    item = lambda t, i: F.struct(F.when(i % 2 == 0, F.concat(F.lit("m"), i.cast("string"))).alias("section_id"), F.left(t, F.lit(30)).alias("title"), i.alias("page_start"))
+    full = F.to_json(F.struct(F.col("lang").alias("language"), F.transform(lines, item).alias("sections")))
+    small = F.to_json(F.struct(F.col("source").alias("doc_type"), F.col("n_chars").alias("estimated_reading_time")))
+    odd = F.to_json(F.struct(F.lit("advanced").alias("difficulty"), F.struct(F.lit("x").alias("title")).alias("sections")))
+    empty = F.to_json(F.struct(F.array().cast("array<struct<title:string>>").alias("sections"), F.col("lang").alias("language")))
+    kind = F.col("doc_id") % 7
+    answer = (
+        F.when(kind == 0, F.concat(F.lit("```json\n"), full, F.lit("\n```"))).when(kind == 1, small)
+        .when(kind == 2, F.concat(F.lit("{\"sections\": ["), F.left(F.col("lang"), F.lit(1)))).when(kind == 3, odd).when(kind == 4, empty)
+        .when(kind == 5, F.concat(F.lit("Here it is: "), full, F.lit(" as asked"))).otherwise(F.to_json(F.transform(lines, item)))
+    )
+    return d.select("doc_id", answer.alias("answer"))
+
+
+@query(
+    "analyzer_sections",
+    f"""WITH {Q.LINES}, {_SECTIONS},
+li AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) - 1 AS i FROM ln WHERE {Q.strip('text')} <> ''),
+md AS (SELECT doc_id, i AS section_no, CASE WHEN i % 2 = 0 THEN 'm' || i ELSE CAST(i AS VARCHAR) END AS section_id, text[:30] AS title, CAST(i AS INTEGER) AS page_start, 'model' AS origin FROM li WHERE doc_id % 7 IN (0, 5)),
+has AS (SELECT DISTINCT doc_id FROM md),
+pa AS (SELECT doc_id, section_no, CAST(section_no AS VARCHAR), title, CAST(page_start AS INTEGER), 'parser' FROM se WHERE doc_id % 7 IN (0, 1, 3, 4, 5) AND doc_id NOT IN (SELECT doc_id FROM has)),
+a AS (SELECT * FROM md UNION ALL SELECT * FROM pa)
+SELECT d.doc_id, CASE WHEN d.doc_id % 7 IN (2, 6) THEN 'no JSON object in the answer' ELSE '' END AS error, CASE WHEN d.doc_id % 7 = 1 THEN source ELSE 'research_paper' END AS doc_type,
+  CASE WHEN d.doc_id % 7 IN (0, 4, 5) THEN lang ELSE 'en' END AS language, CASE WHEN d.doc_id % 7 = 3 THEN 'advanced' ELSE 'intermediate' END AS difficulty,
+  CASE WHEN d.doc_id % 7 = 1 THEN CAST(n_chars AS INTEGER) ELSE 30 END AS minutes, CAST(a.section_no AS BIGINT) AS section_no, a.section_id, a.title, a.page_start, a.origin
+FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id""",
+)
+def analyzer_sections(spark, sf_dir):
+    """Answers parsed and their sections merged with the parser's, the model's first."""
+    answered = analyzer_answers(spark, sf_dir).select("doc_id", analyzer.parsed_answer(F.col("answer")).alias("understanding"))
+    answered = written(answered, "analyzer-answers")
+    merged = analyzer.merged_sections(answered, third_line_sections(spark, sf_dir)).select("doc_id", "section_no", "section_id", "title", "page_start", "origin")
+    u = lambda name, new=None: F.col(f"understanding.{name}").alias(new or name)
+    told = answered.select("doc_id", u("error"), u("doc_type"), u("language"), u("difficulty"), u("estimated_reading_time", "minutes"))
+    return told.join(merged, "doc_id", "left")
