@@ -256,6 +256,19 @@ def vector_topk(spark, sf_dir):
     return result(vector_hits(spark, sf_dir))
 
 
+@query(
+    "vector_library_cells",
+    f"""WITH ve AS (SELECT vec_id AS pos, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), qe AS (SELECT pos AS q, v AS qv FROM ve WHERE pos % 20 = 0),
+vec AS (SELECT q, pos, {Q.settle('greatest(0.0, list_cosine_similarity(qv, v))')} AS score FROM qe JOIN ve ON true)
+SELECT CAST(q AS VARCHAR) AS request_id, pos, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, pos) AS rank FROM vec QUALIFY rank <= 8""",
+)
+def vector_library_cells(spark, sf_dir):
+    """Every twentieth vector asks the whole library; cells that cannot hold a neighbour are skipped."""
+    e = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("scope_id"), F.col("vec_id").alias("pos"), "embedding")
+    asked = e.where("pos % 20 = 0").select(F.col("pos").cast("string").alias("request_id"), "scope_id", "embedding", F.lit(8).alias("k"))
+    return result(vector.nearest_in_cells(vector.in_cells(e), asked)[0])
+
+
 @query(
     "vector_metadata_roundtrip",
     f"""SELECT doc_id, text, source AS section_id, CASE WHEN n_chars % 2 = 0 THEN CAST(n_chars % 50 AS INTEGER) END AS page_start,
