@@ -12,7 +12,7 @@ from lectern.catalog.inputs import table
 from lectern.catalog.parsing import _MERGE, line_pages, page_fragments
 from lectern.catalog.registry import Area
 from lectern.functions import text as T
-from lectern.operators import analyzer
+from lectern.operators import analyzer, prefixes
 from lectern.operators.stage import written
 from lectern.plans import enhancement
 from lectern.session import shared_dir
@@ -168,3 +168,33 @@ def analyzer_sections(spark, sf_dir):
     u = lambda name, new=None: F.col(f"understanding.{name}").alias(new or name)
     told = answered.select("doc_id", u("error"), u("doc_type"), u("language"), u("difficulty"), u("estimated_reading_time", "minutes"))
     return told.join(merged, "doc_id", "left")
+
+
+# ---------------------------------------------------------------- contextual prefixes
+
+
+def _fails_for_a_third(prompts: list[str]) -> list[str]:
+    if any(len(p) % 3 == 0 for p in prompts):
+        raise RuntimeError("no answer")
+    return [f"first {len(p)}" for p in prompts]
+
+
+def _answers_all(prompts: list[str]) -> list[str]:
+    return [f"again {len(p)}" for p in prompts]
+
+
+@query(
+    "contextual_prefixes",
+    f"""WITH {Q.LINES}, c AS (SELECT ln.doc_id, page_num, 92 + least(2000, length(d.text)) + least(1000, length(ln.text)) AS n FROM ln JOIN documents d ON d.doc_id = ln.doc_id)
+SELECT 1 AS run, CAST(doc_id AS VARCHAR) AS doc_id, page_num AS pos, 'first ' || n AS contextual_prefix FROM c WHERE n % 3 <> 0
+UNION ALL SELECT 2, CAST(doc_id AS VARCHAR), page_num, CASE WHEN n % 3 = 0 THEN 'again ' ELSE 'first ' END || n FROM c""",
+)
+def contextual_prefixes(spark, sf_dir):
+    """Every line as a chunk. The slot fails for a third of them, which drop; a second run asks only those."""
+    store = new_store(spark)
+    chunks = line_pages(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page_num").alias("pos"), "text")
+    contexts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("context"))
+    first, _ = prefixes.with_prefixes(store, chunks, contexts, _fails_for_a_third)
+    first = written(first.select(F.lit(1).alias("run"), "doc_id", "pos", "contextual_prefix"), "prefixes-first")
+    second, _ = prefixes.with_prefixes(store, chunks, contexts, _answers_all)
+    return first.unionByName(second.select(F.lit(2).alias("run"), "doc_id", "pos", "contextual_prefix"))

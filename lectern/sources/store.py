@@ -29,7 +29,7 @@ FOLD_SHARE = 0.25
 ARTIFACTS = (
     "documents parsed_docs doc_pages enhanced_pages doc_sections section_summaries chunks vectors page_quality ocr_pages "
     "vision_pages understanding analysis_meta briefs translations learning_events concept_memory term_log "
-    "reflections session_summaries validation_records reading_records derivations"
+    "reflections session_summaries validation_records reading_records derivations prefixes"
 ).split()
 STATUSES = "uploaded parsing chunking summarizing indexing ready failed".split()
 #: What a stored row does to the earlier rows of its document.
