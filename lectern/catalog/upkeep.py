@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.catalog import sql as Q
 from lectern.catalog.documents import windows
 from lectern.catalog.inputs import table
+from lectern.catalog.learning import EVENT_CONCEPTS, STATUS, learning_events
 from lectern.catalog.parsing import _MERGE, line_pages, page_fragments
 from lectern.catalog.registry import Area
 from lectern.functions import text as T
-from lectern.operators import analyzer, prefixes
+from lectern.operators import analyzer, memory, prefixes, snapshot
 from lectern.operators.stage import written
 from lectern.plans import enhancement
 from lectern.session import shared_dir
@@ -198,3 +199,42 @@ def contextual_prefixes(spark, sf_dir):
     first = written(first.select(F.lit(1).alias("run"), "doc_id", "pos", "contextual_prefix"), "prefixes-first")
     second, _ = prefixes.with_prefixes(store, chunks, contexts, _answers_all)
     return first.unionByName(second.select(F.lit(2).alias("run"), "doc_id", "pos", "contextual_prefix"))
+
+
+# ---------------------------------------------------------------- memory as of a time
+
+_TIMES = ("2024-01-03 06:00:00", "2024-01-15 12:00:00", "2024-02-01 00:00:00")
+
+
+@query(
+    "memory_snapshot",
+    f"""WITH {EVENT_CONCEPTS},
+r AS (SELECT DISTINCT doc_id || '@' || asked AS request_id, doc_id, CAST(asked AS TIMESTAMP) AS until FROM ev, (SELECT unnest([{', '.join(Q.q(t) for t in _TIMES)}]) AS asked)),
+e AS (SELECT r.request_id, evp.* FROM r JOIN evp ON evp.doc_id = r.doc_id AND evp.ts <= r.until),
+pos AS (SELECT request_id, doc_id || ':' || arg_max(section_id, id) AS p FROM e GROUP BY request_id, doc_id),
+act AS (SELECT request_id, id, CASE event_type WHEN 'section_read' THEN 'Read ' || title[:80] WHEN 'chat_question' THEN 'Asked: ' || message[:120]
+   WHEN 'translate_text' THEN 'Translated selected text' WHEN 'explain_text' THEN 'Explained selected text' ELSE 'Reviewed study brief' END AS action FROM e),
+summ AS (SELECT request_id, 'Recent learning actions: ' || string_agg(action, ' | ' ORDER BY id) AS s FROM (SELECT * FROM act QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY id DESC) <= 8) GROUP BY request_id),
+gl AS (SELECT request_id, 'topic' || k AS term, max(id) AS id, arg_max(title, id) AS tr FROM e GROUP BY ALL),
+g AS (SELECT request_id, string_agg(term || '|||' || tr, ', ' ORDER BY id) AS g FROM (SELECT * FROM gl QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY id DESC) <= 20) GROUP BY request_id),
+cr AS (SELECT r.request_id, concept, count(*) AS n, arg_max({STATUS}, id) AS status, max(ts) AS seen, max(id) AS last_id FROM r JOIN cx ON cx.doc_id = r.doc_id AND cx.ts <= r.until GROUP BY r.request_id, concept),
+c AS (SELECT request_id, string_agg(concept || ' (' || status || ', evidence=' || n || ')', ';' ORDER BY nth) AS c FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY seen DESC, last_id DESC, concept) AS nth FROM cr QUALIFY nth <= 30) GROUP BY request_id),
+rec AS (SELECT request_id, string_agg(id, ',' ORDER BY id DESC) AS i FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY id DESC) <= 30) GROUP BY request_id)
+SELECT r.request_id, coalesce(p, '') AS current_position, coalesce(s, '') AS session_summary, coalesce(g.g, '') AS active_glossary, coalesce(c.c, '') AS concepts, coalesce(i, '') AS recent_events
+FROM r LEFT JOIN pos USING (request_id) LEFT JOIN summ USING (request_id) LEFT JOIN g USING (request_id) LEFT JOIN c USING (request_id) LEFT JOIN rec USING (request_id)""",
+)
+def memory_snapshot(spark, sf_dir):
+    """Every document's memory as it stood at three times."""
+    events = learning_events(spark, sf_dir)
+    at = F.explode(F.array(*map(F.lit, _TIMES))).alias("_at")
+    requests = events.select("doc_id").distinct().select("doc_id", at)
+    requests = requests.select(F.concat("doc_id", F.lit("@"), "_at").alias("request_id"), "doc_id", F.to_timestamp("_at").alias("at"))
+    terms = events.select(
+        "doc_id", "id", "ts", F.substring_index(memory.payload_field("message"), " ", 1).alias("term"), memory.payload_field("title").alias("translation")
+    )
+    found = snapshot.snapshots(events, requests, terms)
+    return found.select(
+        "request_id", "current_position", "session_summary", F.array_join("active_glossary", ", ").alias("active_glossary"),
+        F.array_join("concepts", ";").alias("concepts"), F.array_join(F.col("recent_events").cast("array<string>"), ",").alias("recent_events"),
+    )
