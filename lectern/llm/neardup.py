@@ -6,7 +6,7 @@
    in at most ``FAR = 2 * CHUNKS - 1`` symbols, some chunk differs in at most one. Each chunk is
    therefore indexed under its deletion variants, one symbol left out each time, so all pairs
    within ``FAR`` share a key. A link at the least similarity is further apart than ``FAR``
-   with a chance under one in a million (binomial tail).
+   with a chance of 2.3 in a million (binomial tail: 60 symbols, each other with 0.15).
 3. *Clusters, not pairs.* Of a key only its smallest member, largest member and size are
    aggregated (map-side); members hang on the smallest. Components of those stars are clusters
    that no link leaves. A bucket of n members gives n edges, never n^2.
@@ -18,7 +18,10 @@
 
 Defined results: null, empty and blank texts have no shingles and stay alone; texts of fewer
 words than a shingle are one shingle; a null doc_id is in no one's reach, stays alone and is
-kept; repeated rows each come back, with one component; extra columns are ignored.
+kept; repeated rows each come back, with one component; extra columns are ignored. A doc_id on
+rows with different texts names several documents: each text has its own links, and the smallest
+doc_id among the rows it reaches. Classes therefore have numbers of their own, and a class's text
+is found again by doc_id and a hash of the text, so an id on many texts stays a narrow key.
 """
 
 from __future__ import annotations
@@ -79,15 +82,20 @@ def signature(found: np.ndarray) -> bytes:
     return ((least * MIX) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
+def _digest(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[bytes, int] = {}
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+        for text in batch["text"]:
             found = shingles(text, known)
-            whole = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
-            rows.append((doc_id, len(found), whole, signature(found) if len(found) else None))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [r[1] for r in rows], "digest": [r[2] for r in rows], "sig": [r[3] for r in rows]})
+            rows.append((len(found), _digest(found), signature(found)) if len(found) else (0, None, None))
+        yield pd.DataFrame(
+            {"doc_id": batch["doc_id"], "print": batch["print"], "n_shingles": [r[0] for r in rows], "digest": [r[1] for r in rows], "sig": [r[2] for r in rows]}
+        )
 
 
 # --- multi-index join --------------------------------------------------------------------
@@ -113,19 +121,19 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = batch.iloc[i : i + 2000]
             symbols = np.frombuffer(b"".join(part["sig"]), dtype=np.uint16).reshape(len(part), SYMBOLS)
             keys = index_keys(symbols).astype(np.int64)
-            yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(part["rep"].to_numpy(), keys.shape[1])})
+            yield pd.DataFrame({"key": keys.ravel(), "cls": np.repeat(part["cls"].to_numpy(), keys.shape[1])})
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) over representatives whose components hold every pair within ``FAR``."""
-    keys = reps.select("rep", "sig").mapInPandas(_index, "key long, rep long")
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+def candidate_edges(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) over classes whose components hold every pair within ``FAR``."""
+    keys = classes.select("cls", "sig").mapInPandas(_index, "key long, cls long")
+    buckets = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     buckets = written(buckets, "buckets")
     pairs = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     large = buckets.where("n > 2").select("key", "lo")
     if large.count() <= BROADCAST_ROWS:
         large = F.broadcast(large)
-    stars = keys.join(large, "key").where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
+    stars = keys.join(large, "key").where("cls > lo").select(F.col("lo").alias("a"), F.col("cls").alias("b"))
     return written(pairs.unionByName(stars).distinct(), "candidates")
 
 
@@ -141,14 +149,23 @@ def _deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, c in enumerate(own):
             cluster, n = (c, n + 1) if c == cluster else (c, 0)
             blocks[i] = n // BLOCK
-        yield pd.DataFrame({"cluster": own, "block": batch["part"].to_numpy() * (1 << 32) + blocks, "rep": batch["rep"]})
+        yield batch.drop(columns="part").assign(block=batch["part"].to_numpy() * (1 << 32) + blocks)
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sets of the classes, each once a partition; what only shares id and hash with a class goes."""
     known: dict[bytes, int] = {}
+    done: set[int] = set()
     for batch in batches:
-        found = [shingles(t, known) for t in batch["text"]]
-        yield pd.DataFrame({"cluster": batch["cluster"], "block": batch["block"], "rep": batch["rep"], "shingles": [f.tobytes() for f in found], "sig": [signature(f) for f in found]})
+        rows = []
+        for row in batch.itertuples(index=False):
+            if row.cls in done:
+                continue
+            found = shingles(row.text, known)
+            if _digest(found) == row.digest:
+                done.add(row.cls)
+                rows.append((row.cluster, row.block, row.cls, found.tobytes(), signature(found)))
+        yield pd.DataFrame(rows, columns=["cluster", "block", "cls", "shingles", "sig"])
 
 
 class Unions:
@@ -191,15 +208,15 @@ def link(rows: pd.DataFrame, unions: Unions, left: np.ndarray, right: np.ndarray
 
 
 def _link_block(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("rep", kind="stable").drop_duplicates("rep").reset_index(drop=True)
-    unions, every = Unions(rows["rep"].tolist()), np.arange(len(rows))
+    rows = rows.sort_values("cls", kind="stable").drop_duplicates("cls").reset_index(drop=True)
+    unions, every = Unions(rows["cls"].tolist()), np.arange(len(rows))
     link(rows, unions, every, every)
-    reps = rows["rep"].to_numpy()
-    return pd.DataFrame({"cluster": rows["cluster"], "block": rows["block"], "rep": reps, "label": reps[[unions.root(i) for i in range(len(rows))]]})
+    names = rows["cls"].to_numpy()
+    return pd.DataFrame({"cluster": rows["cluster"], "block": rows["block"], "cls": names, "label": names[[unions.root(i) for i in range(len(rows))]]})
 
 
 def _link_cell(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["label", "rep"], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["label", "cls"], kind="stable").reset_index(drop=True)
     unions = Unions(rows["label"].tolist())
     left = np.flatnonzero(rows["block"] == rows["b1"])
     right = np.flatnonzero(rows["block"] == rows["b2"])
@@ -215,46 +232,59 @@ def _across_blocks(sets: DataFrame, labels: DataFrame) -> DataFrame:
     two = blocks.select("cluster", F.col("block").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     cells = one.join(two, "cluster").where("b1 < b2 and not (lo1 = hi2 and hi1 = lo2 and lo1 = hi1)").select("cluster", "b1", "b2")
     ends = cells.select("cluster", "b1", "b2", F.explode(F.array("b1", "b2")).alias("block"))
-    members = sets.join(labels.select("rep", "label"), "rep").join(ends, ["cluster", "block"])
+    members = sets.join(labels.select("cls", "label"), "cls").join(ends, ["cluster", "block"])
     return members.groupBy("cluster", "b1", "b2").applyInPandas(_link_cell, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs`` (doc_id, text)."""
-    id_type = docs.schema["doc_id"].dataType
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = written(plain.mapInPandas(_sketch, "doc_id long, n_shingles long, digest binary, sig binary"), "sketches")
+def _judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, print, n_shingles, component), one row per row of ``docs``; ``print`` is the hash of its text."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    sketches = written(plain.mapInPandas(_sketch, "doc_id long, print long, n_shingles long, digest binary, sig binary"), "sketches")
     named = sketches.where("digest is not null and doc_id is not null")
-    reps = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.count("*").alias("n")), "reps")
-    clusters = components(candidate_edges(reps)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    ordered = reps.join(clusters, "rep").select("cluster", "sig", "rep", "digest").repartitionByRange("cluster", "sig", "rep").sortWithinPartitions("cluster", "sig", "rep")
-    dealt = written(ordered.select("cluster", "rep", F.spark_partition_id().cast("long").alias("part")).mapInPandas(_deal, "cluster long, block long, rep long"), "blocks")
+    first = F.min(F.struct("doc_id", "print")).alias("first")
+    classes = named.groupBy("digest").agg(first, F.min("sig").alias("sig"), F.count("*").alias("n"))
+    # the numbers are written with their rows: whatever runs later reads the same ones
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "first.doc_id", "first.print", "sig", "n"), "classes")
+    clusters = components(candidate_edges(classes)).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
+    ordered = classes.join(clusters, "cls").repartitionByRange("cluster", "sig", "cls").sortWithinPartitions("cluster", "sig", "cls")
+    dealt = ordered.select("cluster", "cls", "doc_id", "print", "digest", F.spark_partition_id().cast("long").alias("part"))
+    dealt = written(dealt.mapInPandas(_deal, "cluster long, block long, cls long, doc_id long, print long, digest binary"), "blocks")
     small = F.broadcast if dealt.count() <= BROADCAST_ROWS else (lambda df: df)
-    # a doc_id can stand on rows with different texts: the digest says which one is meant
-    texts = plain.join(small(dealt), plain["doc_id"] == dealt["rep"]).select("cluster", "block", "rep", "text")
-    sets = written(texts.mapInPandas(_sets, "cluster long, block long, rep long, shingles binary, sig binary"), "sets")
-    labels = written(sets.groupBy("cluster", "block").applyInPandas(_link_block, "cluster long, block long, rep long, label long"), "linked")
+    texts = plain.join(small(dealt), ["doc_id", "print"]).select("cluster", "block", "cls", "digest", "text")
+    sets = written(texts.mapInPandas(_sets, "cluster long, block long, cls long, shingles binary, sig binary"), "sets")
+    labels = written(sets.groupBy("cluster", "block").applyInPandas(_link_block, "cluster long, block long, cls long, label long"), "linked")
     across = written(_across_blocks(sets, labels), "across")
-    joined = components(across).select(F.col("node").alias("label"), "component")
-    final = labels.join(joined, "label", "left").select("rep", F.coalesce("component", "label").alias("component"))
-    classes = reps.join(final, "rep", "left").where("n > 1 or component <> rep").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(
+    joined = components(across).select(F.col("node").alias("label"), F.col("component").alias("united"))
+    final = labels.join(joined, "label", "left").select("cls", F.coalesce("united", "label").alias("united"))
+    linked = written(classes.join(final, "cls").select("cls", "united", "doc_id"), "united")
+    least = linked.groupBy("united").agg(F.min("doc_id").alias("least"))
+    reach = linked.join(least, "united").select("cls", "least")
+    found = classes.join(reach, "cls", "left").where("n > 1 or least <> doc_id").select("digest", F.coalesce("least", "doc_id").alias("component"))
+    return sketches.join(found, "digest", "left").select(
+        "doc_id", "print", "n_shingles", F.coalesce("component", "doc_id").alias("component")
+    )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs`` (doc_id, text)."""
+    id_type = docs.schema["doc_id"].dataType
+    return _judged(docs).select(
         F.col("doc_id").cast(id_type).alias("doc_id"),
         "n_shingles",
-        component.cast(id_type).alias("component_id"),
-        (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"),
+        F.col("component").cast(id_type).alias("component_id"),
+        (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component"))).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that have a smaller doc_id in their group; columns as they are.
 
-    The ids to drop are joined, not the ids to keep: they are the smaller side, and the texts
-    are shuffled only if even those are too many to broadcast.
+    The texts to drop are joined, not those to keep: they are the smaller side, and the documents
+    are shuffled only if even those are too many to broadcast. A text is named by doc_id and
+    hash, so a document is not dropped for another one of its id.
     """
-    drop = written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_drop")).distinct(), "copies")
+    drop = _judged(docs).where("doc_id <> component").select(F.col("doc_id").alias("_drop"), F.col("print").alias("_print")).distinct()
+    drop = written(drop, "copies")
     if drop.count() <= BROADCAST_ROWS:
         drop = F.broadcast(drop)
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
+    return docs.join(drop, (docs["doc_id"] == drop["_drop"]) & (F.xxhash64(docs["text"]) == drop["_print"]), "left_anti")

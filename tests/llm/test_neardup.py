@@ -56,6 +56,25 @@ def test_matches_brute_force(spark, monkeypatch, block):
     assert got == brute(rows)
 
 
+def judged(docs):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()), key=str)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_one_id_on_several_texts(spark, turned):
+    rng = random.Random(3)
+    a, b, c = ([f"{t}{rng.randrange(10**6)}" for _ in range(300)] for t in "abc")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "more"])), (9, " ".join([*b, "more"])), (9, " ".join(c))]
+    # an id on many texts, each with a copy under an id of its own, and one text many times
+    many = [[f"m{i}x{rng.randrange(10**6)}" for _ in range(60)] for i in range(80)]
+    rows += [(50, " ".join(m)) for m in many] + [(100 + i, " ".join([*m, "more"])) for i, m in enumerate(many)] + [(50, " ".join(many[0]))] * 40
+    rows = rows[::-1] if turned else rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert judged(docs) == brute(rows)
+    kept = sorted((r.doc_id, r.text) for r in neardup.keep_one(docs).collect())
+    assert kept == sorted((d, t) for d, t in rows if d in (5, 50) or t == " ".join(c))
+
+
 def test_pairs_within_the_threshold_share_a_key():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 16, neardup.SYMBOLS, dtype=np.uint16)
