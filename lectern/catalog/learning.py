@@ -397,16 +397,16 @@ def layer_resolution(spark, sf_dir):
     return made.select("doc_id", "section_id", analysis.resolve_layer(l0, l1, n % 5 == 0).alias("r")).select("doc_id", "section_id", "r.*")
 
 
-@query(
-    "section_text_resolution",
-    f"""WITH {Q.LINES}, k AS (SELECT *, (doc_id + page_num) % 5 AS kind, {Q.strip('text')} AS s FROM ln),
+_SECTION_TEXT = f"""WITH {Q.LINES}, k AS (SELECT *, (doc_id + page_num) % 5 AS kind, {Q.strip('text')} AS s FROM ln),
 pr AS (SELECT a.doc_id, a.page_num, string_agg(b.s, chr(10) || chr(10) ORDER BY b.page_num) AS ranged FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.page_num BETWEEN a.page_num AND a.page_num + 2 AND b.s <> '' WHERE a.kind = 3 GROUP BY ALL)
 SELECT k.doc_id, CASE kind WHEN 2 THEN 'slide_' ELSE 'sec_' END || k.page_num AS section_id,
   CASE kind WHEN 0 THEN s || chr(10) || chr(10) || 'more' WHEN 1 THEN 'parsed ' || s WHEN 2 THEN s WHEN 3 THEN ranged ELSE 'gist ' || s END AS text,
   CASE kind WHEN 0 THEN 'chunks' WHEN 1 THEN 'parsed' WHEN 2 THEN 'slide' WHEN 3 THEN 'pages' ELSE 'gist' END AS text_source
-FROM k LEFT JOIN pr ON pr.doc_id = k.doc_id AND pr.page_num = k.page_num WHERE s <> ''""",
-)
-def section_text_resolution(spark, sf_dir):
+FROM k LEFT JOIN pr ON pr.doc_id = k.doc_id AND pr.page_num = k.page_num WHERE s <> ''"""
+
+
+def section_sources(spark, sf_dir):
+    """Lines as sections whose text stands in their chunks, the parse, a slide, pages, or the gist only."""
     p = line_pages(spark, sf_dir).where(T.strip(F.col("text")) != "").withColumn("kind", (F.col("doc_id") + F.col("page_num")) % 5)
     sid = F.concat(F.when(F.col("kind") == 2, "slide_").otherwise("sec_"), F.col("page_num").cast("string"))
     k = p.withColumn("section_id", sid)
@@ -420,7 +420,34 @@ def section_text_resolution(spark, sf_dir):
         at(0).select("doc_id", "section_id", F.lit(1).alias("pos"), F.lit(" more ").alias("text"))
     )
     parsed = at(1).select("doc_id", "section_id", F.lit(0).alias("section_no"), F.concat(F.lit("parsed "), T.strip(F.col("text"))).alias("text"))
-    return analysis.section_text(sections, chunks, parsed, p.select("doc_id", "page_num", "text"))
+    return (sections, chunks, parsed, p.select("doc_id", "page_num", "text"))
+
+
+@query("section_text_resolution", _SECTION_TEXT)
+def section_text_resolution(spark, sf_dir):
+    return analysis.section_text(*section_sources(spark, sf_dir))
+
+
+#: A text as its pieces, for SQL over (keys, text).
+_PIECES = "unnest(range(0, CAST(ceil(length(text) / 4096.0) AS BIGINT))) AS piece_no"
+
+
+@query(
+    "section_text_pieces",
+    f"""SELECT doc_id, section_id, text_source, piece_no, substr(text, piece_no * 4096 + 1, 4096) AS piece FROM (SELECT *, {_PIECES} FROM ({_SECTION_TEXT}))""",
+)
+def section_text_pieces(spark, sf_dir):
+    return analysis.section_text_pieces(*section_sources(spark, sf_dir))
+
+
+@query(
+    "document_text_pieces",
+    f"""WITH {Q.LINES}, f AS (SELECT doc_id, {Q.strip("string_agg(text, chr(10) || chr(10) ORDER BY page_num)")} AS text FROM ln WHERE text <> '' GROUP BY doc_id)
+SELECT doc_id, piece_no, md5(substr(text, piece_no * 4096 + 1, 4096)) AS digest FROM (SELECT *, {_PIECES} FROM f)""",
+)
+def document_text_pieces(spark, sf_dir):
+    p = line_pages(spark, sf_dir).withColumnRenamed("page_num", "pos")
+    return analysis.full_text_pieces(p).select("doc_id", "piece_no", F.md5("piece").alias("digest"))
 
 
 @query(

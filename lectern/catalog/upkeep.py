@@ -17,6 +17,7 @@ from lectern.operators import analyzer, memory, prefixes, snapshot
 from lectern.operators.stage import written
 from lectern.plans import enhancement
 from lectern.session import shared_dir
+from lectern.sources import reflections
 from lectern.sources.store import Store
 
 AREA = Area()
@@ -238,3 +239,34 @@ def memory_snapshot(spark, sf_dir):
         "request_id", "current_position", "session_summary", F.array_join("active_glossary", ", ").alias("active_glossary"),
         F.array_join("concepts", ";").alias("concepts"), F.array_join(F.col("recent_events").cast("array<string>"), ",").alias("recent_events"),
     )
+
+
+# ---------------------------------------------------------------- reflections
+
+_READING = """SELECT source || ': ' || lang || '/all' AS title, lang, source, date '2024-01-01' + CAST(min(doc_id) % 28 AS INTEGER) AS day, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY ALL"""
+
+
+@query(
+    "reflections_round_trip",
+    f"""WITH r AS ({_READING}), f AS (SELECT strftime(day, '%Y-%m-%d') || '_' || title || '.md' AS file_name,
+  '---' || chr(10) || 'date: ' || strftime(day, '%Y-%m-%d') || chr(10) || 'tags: [' || lang || ', ' || source || ']' || chr(10) || 'type: reflection' || chr(10) || '---' || chr(10) || chr(10)
+  || CASE WHEN lang = 'en' THEN 'Again: ' ELSE '' END || n || ' texts' || chr(10) || chars || ' characters' AS text FROM r)
+SELECT *, file_name = (SELECT max(file_name) FROM f) AS is_latest FROM f""",
+)
+def reflections_round_trip(spark, sf_dir):
+    """What was read of each source in each language, saved as entries; those of one language saved again."""
+    folder = f"{shared_dir(spark).rstrip('/')}/lectern-reflections-{uuid.uuid4().hex}"
+    read = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(
+        F.min("doc_id").alias("first"), F.count("*").alias("n"), F.sum("n_chars").alias("chars")
+    )
+    told = F.concat(F.col("n").cast("string"), F.lit(" texts\n"), F.col("chars").cast("string"), F.lit(" characters"))
+    entries = read.select(
+        F.date_add(F.lit("2024-01-01"), (F.col("first") % 28).cast("int")).alias("day"), F.concat("source", F.lit(": "), "lang", F.lit("/all")).alias("title"),
+        F.array("lang", "source").alias("tags"), told.alias("content"), F.lit(1).alias("saved"), "lang",
+    )
+    entries = written(entries, "reflections")
+    reflections.save(entries, folder)
+    reflections.save(entries.where("lang = 'en'").withColumn("content", F.concat(F.lit("Again: "), "content")).withColumn("saved", F.lit(2)), folder)
+    newest = reflections.latest(spark, folder).select("file_name", F.lit(True).alias("_newest"))
+    found = reflections.stored(spark, folder).join(newest, "file_name", "left")
+    return found.select("file_name", "text", F.coalesce("_newest", F.lit(False)).alias("is_latest"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import fixed as X
 from lectern.functions import text as T
+from lectern.operators import assembly
 from lectern.operators.ranking import running_before, top_k
 
 
@@ -148,8 +149,40 @@ def section_text(sections: DataFrame, chunk_texts: DataFrame, parsed: DataFrame,
     )
 
 
+def section_text_pieces(sections: DataFrame, chunk_texts: DataFrame, parsed: DataFrame, pages: DataFrame) -> DataFrame:
+    """``section_text`` for sections of any length: (doc_id, section_id, text_source, piece_no, piece).
+
+    What a section has is decided on keys alone; only the texts of its best source are placed and
+    cut. A section without any text has no piece.
+    """
+    keys = ["doc_id", "section_id"]
+    rows = lambda df, source, rank, at: df.select(
+        *keys, F.lit(rank).alias("rank"), F.lit(source).alias("text_source"), F.col(at).cast("long").alias("at"), "text"
+    )
+    stripped = lambda df: df.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).where("text <> ''")
+    pages = stripped(pages.select("doc_id", "page_num", "text"))
+    slide = pages.withColumn("section_id", F.concat(F.lit("slide_"), F.col("page_num").cast("string")))
+    first = parsed.groupBy(*keys).agg(F.min_by("text", "section_no").alias("text"), F.min("section_no").alias("section_no"))
+    spans = sections.where(F.col("page_start").isNotNull()).select(
+        *keys, F.explode(F.sequence("page_start", F.greatest("page_start", F.coalesce("page_end", "page_start")))).alias("page_num")
+    )
+    found = (
+        rows(stripped(chunk_texts), "chunks", 1, "pos").unionByName(rows(stripped(first), "parsed", 2, "section_no"))
+        .unionByName(rows(slide, "slide", 3, "page_num")).unionByName(rows(spans.join(pages, ["doc_id", "page_num"]), "pages", 4, "page_num"))
+        .unionByName(rows(sections.select(*keys, F.lit(0).alias("no"), F.col("gist").alias("text")).where("text <> ''"), "gist", 5, "no"))
+    )
+    best = found.select(*keys, "rank").join(sections.select(*keys).distinct(), keys).groupBy(*keys).agg(F.min("rank").alias("rank"))
+    return assembly.pieces(found.join(best, [*keys, "rank"]), [*keys, "text_source"], "at", "\n\n")
+
+
+def full_text_pieces(chunks: DataFrame) -> DataFrame:
+    """``full_text`` for documents of any length: (doc_id, piece_no, piece)."""
+    shown = assembly.stripped_rows(chunks.select("doc_id", "pos", "text").where("text <> ''"), ["doc_id"], "pos")
+    return assembly.pieces(shown, ["doc_id"], "pos", "\n\n")
+
+
 def full_text(chunks: DataFrame) -> DataFrame:
-    """All chunk texts of a document, blank-line separated."""
+    """All chunk texts of a document, blank-line separated, where that is wanted in one row."""
     return ordered_join(chunks.where(F.col("text") != ""), ["doc_id"], "pos", "text", "\n\n", "full_text").withColumn(
         "full_text", T.strip(F.col("full_text"))
     )

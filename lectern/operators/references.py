@@ -58,37 +58,49 @@ def _expanded(ids: Column) -> Column:
     return F.flatten(F.transform(parts, one))
 
 
+#: Characters shown on each side of a citation.
+AROUND = 200
+#: So many citations, three characters each at least, fill that.
+_REACH = -(-AROUND // 3)
+
+
 def citations(docs: DataFrame) -> DataFrame:
-    """One row per cited id with the 200 characters around the citation.
+    """One row per cited id with the 200 characters on either side of the citation.
 
-    Offsets add up from the pieces between citations, so they count characters, not
-    UTF-16 units.
+    The body is split at its citations, once, and stays in its row. What surrounds a
+    citation is joined from the ends of the pieces next to it, so the work is in proportion to
+    body and citations, and only finished excerpts become rows. Characters are code points.
     """
-    marks = F.regexp_extract_all("body", F.lit(X.CITATION), F.lit(0))
-    inner = F.regexp_extract_all("body", F.lit(X.CITATION), F.lit(1))
-    gaps = F.transform(F.split("body", X.CITATION), lambda g: F.length(g))
-    cited = docs.where(F.col("body").rlike(X.CITATION)).select(
-        "doc_id", "body", marks.alias("marks"), inner.alias("inner"), gaps.alias("gaps")
-    )
-    places = F.aggregate(
-        F.sequence(F.lit(0), F.size("marks") - 1),
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, i: F.struct(
-            (acc["end"] + F.get("gaps", i) + F.length(F.get("marks", i))).alias("end"),
-            F.array_append(acc["starts"], acc["end"] + F.get("gaps", i)).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
-    rows = cited.withColumn("starts", places).select(
-        "doc_id", "body", F.posexplode_outer(F.arrays_zip("marks", "inner", "starts")).alias("cite_no", "c")
+    split = F.struct(
+        F.split("body", X.CITATION).alias("gaps"),
+        F.regexp_extract_all("body", F.lit(X.CITATION), F.lit(0)).alias("marks"),
+        F.regexp_extract_all("body", F.lit(X.CITATION), F.lit(1)).alias("inner"),
     )
-    start, mark = F.col("c.starts"), F.col("c.marks")
-    begin = F.greatest(F.lit(0), start - 200)
-    around = F.substring(F.col("body"), begin + 1, start + F.length(mark) + 200 - begin)
+    ending = lambda c: F.substring(c, -AROUND, AROUND)
+    opening = lambda c: F.substring(c, 1, AROUND)
+
+    def ends(s: Column) -> Column:
+        """Of each gap and the mark behind it what a later citation can see; of each mark and the gap behind it what an earlier one can."""
+        before = F.zip_with(F.slice(s["gaps"], F.lit(1), F.size(s["marks"])), s["marks"], lambda g, m: F.concat(ending(g), ending(m)))
+        after = F.zip_with(s["marks"], F.slice(s["gaps"], F.lit(2), F.size(s["marks"])), lambda m, g: F.concat(opening(m), opening(g)))
+        return F.struct(s["gaps"], s["marks"], s["inner"], before.alias("before"), after.alias("after"))
+
+    def cited(s: Column) -> Column:
+        def one(mark: Column, i: Column) -> Column:
+            low = F.greatest(F.lit(0), i - _REACH)
+            left = ending(F.concat(F.array_join(F.slice(s["before"], low + 1, i - low), ""), ending(F.get(s["gaps"], i))))
+            right = opening(F.concat(opening(F.get(s["gaps"], i + 1)), F.array_join(F.slice(s["after"], i + 2, F.lit(_REACH)), "")))
+            return F.struct(mark.alias("in_text"), T.strip(F.concat(left, mark, right)).alias("around"), F.get(s["inner"], i).alias("inner"))
+
+        return F.transform(s["marks"], one)
+
+    # lists of one element bind what is computed once, so that no lambda computes it again
+    found = F.flatten(F.transform(F.transform(F.array(split), ends), cited))
+    rows = docs.where(F.col("body").isNotNull()).select("doc_id", F.posexplode_outer(found).alias("cite_no", "c")).where("c is not null")
     return rows.select(
         "doc_id",
         "cite_no",
-        mark.alias("in_text"),
-        T.strip(around).alias("surrounding_text"),
+        F.col("c.in_text").alias("in_text"),
+        F.col("c.around").alias("surrounding_text"),
         F.posexplode(_expanded(F.col("c.inner"))).alias("id_no", "ref_id"),
     )
