@@ -161,21 +161,38 @@ _FIGURED = "replace(replace(text, ' is ', ' 3' || chr(46) || '5 '), ' are ', ' 4
 _SENTENCES = f"list_filter(list_transform(regexp_extract_all(s, '[^.!?。！？；]*[.!?。！？；]|[^.!?。！？；]+'), lambda x: {Q.strip('x')}), lambda x: x <> '')"
 
 
-@query(
-    "fact_chunks",
-    f"""WITH RECURSIVE {windows(f"SELECT doc_id AS u, {Q.strip(_FIGURED)} AS s FROM documents WHERE {Q.strip('text')} <> ''", 800, 100)},
+_FACTS = f"""WITH RECURSIVE {windows(f"SELECT doc_id AS u, {Q.strip(_FIGURED)} AS s FROM documents WHERE {Q.strip('text')} <> ''", 800, 100)},
 {windows("SELECT u * 100000 + pos AS u, text AS s FROM cks", X.FACT_MAX_TOKENS, 0, _SENTENCES, "f_")},
-f AS (SELECT u // 100000 AS doc_id, u % 100000 AS pos, row_number() OVER (PARTITION BY u ORDER BY pos) - 1 AS fact_no, text FROM f_cks WHERE regexp_matches(text, '\\p{{Nd}}'))
-SELECT doc_id, pos, CAST(fact_no AS INTEGER) AS fact_no, doc_id || '_0_' || pos || '_f' || fact_no AS chunk_id, text, 'fact' AS content_type FROM f""",
-)
+f AS (SELECT u // 100000 AS doc_id, u % 100000 AS pos, row_number() OVER (PARTITION BY u ORDER BY pos) - 1 AS fact_no, text FROM f_cks WHERE regexp_matches(text, '\\p{{Nd}}'))"""
+
+
+@query("fact_chunks", f"""{_FACTS}
+SELECT doc_id, pos, CAST(fact_no AS INTEGER) AS fact_no, doc_id || '_0_' || pos || '_f' || fact_no AS chunk_id, text, 'fact' AS content_type FROM f""")
 def fact_chunks(spark, sf_dir):
-    """Facts in documents whose frequent words were exchanged for figures."""
+    made = figured_chunks(spark, sf_dir)
+    return chunking.fact_chunks(made).select("doc_id", "pos", "fact_no", "chunk_id", "text", "metadata.content_type")
+
+
+def figured_chunks(spark, sf_dir) -> DataFrame:
+    """Chunks of documents whose frequent words were exchanged for figures."""
     d = table(spark, sf_dir, "documents").select(
         "doc_id", F.lit("research_paper").alias("doc_subtype"),
         F.replace(F.replace("text", F.lit(" is "), F.lit(" 3.5 ")), F.lit(" are "), F.lit(" 42 ")).alias("raw_text"),
     )
-    made = chunking.chunk(chunking.paper_units(d, no_sections(spark)))
-    return chunking.fact_chunks(made).select("doc_id", "pos", "fact_no", "chunk_id", "text", "metadata.content_type")
+    return chunking.chunk(chunking.paper_units(d, no_sections(spark)))
+
+
+@query(
+    "chunks_with_facts",
+    f"""{_FACTS},
+n AS (SELECT u AS doc_id, count(*) AS n FROM cks GROUP BY u)
+SELECT u AS doc_id, pos, u || '_0_' || pos AS chunk_id, text, FALSE AS is_fact FROM cks
+UNION ALL SELECT f.doc_id, n + row_number() OVER (PARTITION BY f.doc_id ORDER BY pos, fact_no) - 1, f.doc_id || '_0_' || pos || '_f' || fact_no, text, TRUE FROM f JOIN n ON n.doc_id = f.doc_id""",
+)
+def chunks_with_facts(spark, sf_dir):
+    """The same documents' chunks and facts in one list."""
+    made = chunking.with_facts(figured_chunks(spark, sf_dir))
+    return made.select("doc_id", "pos", "chunk_id", "text", (F.col("metadata.content_type") == "fact").alias("is_fact"))
 
 
 # ---------------------------------------------------------------- sections of web pages
