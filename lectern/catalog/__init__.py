@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("parsing", "retrieval", "learning", "documents", "upkeep")
+AREAS = ("parsing", "retrieval", "learning", "documents", "upkeep", "study")
 
 
 def _areas():

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import answers as A
 from lectern.functions import text as T
+from lectern.operators.ranking import top_k
 
 Slot = Callable[[Column], Column] | None
 
@@ -163,3 +164,36 @@ def reading_log(memory: DataFrame, day: Column) -> DataFrame:
         log.alias("log_text"),
         F.concat(F.lit("# Glossary — "), doc, F.lit("\n\n"), terms).alias("glossary_text"),
     )
+
+
+#: Sections of a document that its concept map shows.
+MAPPED = 30
+
+
+def concept_map(documents: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, map_name, map_text): the first sections of each document as a diagram in Markdown.
+
+    A section hangs on the last one above it if that is one level up, else on the document.
+    ``sections``: doc_id, section_no, section_id, title, level; a blank title gives way to the id, a
+    level that is missing or below one counts as one.
+    """
+    named = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.when(F.col("section_id") != "", F.col("section_id")))
+    shown = top_k(sections, ["doc_id"], [F.col("section_no")], MAPPED, "n")
+    item = F.struct("n", F.coalesce(named, F.concat(F.lit("Section "), F.col("n").cast("string"))).alias("name"), F.greatest(F.lit(1), F.coalesce("level", F.lit(1))).alias("level"))
+    listed = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_s"))
+
+    def lines(s: Column) -> Column:
+        above = F.try_element_at(F.filter("_s", lambda t: (t["n"] < s["n"]) & (t["level"] < s["level"])), F.lit(-1))
+        node = lambda t: F.concat(F.lit("s"), t["n"].cast("string"))
+        parent = F.when(F.coalesce(above["level"] == s["level"] - 1, F.lit(False)), node(above)).otherwise("doc")
+        name = F.translate(F.replace(s["name"], F.lit('"'), F.lit("'")), "[]", "()")
+        return F.concat(F.lit("  "), node(s), F.lit('["'), name, F.lit('"]\n  '), parent, F.lit(" --> "), node(s))
+
+    empty = '  empty["No extracted sections"]\n  doc --> empty'
+    joined = documents.select("doc_id").distinct().join(listed, "doc_id", "left")
+    body = F.coalesce(F.array_join(F.transform("_s", lines), "\n"), F.lit(empty))
+    doc = F.regexp_replace(F.regexp_replace("doc_id", r"[/\\]", "_"), r"\.\.", "_")
+    return joined.select(
+        "doc_id", F.concat(doc, F.lit("_concepts.md")).alias("map_name"),
+        F.concat(F.lit("# Concept Map — "), doc, F.lit("\n\n```mermaid\ngraph TD\n  doc[Document]\n"), body, F.lit("\n```\n")).alias("map_text"),
+    )

@@ -61,11 +61,11 @@ class SegmentLog:
     def next_version(self) -> int:
         return max((s.high for s in self._committed()), default=-1) + 1
 
-    def write(self, rows: DataFrame, kind: str, low: int, high: int) -> Segment | None:
-        """Add a segment; one without rows is not kept."""
+    def write(self, rows: DataFrame, kind: str, low: int, high: int, keep_empty: bool = False) -> Segment | None:
+        """Add a segment; one without rows is not kept, unless that is what it says."""
         path = f"{self.root}/{kind}{low:012d}-{high:012d}"
         rows.write.mode("overwrite").parquet(path)  # overwrites what a dead job left under this number
-        if self.spark.read.parquet(path).isEmpty():
+        if not keep_empty and self.spark.read.parquet(path).isEmpty():
             self._remove(path)
             return None
         return next(s for s in self._committed() if (s.kind, s.low, s.high) == (kind, low, high))

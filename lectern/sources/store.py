@@ -29,7 +29,7 @@ FOLD_SHARE = 0.25
 ARTIFACTS = (
     "documents parsed_docs doc_pages enhanced_pages doc_sections section_summaries chunks vectors page_quality ocr_pages "
     "vision_pages understanding analysis_meta briefs translations learning_events concept_memory term_log "
-    "reflections session_summaries validation_records reading_records derivations prefixes"
+    "reflections session_summaries validation_records reading_records derivations prefixes core_memory"
 ).split()
 STATUSES = "uploaded parsing chunking summarizing indexing ready failed".split()
 #: What a stored row does to the earlier rows of its document.
@@ -127,6 +127,15 @@ class Store:
             if "doc_id" in held.columns:
                 self._put(artifact, ids.join(held.select("doc_id"), "doc_id", "left_semi"), GONE, "r")
 
+    def clear(self, *artifacts: str) -> None:
+        """Drop all rows: an empty base that covers every version so far. What is written later counts
+        as ever; the segments before stay until ``vacuum``."""
+        for artifact in artifacts:
+            log = self.log(artifact)
+            live = log.live()
+            if live:
+                log.write(self._segments(live).where("false"), "b", 0, log.next_version(), keep_empty=True)
+
     def compact(self, artifact: str, most: int = MOST_SEGMENTS, share: float = FOLD_SHARE) -> Segment | None:
         """Merge small segments once there are more than ``most``, and fold all into a new base once
         they hold more than ``share`` of its bytes. Old segments stay until ``vacuum``."""
