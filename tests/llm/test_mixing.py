@@ -67,3 +67,19 @@ def test_hard_rows_and_empty_tables(spark, hard_docs):
     assert all(r.taken <= 3 * r.size for r in rows)
     assert {r.size for r in rows if r.doc_id in (2, 3, 4)} == {0}
     assert mixing.mix(hard_docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_spread_over_blocks(spark):
+    """Without ids, or with one on all rows: bounded blocks, targets met, and reruns agree."""
+    rng = random.Random(5)
+    rows = [(None if i % 2 else 7, "w " * rng.randint(1, 9), "a" if i % 3 else "b") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counted = lambda df: sorted((str(r.doc_id), r.source, r.size, r.taken) for r in df.collect())
+    mixed = mixing.mix(docs)
+    assert counted(mixed) == counted(mixing.mix(docs.repartition(5)))
+    for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect():
+        assert abs(r.taken - r.target) <= r.most
+    open_docs = docs.select("source", F.monotonically_increasing_id().alias("row"), "doc_id", F.lit(3).cast("long").alias("size"), F.lit(0.5).alias("p"))
+    blocks = spark.createDataFrame([("a", 63), ("b", 32)], "_source string, m long")
+    sizes = [r.n for r in mixing.round_level(open_docs, blocks, 0).select((F.size("done") + 1).alias("n")).collect()]
+    assert sum(sizes) == 6000 and len(sizes) == 95 and max(sizes) <= 2 * mixing.BLOCK
