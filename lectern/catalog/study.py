@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.catalog import sql as Q
 from lectern.catalog.inputs import table
 from lectern.catalog.learning import learning_events
-from lectern.catalog.parsing import line_pages
+from lectern.catalog.parsing import line_pages, scored_pages
 from lectern.catalog.registry import Area
 from lectern.catalog.upkeep import new_store
+from lectern.plans import analysis_response as R
 from lectern.plans import answer, briefs, forget
 
 AREA = Area()
@@ -141,6 +142,51 @@ def concept_map_export(spark, sf_dir):
     return answer.concept_map(d, leveled_sections(spark, sf_dir).where("cast(doc_id as long) % 6 > 0"))
 
 
+# ---------------------------------------------------------------- analyses read back
+
+
+@query(
+    "analysis_responses",
+    f"""WITH {Q.QUALITY},
+wk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_start) AS n FROM pq WHERE quality IN ('weak','failed') OR recommended_action IN ('ocr','vision')),
+wp AS (SELECT doc_id, string_agg('第 ' || (page_start + 1) || ' 页=' || quality || '/' || recommended_action, ',' ORDER BY n) FILTER (n <= 8) AS pages, bool_or(recommended_action = 'vision') AS vision FROM wk GROUP BY doc_id),
+ad AS (SELECT d.*, d.doc_id % 3 = 0 AS st, d.doc_id % 11 = 0 AS none, d.doc_id % 10 = 0 AS done, d.doc_id % 4 = 0 AS rec, pages, coalesce(vision, false) AS vision FROM documents d LEFT JOIN wp ON wp.doc_id = d.doc_id),
+ax AS (SELECT *, CASE WHEN st OR none THEN '' WHEN done THEN 'enhanced_completed' WHEN pages IS NOT NULL OR rec THEN 'needs_enhancement' ELSE 'usable' END AS state FROM ad)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN none AND NOT st THEN 'missing' ELSE 'available' END AS status, CASE WHEN st AND doc_id % 2 = 0 THEN 'model' WHEN st THEN 'parser' WHEN none THEN 'missing' ELSE 'parse_quality' END AS source,
+  CASE WHEN st AND doc_id % 2 = 0 THEN '2024-01-01' ELSE '' END AS updated_at, CASE WHEN st THEN lang ELSE '' END AS difficulty, CASE WHEN st THEN CAST(n_chars % 90 AS INTEGER) ELSE 0 END AS minutes,
+  CASE WHEN st THEN md5(text[:220]) END AS l0, state AS parse_quality_status,
+  CASE state WHEN 'enhanced_completed' THEN {Q.q(R.MESSAGES['enhanced_completed'])} WHEN 'needs_enhancement' THEN {Q.q(R.MESSAGES['needs_enhancement'])} WHEN 'usable' THEN {Q.q(R.MESSAGES['usable'])} ELSE '' END AS message,
+  CASE WHEN state = '' THEN NULL WHEN state = 'needs_enhancement' THEN {Q.q(R.WARNING)} ELSE '' END AS warnings,
+  CASE WHEN state = '' THEN NULL WHEN done THEN {Q.q(R.DONE)} WHEN rec AND vision THEN {Q.q(R.CHECK_AGAIN + '|' + R.VISION)} WHEN rec THEN {Q.q(R.CHECK_AGAIN + '|' + R.VISION_LATER)} WHEN vision THEN {Q.q(R.VISION)} ELSE {Q.q(R.FINE)} END AS actions,
+  CASE WHEN state = '' THEN NULL WHEN done THEN '' ELSE coalesce(pages, '') END AS pages FROM ax
+UNION ALL SELECT 'nobody', 'missing', 'missing', '', '', 0, NULL, '', '', NULL, NULL, NULL""",
+)
+def analysis_responses(spark, sf_dir):
+    """Stored analyses of a third of the documents, half of them with their meta row; the parse of the
+    others, of which a tenth is enhanced and an eleventh has no measures."""
+    store = new_store(spark)
+    d = table(spark, sf_dir, "documents").withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    store.replace("documents", d.select("doc_id", F.when(F.col("_id") % 4 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("ocr_recommended_pages")))
+    first = F.left("text", F.lit(220))
+    told = F.struct(
+        F.col("lang").alias("difficulty"), (F.col("n_chars") % 90).cast("int").alias("estimated_reading_time"),
+        F.array(F.struct(F.lit("RAG").alias("english"), F.lit("").alias("chinese"), F.lit("").alias("relation_type"))).alias("key_terms"),
+        F.create_map(F.lit("s0"), first).alias("l0_summaries"), F.create_map(F.lit("s0"), first).alias("l1_overviews"), F.lit("graph").alias("mermaid_map"),
+    )
+    store.replace("understanding", d.where("_id % 3 = 0").select("doc_id", told.alias("understanding")))
+    store.replace("analysis_meta", d.where("_id % 6 = 0").select("doc_id", F.lit("model").alias("source"), F.lit("2024-01-01").alias("updated_at"), F.lit("").alias("error")))
+    scored = scored_pages(spark, sf_dir).where("doc_id % 11 > 0").withColumn("doc_id", F.col("doc_id").cast("string"))
+    store.replace("page_quality", scored.select("doc_id", "page_start", "quality", "recommended_action", "overall_score", "text_preview"))
+    store.replace("enhanced_pages", d.where("_id % 10 = 0").select("doc_id", F.lit(0).alias("page_num"), F.lit(True).alias("enhanced")))
+    asked = d.select("doc_id").unionByName(spark.createDataFrame([("nobody",)], "doc_id string"))
+    found = R.responses(store, asked)
+    label = F.transform("pages", lambda p: F.concat(p["page_label"], F.lit("="), p["quality"], F.lit("/"), p["recommended_action"]))
+    return found.select(
+        "doc_id", "status", "source", "updated_at", "difficulty", F.col("estimated_reading_time").alias("minutes"), F.md5(F.col("l0_summaries")["s0"]).alias("l0"), "parse_quality_status", "message",
+        F.array_join("warnings", "|").alias("warnings"), F.array_join("actions", "|").alias("actions"), F.array_join(label, ",").alias("pages"),
+    )
+
+
 # ---------------------------------------------------------------- clearing
 
 

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.plans import answer, briefs, forget
+from lectern.plans import analysis_response, answer, briefs, forget
 from lectern.sources.store import Store
 
 WHOLE = {
@@ -98,3 +98,14 @@ def test_cleared_artifacts_take_new_rows(spark, tmp_path):
     store.compact("learning_events", most=0)
     store.vacuum("learning_events")
     assert store.read("learning_events").collect() == one.collect()
+
+
+def test_analysis_of_an_empty_store_and_of_a_bare_one(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    asked = spark.createDataFrame([("a",), ("a",), (None,)], "doc_id string")
+    assert {r.status for r in analysis_response.responses(store, asked).collect()} == {"missing"}
+    store.replace("documents", spark.createDataFrame([("a",)], "doc_id string"))
+    store.replace("page_quality", spark.createDataFrame([("a", i, "weak", None) for i in range(20)], "doc_id string, page_start int, quality string, recommended_action string"))
+    got = [r for r in analysis_response.responses(store, asked).collect() if r.doc_id]
+    assert len(got) == 2 and all(r.parse_quality_status == "needs_enhancement" and [p.page for p in r.pages] == list(range(8)) for r in got)
+    assert got[0].pages[0].recommended_action == "keep" and got[0].actions == [analysis_response.FINE]
