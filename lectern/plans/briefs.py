@@ -57,13 +57,16 @@ def prompts(documents: DataFrame, sections: DataFrame, chunks: DataFrame) -> Dat
     Rows beyond those shown go before anything is collected; a document without any has a prompt too.
     """
     ids = documents.select("doc_id")
-    shown = top_k(sections.join(ids, "doc_id", "left_semi"), ["doc_id"], [F.col("section_no")], SECTIONS_SHOWN, "_n")
+    # texts are cut where they are read: what is ranked and dealt out is as long as what is shown
+    gists = sections.select("doc_id", "section_no", "section_id", "title", "level", F.left(F.coalesce("gist", F.lit("")), F.lit(GIST_CHARS)).alias("gist"))
+    shown = top_k(gists.join(ids, "doc_id", "left_semi"), ["doc_id"], [F.col("section_no")], SECTIONS_SHOWN, "_n")
+    quoted = chunks.select("doc_id", "pos", "section_id", T.quote(F.coalesce("text", F.lit("")), CHUNK_CHARS).alias("text"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     line = F.concat(
-        F.lit("- "), blank("section_id"), F.lit(": "), blank("title"), F.lit(" (level "), F.coalesce("level", F.lit(1)).cast("string"), F.lit(") "), F.left(blank("gist"), F.lit(GIST_CHARS))
+        F.lit("- "), blank("section_id"), F.lit(": "), blank("title"), F.lit(" (level "), F.coalesce("level", F.lit(1)).cast("string"), F.lit(") "), F.col("gist")
     )
-    part = top_k(chunks.join(ids, "doc_id", "left_semi").select("doc_id", "pos", "section_id", "text"), ["doc_id"], [F.col("pos")], CHUNKS_SHOWN, "_n")
-    piece = F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("] section "), blank("section_id"), F.lit("\n"), T.quote(blank("text"), CHUNK_CHARS))
+    part = top_k(quoted.join(ids, "doc_id", "left_semi"), ["doc_id"], [F.col("pos")], CHUNKS_SHOWN, "_n")
+    piece = F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("] section "), blank("section_id"), F.lit("\n"), F.col("text"))
     gathered = lambda df, c, sep, name: df.groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", c.alias("line")))), lambda x: x["line"]), sep).alias(name)
     )

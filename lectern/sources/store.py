@@ -66,6 +66,9 @@ class Store:
         """The rows of ``segments`` that count; with the marks of removed documents, if asked for."""
         if all(s.kind != "r" for s in segments):
             return self._segments(segments)
+        if len(segments) == 1 and segments[0].low == segments[0].high:  # one write: nothing is older than it
+            rows = self._segments(segments)
+            return rows if keep_marks else rows.where(F.col("_does") != GONE)
         heads = self._segments([s for s in segments if s.kind == "r"]).where(F.col("_does") != ADDED)
         heads = heads.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_version").alias("_head"))
         rows = self._segments(segments)
