@@ -23,11 +23,12 @@ def section_heads(chunks: DataFrame, size: int) -> DataFrame:
     """First ``size`` characters of each section's squeezed text.
 
     A chunk is read only if less than ``size`` characters stand before it, so a section of
-    any length adds a bounded number of rows to its group.
+    any length adds a bounded number of rows to its group. One that begins right behind them still
+    counts: the blank before it is the last character.
     """
     flat = chunks.select("doc_id", "section_id", "pos", F.left(T.squeeze(F.col("text")), F.lit(size)).alias("t"))
     flat = flat.where(F.col("t") != "").withColumn("n", F.length("t") + 1)
-    near = running_before(flat, ["doc_id", "section_id"], "pos", "n", "before").where(F.col("before") < size)
+    near = running_before(flat, ["doc_id", "section_id"], "pos", "n", "before").where(F.col("before") <= size)
     return ordered_join(near, ["doc_id", "section_id"], "pos", "t", " ", "head").withColumn(
         "head", F.left("head", F.lit(size))
     )
