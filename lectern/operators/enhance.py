@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.functions import fixed as X
 from lectern.functions import text as T
 from lectern.operators.ranking import top_k
+from lectern.operators.stage import once
 
 
 def last_per_page(recognized: DataFrame) -> DataFrame:
@@ -35,11 +36,12 @@ def decisions(quality: DataFrame, recognized: DataFrame | None, vision_enabled:
         joined = quality.join(probe, ["doc_id", "page_start"], "left").withColumn(
             "probe", F.coalesce("probe", F.lit(False))
         )
-    raw = T.readability(F.col("ocr_text"))
-    readable = (
-        F.when(F.col("ocr_label") == "good", F.greatest(raw, F.lit(0.75)))
-        .when(F.col("ocr_label") == "failed", F.least(raw, F.lit(0.2)))
-        .otherwise(raw)
+    label = F.col("ocr_label")
+    readable = T.let(
+        T.readability(F.col("ocr_text")),
+        lambda raw: F.when(label == "good", F.greatest(raw, F.lit(0.75)))
+        .when(label == "failed", F.least(raw, F.lit(0.2)))
+        .otherwise(raw),
     )
     had = F.greatest(
         F.lit(1),
@@ -47,12 +49,8 @@ def decisions(quality: DataFrame, recognized: DataFrame | None, vision_enabled:
     )
     gain = T.clamp((F.length(T.strip(F.col("ocr_text"))) - had) / F.greatest(F.lit(80), had))
     probe_only = lambda c: F.when(F.col("probe"), c).otherwise(F.lit(0.0))
-    measured = joined.select(
-        "*",
-        probe_only(readable).alias("readability"),
-        probe_only(gain).alias("gain"),
-        probe_only(T.fragmentation(F.col("ocr_text"))).alias("frag"),
-    )
+    probed = {"readability": readable, "gain": gain, "frag": T.fragmentation(F.col("ocr_text"))}
+    measured = once(joined, {name: probe_only(c) for name, c in probed.items()})
     vision = F.lit(vision_enabled)
     visual = F.col("visual_score") >= 0.5
     pair = lambda a, r: F.struct(F.lit(a).alias("action"), F.lit(r).alias("reason"))
@@ -164,14 +162,17 @@ def fragment_text(f_source: Column, text: Column) -> Column:
 
 
 def candidate_score(text: Column, source: Column, quality: Column) -> Column:
-    s = T.squeeze(text)
     bonus = T.lookup(quality, X.QUALITY_BONUS, 0.0) + T.lookup(source, X.SOURCE_BONUS, 0.0)
-    return F.when(
-        s != "",
-        T.clamp(
-            F.least(F.lit(1.0), F.length(s) / 180) + bonus - T.symbol_ratio(s) * 0.5 - T.fragmentation(s, squeezed=True) * 0.4
-        ),
-    ).otherwise(0.0)
+
+    def score(s: Column) -> Column:
+        return F.when(
+            s != "",
+            T.clamp(
+                F.least(F.lit(1.0), F.length(s) / 180) + bonus - T.symbol_ratio(s) * 0.5 - T.fragmentation(s, squeezed=True) * 0.4
+            ),
+        ).otherwise(0.0)
+
+    return T.let(T.squeeze(text), score)
 
 
 def merge(pages: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -181,8 +182,7 @@ def merge(pages: DataFrame, fragments: DataFrame) -> DataFrame:
     the best wins. Pages without usable fragments pass through untouched.
     """
     usable = (
-        fragments.where(F.col("quality") != "failed")
-        .withColumn("f_text", fragment_text(F.col("source"), F.col("text")))
+        once(fragments.where(F.col("quality") != "failed"), {"f_text": fragment_text(F.col("source"), F.col("text"))})
         .where(F.col("f_text") != "")
         .select("doc_id", F.col("page").alias("page_num"), "fragment_no", "source", "quality", "f_text")
     )

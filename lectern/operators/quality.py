@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import fixed as X
 from lectern.functions import text as T
+from lectern.operators.stage import once
 
 
 def page_length(char_count: Column, text: Column) -> Column:
@@ -92,14 +93,16 @@ def visual_flags(pages: DataFrame, items: DataFrame) -> DataFrame:
 def measured(pages: DataFrame) -> DataFrame:
     """Pages with their text measured and dropped, so that later joins move numbers only."""
     text = F.coalesce("text", F.lit(""))
-    return pages.select(
-        *[c for c in pages.columns if c != "text"],
-        page_length(F.col("char_count"), text).alias("n"),
-        T.symbol_ratio(text).alias("symbols"),
-        T.repetition_ratio(text).alias("repeats"),
-        T.line_count(text).alias("n_lines"),
-        T.quote(text, 180).alias("text_preview"),
+    counted = once(
+        pages,
+        {
+            "n": page_length(F.col("char_count"), text),
+            "symbols": T.symbol_ratio(text),
+            "repeats": T.repetition_ratio(text),
+            "n_lines": T.line_count(text),
+        },
     )
+    return counted.select(*[c for c in counted.columns if c != "text"], T.quote(text, 180).alias("text_preview"))
 
 
 def page_quality(pages: DataFrame) -> DataFrame:
@@ -113,16 +116,18 @@ def page_quality(pages: DataFrame) -> DataFrame:
     expected = T.lookup(F.col("doc_subtype"), X.EXPECTED_CHARS, X.EXPECTED_CHARS_DEFAULT)
 
     known = pages.withColumn("on_visual", F.col("on_image") | F.col("on_table") | F.col("on_formula"))
-    scored = known.select(
-        "*",
-        T.clamp(T.clamp(F.col("n") / expected) - F.col("symbols") * 0.5 - F.col("repeats") * 0.3).alias("ts"),
-        T.clamp(
-            F.lit(0.3)
-            + F.when(F.col("n_lines") >= 1, 0.25).otherwise(0.0)
-            + F.when(F.col("n_lines") >= 2, 0.2).otherwise(0.0)
-            + F.when(slides, 0.2).otherwise(0.0)
-        ).alias("ss"),
-        F.when(F.col("on_visual"), 0.75).otherwise(0.0).alias("vs"),
+    scored = once(
+        known,
+        {
+            "ts": T.clamp(T.clamp(F.col("n") / expected) - F.col("symbols") * 0.5 - F.col("repeats") * 0.3),
+            "ss": T.clamp(
+                F.lit(0.3)
+                + F.when(F.col("n_lines") >= 1, 0.25).otherwise(0.0)
+                + F.when(F.col("n_lines") >= 2, 0.2).otherwise(0.0)
+                + F.when(slides, 0.2).otherwise(0.0)
+            ),
+            "vs": F.when(F.col("on_visual"), 0.75).otherwise(0.0),
+        },
     )
     ts, ss, vs, n = F.col("ts"), F.col("ss"), F.col("vs"), F.col("n")
     sparse = (ts < 0.3) & (vs < 0.2) & (F.col("n_lines") >= 1)
@@ -147,7 +152,7 @@ def page_quality(pages: DataFrame) -> DataFrame:
             F.when(has_formula_text, "formula_text_available"),
         )
     )
-    judged = scored.select("*", need.alias("need"), overall.alias("overall"), reasons.alias("reasons"))
+    judged = once(scored, {"need": need, "overall": overall}).withColumn("reasons", reasons)
     action = (
         F.when(has_formula_text, "keep")
         .when((F.col("need") >= 0.5) & (vs > 0.4), "ocr")
