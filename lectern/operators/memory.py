@@ -6,11 +6,15 @@ place: states are aggregates over the log, with ids breaking ties of equal times
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lectern.functions import fixed as X
 from lectern.functions import text as T
 from lectern.operators.ranking import top_k
+from lectern.operators.stage import once
 
 NONE = lambda: F.array().cast("array<string>")
 
@@ -26,7 +30,11 @@ def concepts(event_type: Column, text: Column) -> Column:
     group; a group gives its runs of three words (or all of a shorter group), a single
     word only with four letters or a hyphen.
     """
-    low = F.lower(text)
+    usable = event_type.isin(*X.CONCEPT_EVENTS) & (T.strip(text) != "")
+    return F.when(usable, T.let(F.lower(text), _phrases)).otherwise(NONE())
+
+
+def _phrases(low: Column) -> Column:
     known = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in X.CONCEPT_PHRASES]))
     words = F.regexp_extract_all(low, F.lit("([A-Za-z][A-Za-z0-9-]*)"), F.lit(1))
     marked = F.transform(
@@ -46,9 +54,7 @@ def concepts(event_type: Column, text: Column) -> Column:
         )
         return F.filter(made, lambda p: (width > 1) | F.contains(p, F.lit("-")) | (F.length(p) >= 4))
 
-    found = F.slice(F.array_distinct(F.concat(known, F.flatten(F.transform(groups, runs)))), 1, 8)
-    usable = event_type.isin(*X.CONCEPT_EVENTS) & (T.strip(text) != "")
-    return F.when(usable, found).otherwise(NONE())
+    return F.slice(F.array_distinct(F.concat(known, F.flatten(F.transform(groups, runs)))), 1, 8)
 
 
 def concept_text() -> Column:
@@ -92,14 +98,15 @@ def action_summary(event_type: Column, title: Column, message: Column) -> Column
 
 def concept_signals(events: DataFrame) -> DataFrame:
     """One row per event and concept: what an upsert would write."""
-    return events.select(
+    read = once(events, {"_text": concept_text()})
+    return read.select(
         "id",
         "ts",
         "event_type",
         "doc_id",
         "section_id",
         concept_status(F.col("event_type"), payload_values(F.col("payload"))).alias("status"),
-        F.explode_outer(concepts(F.col("event_type"), concept_text())).alias("concept"),
+        F.explode_outer(concepts(F.col("event_type"), F.col("_text"))).alias("concept"),
     ).where(F.col("concept").isNotNull())
 
 
@@ -263,6 +270,31 @@ def knowledge(terms: DataFrame, turns: DataFrame) -> DataFrame:
     ).drop("asked", "explained")
 
 
+def _walk(english, kinds, known) -> np.ndarray:
+    """p_known of a document's terms after each in turn has passed on what it may.
+
+    A term gives to all others at once; only the parts of a name are looked for one by one.
+    """
+    kinds = [k or "" for k in kinds]
+    p = np.array([1.0 if v is None else v for v in known], dtype=float)
+    related = np.array([k in ("Used-for", "Part-of") for k in kinds]) * 0.03
+    named = [(j, e) for j, (e, k) in enumerate(zip(english, kinds)) if k and e is not None]
+    for i, kind in enumerate(kinds):
+        if not kind or not p[i] >= 0.7:
+            continue
+        gain = related.copy()
+        if kind == "Hyponym-of" and english[i] is not None:
+            gain[[j for j, e in named if english[i] in e]] = 0.05
+        gain[i] = 0.0
+        np.minimum(p + gain, 1.0, out=p)
+    return p
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _walk_udf(english: pd.Series, kinds: pd.Series, known: pd.Series) -> pd.Series:
+    return pd.Series([_walk(*row) for row in zip(english, kinds, known)], dtype=object)
+
+
 def propagate(terms: DataFrame) -> DataFrame:
     """Pass knowledge on along relations, term by term in list order.
 
@@ -271,29 +303,11 @@ def propagate(terms: DataFrame) -> DataFrame:
     sized = terms.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("term_no", "english", "relation_type", "p_known"))).alias("ts")
     )
-    def step(acc: Column, i: Column) -> Column:
-        src = acc[i]
-        active = (src["p_known"] >= 0.7) & (F.coalesce(src["relation_type"], F.lit("")) != "")
-
-        def gain(r: Column, j: Column) -> Column:
-            kind = F.coalesce(r["relation_type"], F.lit(""))
-            add = (
-                F.when(~active | (j == i) | (kind == ""), 0.0)
-                .when((src["relation_type"] == "Hyponym-of") & F.contains(r["english"], src["english"]), 0.05)
-                .when(kind.isin("Used-for", "Part-of"), 0.03)
-                .otherwise(0.0)
-            )
-            return F.struct(
-                r["term_no"].alias("term_no"),
-                r["english"].alias("english"),
-                r["relation_type"].alias("relation_type"),
-                F.least(F.lit(1.0), r["p_known"] + add).alias("p_known"),
-            )
-
-        return F.transform(acc, gain)
-
-    walked = F.aggregate(F.sequence(F.lit(0), F.size("ts") - 1), F.col("ts"), step)
-    return sized.withColumn("ts", walked).select("doc_id", F.inline("ts"))
+    walked = _walk_udf("ts.english", "ts.relation_type", "ts.p_known")
+    known = F.transform(
+        F.arrays_zip("ts", walked.alias("p")), lambda t: t["ts"].withField("p_known", t["p"])
+    )
+    return sized.withColumn("ts", known).select("doc_id", F.inline("ts"))
 
 
 def knowledge_gaps(terms: DataFrame, messages: DataFrame) -> DataFrame:

@@ -44,7 +44,9 @@ def fold_batch(log: SegmentLog, events: DataFrame, batch_id: int, most: int = MO
     as a partial or folded, is a replay and changes nothing."""
     if batch_id < log.next_version():
         return
-    partial = partial_states(events).withColumn("batch", F.lit(batch_id).cast("long"))
+    # a batch may be one file, which one task would read: its rows are dealt out before they are parsed
+    dealt = events.repartition(log.spark.sparkContext.defaultParallelism)
+    partial = partial_states(dealt).withColumn("batch", F.lit(batch_id).cast("long"))
     log.write(partial, "a", batch_id, batch_id)
     if sum(s.kind == "a" for s in log.live()) > most:
         compact(log)
