@@ -253,10 +253,7 @@ def enhancement_decision(spark, sf_dir):
 )
 def enhancement_page_selection(spark, sf_dir):
     decided = enhance.decisions(scored_pages(spark, sf_dir), recognized_pages(spark, sf_dir), vision_enabled=True)
-    return (
-        enhance.pages_for_ocr(decided).withColumn("route", F.lit("ocr"))
-        .unionByName(enhance.pages_for_vision(decided).withColumn("route", F.lit("vision")))
-    )
+    return enhance.routes(decided)
 
 
 def page_fragments(spark, sf_dir) -> DataFrame:

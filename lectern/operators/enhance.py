@@ -5,52 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import fixed as X
+from lectern.functions import measures
 from lectern.functions import text as T
 from lectern.operators.ranking import top_k
 from lectern.operators.stage import once
 
 
-def last_per_page(recognized: DataFrame) -> DataFrame:
-    """Of several recognition rows for a page the last one counts."""
-    return recognized.groupBy("doc_id", "page").agg(
-        F.max_by(F.struct("text", "ocr_quality"), "item_no").alias("_row")
-    ).select("doc_id", "page", "_row.*")
+def probes(recognized: DataFrame) -> DataFrame:
+    """One row per recognised page: how well its text reads. Of several rows the last one counts.
+
+    Texts are measured where they are read; what is grouped and joined are numbers.
+    """
+    own = F.coalesce("text", F.lit(""))
+    rows = measures.with_counts(
+        recognized.select("doc_id", "page", "item_no", F.coalesce("ocr_quality", F.lit("")).alias("_label"), own.alias("_text")), "_text", "_m"
+    )
+    label, m = F.col("_label"), F.col("_m")
+    scored = rows.select("doc_id", "page", "item_no", "_label", measures.readability(m).alias("_raw"),
+                         measures.fragmentation(m).alias("frag"), F.length(T.strip(F.col("_text"))).alias("n_stripped"))
+    raw = F.col("_raw")
+    readable = F.when(label == "good", F.greatest(raw, F.lit(0.75))).when(label == "failed", F.least(raw, F.lit(0.2))).otherwise(raw)
+    last = scored.withColumn("readable", readable).groupBy("doc_id", "page").agg(
+        *[F.max_by(c, "item_no").alias(c) for c in ("readable", "frag", "n_stripped")]
+    )
+    return last.fillna({"readable": 0.0, "frag": 1.0, "n_stripped": 0}).withColumn("probe", F.lit(True))
 
 
 def decisions(quality: DataFrame, recognized: DataFrame | None, vision_enabled: bool) -> DataFrame:
     """What to apply to each page, given its quality row and its recognition probe."""
     if recognized is None:
-        joined = (
-            quality.withColumn("probe", F.lit(False))
-            .withColumn("ocr_text", F.lit(None).cast("string"))
-            .withColumn("ocr_label", F.lit(None).cast("string"))
+        joined = quality.select(
+            "*", F.lit(False).alias("probe"), F.lit(0.0).alias("readable"), F.lit(0.0).alias("frag"), F.lit(0).alias("n_stripped")
         )
     else:
-        probe = last_per_page(recognized).select(
-            "doc_id",
-            F.col("page").alias("page_start"),
-            F.coalesce("text", F.lit("")).alias("ocr_text"),
-            F.coalesce("ocr_quality", F.lit("")).alias("ocr_label"),
-            F.lit(True).alias("probe"),
-        )
-        joined = quality.join(probe, ["doc_id", "page_start"], "left").withColumn(
+        joined = quality.join(probes(recognized).withColumnRenamed("page", "page_start"), ["doc_id", "page_start"], "left").withColumn(
             "probe", F.coalesce("probe", F.lit(False))
         )
-    label = F.col("ocr_label")
-    readable = T.let(
-        T.readability(F.col("ocr_text")),
-        lambda raw: F.when(label == "good", F.greatest(raw, F.lit(0.75)))
-        .when(label == "failed", F.least(raw, F.lit(0.2)))
-        .otherwise(raw),
-    )
     had = F.greatest(
         F.lit(1),
         F.floor(F.col("text_score") * F.when(F.col("unit_type") == "slide", 120).otherwise(800)).cast("int"),
     )
-    gain = T.clamp((F.length(T.strip(F.col("ocr_text"))) - had) / F.greatest(F.lit(80), had))
+    gain = T.clamp((F.col("n_stripped") - had) / F.greatest(F.lit(80), had))
     probe_only = lambda c: F.when(F.col("probe"), c).otherwise(F.lit(0.0))
-    probed = {"readability": readable, "gain": gain, "frag": T.fragmentation(F.col("ocr_text"))}
-    measured = once(joined, {name: probe_only(c) for name, c in probed.items()})
+    probed = {"readability": F.col("readable"), "gain": gain, "frag": F.col("frag")}
+    measured = joined.withColumns({name: probe_only(c) for name, c in probed.items()})
     vision = F.lit(vision_enabled)
     visual = F.col("visual_score") >= 0.5
     pair = lambda a, r: F.struct(F.lit(a).alias("action"), F.lit(r).alias("reason"))
@@ -96,6 +94,12 @@ def pages_for_vision(decided: DataFrame) -> DataFrame:
     return decided.where(F.col("action") == "apply_vision").select("doc_id", "page")
 
 
+def routes(decided: DataFrame) -> DataFrame:
+    """The pages of both in one pass: (doc_id, page, route)."""
+    route = F.when(F.col("action") == "apply_vision", "vision").when(F.col("action") != "use_original", "ocr")
+    return decided.select("doc_id", "page", route.alias("route")).where(F.col("route").isNotNull())
+
+
 FRAGMENT_COLUMNS = (
     "doc_id page fragment_no source text quality reason visual_type key_observations "
     "formula_summary table_summary chart_summary qa_hint"
@@ -161,65 +165,52 @@ def fragment_text(f_source: Column, text: Column) -> Column:
     return F.when(f_source == "vision", full).otherwise(body)
 
 
-def candidate_score(text: Column, source: Column, quality: Column) -> Column:
+def candidate_score(m: Column, source: Column, quality: Column) -> Column:
+    """Score of a text from its counts."""
     bonus = T.lookup(quality, X.QUALITY_BONUS, 0.0) + T.lookup(source, X.SOURCE_BONUS, 0.0)
-
-    def score(s: Column) -> Column:
-        return F.when(
-            s != "",
-            T.clamp(
-                F.least(F.lit(1.0), F.length(s) / 180) + bonus - T.symbol_ratio(s) * 0.5 - T.fragmentation(s, squeezed=True) * 0.4
-            ),
-        ).otherwise(0.0)
-
-    return T.let(T.squeeze(text), score)
+    score = T.clamp(
+        F.least(F.lit(1.0), measures.length(m) / 180) + bonus - measures.symbol_ratio(m) * 0.5 - measures.fragmentation(m) * 0.4
+    )
+    return F.when(m["words"] > 0, score).otherwise(0.0)
 
 
 def merge(pages: DataFrame, fragments: DataFrame) -> DataFrame:
     """Best text per page among parser text, each usable fragment, and text plus fragment.
 
     Candidates keep their order (parser, then per fragment: alone, merged); the first of
-    the best wins. Pages without usable fragments pass through untouched.
+    the best wins. Pages without usable fragments pass through untouched. Page and fragment are
+    measured before they meet: the counts of a merged text are sums, so no candidate is written out to be scored.
     """
     usable = (
         once(fragments.where(F.col("quality") != "failed"), {"f_text": fragment_text(F.col("source"), F.col("text"))})
         .where(F.col("f_text") != "")
-        .select("doc_id", F.col("page").alias("page_num"), "fragment_no", "source", "quality", "f_text")
+        .select("doc_id", F.col("page").alias("page_num"), "fragment_no", "source", "quality", "f_text",
+                F.concat(F.lit("["), F.upper("source"), F.lit("]")).alias("tag"))
     )
+    usable = measures.with_counts(measures.with_counts(usable, "f_text", "f_counts"), "tag", "tag_counts")
     parsed = pages.select("doc_id", "page_num", T.strip(F.coalesce("text", F.lit(""))).alias("p_text"))
-    joined = parsed.join(usable, ["doc_id", "page_num"])
-    old = F.col("p_text")
-    replace = (F.col("source") == "ocr") & (F.length(old) < 20)
-    merged = F.when(replace | (old == ""), F.col("f_text")).otherwise(
-        F.concat(old, F.lit("\n\n["), F.upper("source"), F.lit("]\n"), F.col("f_text"))
-    )
+    joined = measures.with_counts(parsed, "p_text", "p_counts").join(usable, ["doc_id", "page_num"])
+    old, own, found = F.col("p_text"), F.col("p_counts"), F.col("f_counts")
+    replaced = ((F.col("source") == "ocr") & (F.length(old) < 20)) | (old == "")
     plus = F.when((old != "") & (F.col("quality") == "good"), 0.16).otherwise(0.0)
-    kinds = F.array(
-        F.struct(F.lit(0).alias("half"), F.col("f_text").alias("c_text"), F.lit(0.0).alias("extra"),
-                 F.lit(0.0).alias("less")),
-        F.struct(F.lit(1).alias("half"), merged.alias("c_text"), plus.alias("extra"), F.lit(0.08).alias("less")),
+    scored = joined.withColumn("both_counts", F.when(replaced, found).otherwise(measures.together(own, F.col("tag_counts"), found)))
+    settled = lambda c: T.settle(c, 9)
+    rated = scored.select(
+        "doc_id", "page_num", "fragment_no", "source", "p_text", "f_text", "tag", replaced.alias("replaced"),
+        settled(candidate_score(own, F.lit("parser"), F.lit("good"))).alias("s_own"),
+        settled(candidate_score(found, F.col("source"), F.col("quality")) + 0.0 - 0.0).alias("s_alone"),
+        settled(candidate_score(F.col("both_counts"), F.col("source"), F.col("quality")) + plus - 0.08).alias("s_both"),
     )
-    offers = joined.select(
-        "doc_id", "page_num", "fragment_no", "source", "quality", F.inline_outer(kinds)
-    ).select(
-        "doc_id",
-        "page_num",
-        (F.col("fragment_no") * 2 + F.col("half") + 1).cast("long").alias("cand_no"),
-        "source",
-        "c_text",
-        (candidate_score(F.col("c_text"), F.col("source"), F.col("quality")) + F.col("extra") - F.col("less")).alias("c_score"),
+    second = F.col("s_both") > F.col("s_alone")
+    offers = rated.select(
+        "*", second.alias("second"), F.greatest("s_alone", "s_both").alias("score"),
+        (F.col("fragment_no") * 2 + second.cast("int") + 1).cast("long").alias("cand_no"),
     )
-    own = parsed.join(usable.select("doc_id", "page_num").distinct(), ["doc_id", "page_num"], "left_semi").select(
-        "doc_id",
-        "page_num",
-        F.lit(0).cast("long").alias("cand_no"),
-        F.lit("parser").alias("source"),
-        F.col("p_text").alias("c_text"),
-        candidate_score(old, F.lit("parser"), F.lit("good")).alias("c_score"),
+    first = top_k(offers, ["doc_id", "page_num"], [F.col("score").desc(), F.col("cand_no")], 1, "_n")
+    text = F.when(~F.col("second") | F.col("replaced"), F.col("f_text")).otherwise(F.concat(old, F.lit("\n\n"), F.col("tag"), F.lit("\n"), F.col("f_text")))
+    best = first.where((F.col("score") > F.col("s_own")) & (F.col("source") != "parser")).select(
+        "doc_id", "page_num", F.col("source").alias("new_source"), text.alias("c_text")
     )
-    best = top_k(
-        own.unionByName(offers), ["doc_id", "page_num"], [T.settle(F.col("c_score"), 9).desc(), F.col("cand_no")], 1, "_n"
-    ).where(F.col("source") != "parser").select("doc_id", "page_num", F.col("source").alias("new_source"), "c_text")
     out = pages.join(best, ["doc_id", "page_num"], "left")
     won = F.col("new_source").isNotNull()
     return (
