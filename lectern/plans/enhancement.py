@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import text as T
 from lectern.operators import chunking, enhance, quality
-from lectern.operators.stage import written
+from lectern.operators.stage import nothing, written
 from lectern.sources.store import Store
 
 #: Part of every content key: a new number rebuilds all.
@@ -89,7 +89,7 @@ def standing(store: Store) -> DataFrame:
 
 def default_chunks(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Slides one by one; other documents as one text made of their pages."""
-    none = docs.sparkSession.createDataFrame([], _NO_SECTIONS)
+    none = nothing(docs.sparkSession, _NO_SECTIONS)
     slides = chunking.slide_units(docs, pages.withColumn("page_no", F.col("page_num")), none)
     papers = docs.where(F.col("doc_subtype") != "slides_pdf")
     raw = papers.join(enhance.raw_text(pages.join(papers.select("doc_id"), "doc_id", "left_semi")), "doc_id")
