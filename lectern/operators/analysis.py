@@ -8,6 +8,7 @@ from lectern.functions import fixed as X
 from lectern.functions import text as T
 from lectern.operators import assembly
 from lectern.operators.ranking import running_before, top_k
+from lectern.operators.stage import written
 
 
 def ordered_join(rows: DataFrame, keys: list[str], order: str, text: str, sep: str, name: str) -> DataFrame:
@@ -113,67 +114,70 @@ def resolve_layer(l0: Column, l1: Column, need_detail: Column) -> Column:
     )
 
 
+#: What a section's text is taken from, the best first.
+SOURCES = ("chunks", "parsed", "slide", "pages", "gist")
+
+
+def _page_rows(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, section_id, rank, at, text): stripped texts of the slides and page ranges that are sections' texts.
+
+    Page ranges are exploded to page numbers and slides are told by their name, so that pages meet what
+    is asked of them once, by an equi-join.
+    """
+    keys = ["doc_id", "section_id"]
+    number = F.regexp_extract("section_id", r"^slide_(\d{1,18})$", 1)
+    slide = sections.where(number != "").select(*keys, F.lit(3).alias("rank"), number.cast("long").alias("at"))
+    slide = slide.where(F.concat(F.lit("slide_"), F.col("at").cast("string")) == F.col("section_id")).distinct()
+    spans = sections.where(F.col("page_start").isNotNull()).select(
+        *keys, F.lit(4).alias("rank"),
+        F.explode(F.sequence("page_start", F.greatest("page_start", F.coalesce("page_end", "page_start"))).cast("array<long>")).alias("at"),
+    )
+    texts = pages.select("doc_id", F.col("page_num").cast("long").alias("at"), T.strip(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    return slide.unionByName(spans).join(texts, ["doc_id", "at"]).select(*keys, "rank", "at", "text")
+
+
+def _chunk_rows(chunk_texts: DataFrame) -> DataFrame:
+    """As ``_page_rows``, of the chunks."""
+    return chunk_texts.select("doc_id", "section_id", F.lit(1).alias("rank"), F.col("pos").cast("long").alias("at"), T.strip(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+
+
 def section_text(sections: DataFrame, chunk_texts: DataFrame, parsed: DataFrame, pages: DataFrame) -> DataFrame:
     """Text of a section: its chunks, else the parsed text, else its slide, else its pages, else the gist.
 
     ``chunk_texts``: doc_id, section_id, pos, text. ``parsed``: doc_id, section_id, section_no, text.
-    ``pages``: doc_id, page_num, text. Page ranges are exploded to page numbers, so pages are
-    met by an equi-join.
+    ``pages``: doc_id, page_num, text. What a section may take its text from meets in one grouping with the section.
     """
-    blank = lambda c: T.blank_to_null(T.strip(F.coalesce(c, F.lit(""))))
-    pages = pages.select("doc_id", "page_num", T.strip(F.coalesce("text", F.lit(""))).alias("text"))
-    by_chunks = ordered_join(
-        chunk_texts.withColumn("text", blank(F.col("text"))).where(F.col("text").isNotNull()),
-        ["doc_id", "section_id"], "pos", "text", "\n\n", "t1",
-    )
-    by_parse = parsed.groupBy("doc_id", "section_id").agg(F.min_by("text", "section_no").alias("t2"))
-    slide = pages.select(
-        "doc_id", F.concat(F.lit("slide_"), F.col("page_num").cast("string")).alias("section_id"), F.col("text").alias("t3")
-    )
-    spans = sections.where(F.col("page_start").isNotNull()).select(
-        "doc_id", "section_id",
-        F.explode(F.sequence("page_start", F.greatest("page_start", F.coalesce("page_end", "page_start")))).alias("page_num"),
-    )
-    ranged = ordered_join(
-        spans.join(pages, ["doc_id", "page_num"]).where(F.col("text") != ""), ["doc_id", "section_id"], "page_num", "text", "\n\n", "t4"
-    )
     keys = ["doc_id", "section_id"]
-    j = sections.join(by_chunks, keys, "left").join(by_parse, keys, "left").join(slide, keys, "left").join(ranged, keys, "left")
-    source = (
-        F.when(blank(F.col("t1")).isNotNull(), "chunks").when(blank(F.col("t2")).isNotNull(), "parsed")
-        .when(blank(F.col("t3")).isNotNull(), "slide").when(blank(F.col("t4")).isNotNull(), "pages").otherwise("gist")
-    )
-    return j.select(
-        *keys,
-        F.coalesce(*[blank(F.col(f"t{i}")) for i in (1, 2, 3, 4)], F.col("gist"), F.lit("")).alias("text"),
-        source.alias("text_source"),
-    )
+    own = sections.select(*keys, F.lit(5).alias("rank"), F.lit(0).cast("long").alias("at"), F.coalesce("gist", F.lit("")).alias("text"))
+    told = parsed.select(*keys, F.lit(2).alias("rank"), F.col("section_no").cast("long").alias("at"), T.strip(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = _chunk_rows(chunk_texts).unionByName(told).unionByName(_page_rows(sections, pages)).unionByName(own)
+    of = lambda rank: F.sort_array(F.collect_list(F.when(F.col("rank") == rank, F.struct("at", "text"))))["text"]
+    met = rows.groupBy(*keys).agg(*[of(rank).alias(f"_{rank}") for rank in (1, 3, 4, 5)], F.min_by("text", F.when(F.col("rank") == 2, F.col("at"))).alias("_2"))
+    joined = lambda rank: T.blank_to_null(T.strip(F.array_join(f"_{rank}", "\n\n")))
+    texts = [joined(1), T.blank_to_null(F.col("_2")), joined(3), joined(4)]
+    found = F.coalesce(*[F.when(t.isNotNull(), F.struct(t.alias("text"), F.lit(name).alias("source"))) for t, name in zip(texts, SOURCES)])
+    # one row for each row of sections: rows of a section that is not there have no gist, and none come out
+    each = met.withColumn("_found", found).select(*keys, "_found", F.explode("_5").alias("_gist"))
+    return each.select(*keys, F.coalesce("_found.text", "_gist").alias("text"), F.coalesce("_found.source", F.lit("gist")).alias("text_source"))
 
 
 def section_text_pieces(sections: DataFrame, chunk_texts: DataFrame, parsed: DataFrame, pages: DataFrame) -> DataFrame:
     """``section_text`` for sections of any length: (doc_id, section_id, text_source, piece_no, piece).
 
-    What a section has is decided on keys alone; only the texts of its best source are placed and
+    What a section has is decided on keys and lengths; only the texts of its best source are placed and
     cut. A section without any text has no piece.
     """
     keys = ["doc_id", "section_id"]
-    rows = lambda df, source, rank, at: df.select(
-        *keys, F.lit(rank).alias("rank"), F.lit(source).alias("text_source"), F.col(at).cast("long").alias("at"), "text"
-    )
-    stripped = lambda df: df.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).where("text <> ''")
-    pages = stripped(pages.select("doc_id", "page_num", "text"))
-    slide = pages.withColumn("section_id", F.concat(F.lit("slide_"), F.col("page_num").cast("string")))
-    first = parsed.groupBy(*keys).agg(F.min_by("text", "section_no").alias("text"), F.min("section_no").alias("section_no"))
-    spans = sections.where(F.col("page_start").isNotNull()).select(
-        *keys, F.explode(F.sequence("page_start", F.greatest("page_start", F.coalesce("page_end", "page_start")))).alias("page_num")
-    )
-    found = (
-        rows(stripped(chunk_texts), "chunks", 1, "pos").unionByName(rows(stripped(first), "parsed", 2, "section_no"))
-        .unionByName(rows(slide, "slide", 3, "page_num")).unionByName(rows(spans.join(pages, ["doc_id", "page_num"]), "pages", 4, "page_num"))
-        .unionByName(rows(sections.select(*keys, F.lit(0).alias("no"), F.col("gist").alias("text")).where("text <> ''"), "gist", 5, "no"))
-    )
-    best = found.select(*keys, "rank").join(sections.select(*keys).distinct(), keys).groupBy(*keys).agg(F.min("rank").alias("rank"))
-    return assembly.pieces(found.join(best, [*keys, "rank"]), [*keys, "text_source"], "at", "\n\n")
+    ranked = [*keys, "rank"]
+    first = parsed.groupBy(*keys).agg(F.min_by("text", "section_no").alias("text"), F.min("section_no").cast("long").alias("at"))
+    told = first.select(*keys, F.lit(2).alias("rank"), "at", T.strip(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    own = sections.select(*keys, F.lit(5).alias("rank"), F.lit(0).cast("long").alias("at"), F.col("gist").alias("text")).where("text <> ''")
+    found = _chunk_rows(chunk_texts).unionByName(told).unionByName(_page_rows(sections, pages)).unionByName(own)
+    found = written(found, "section-texts")
+    best = assembly.sizes(found, ranked, "at", "\n\n").groupBy(*keys).agg(F.min(F.struct("rank", "last", "chars")).alias("b"))
+    best = written(best.select(*keys, "b.*").join(sections.select(*keys), keys, "left_semi"), "section-sources")
+    cut = assembly.pieces(found, ranked, "at", "\n\n", sized=best)
+    return cut.select(*keys, F.element_at(F.array(*map(F.lit, SOURCES)), F.col("rank")).alias("text_source"), "piece_no", "piece")
 
 
 def full_text_pieces(chunks: DataFrame) -> DataFrame:

@@ -40,16 +40,32 @@ def _parts(text: Column, offset: Column, size: int) -> Column:
     return F.concat(F.array(F.substr(text, F.lit(1), head)), rest)
 
 
-def pieces(rows: DataFrame, keys: list[str], order: str, sep: str, size: int = PIECE) -> DataFrame:
+def sizes(rows: DataFrame, keys: list[str], order: str, sep: str) -> DataFrame:
+    """(keys, last, chars): the last row of a group and the characters of its text; no text is moved."""
+    text = F.coalesce("text", F.lit(""))
+    return rows.groupBy(*keys).agg(F.max(order).alias("last"), (F.sum(F.length(text)) + len(sep) * (F.count(F.lit(1)) - 1)).alias("chars"))
+
+
+def pieces(rows: DataFrame, keys: list[str], order: str, sep: str, size: int = PIECE, sized: DataFrame | None = None) -> DataFrame:
     """(keys, piece_no, piece): the texts of a group in ``order``, a whole number without ties, with ``sep``
-    between two, as pieces of ``size`` characters; the last is shorter. Null texts count as empty."""
+    between two, as pieces of ``size`` characters; the last is shorter. Null texts count as empty.
+
+    A text that fits a piece is joined where its rows meet; only longer ones are placed and cut. With
+    ``sized`` (``sizes``, perhaps of some groups only) other groups fall away.
+    """
     narrow = rows.select(*keys, order, F.coalesce("text", F.lit("")).alias("text"))
-    ends = narrow.groupBy(*keys).agg(F.max(order).alias("_last"))
-    joined = F.when(F.col(order) == F.col("_last"), F.col("text")).otherwise(F.concat("text", F.lit(sep)))
-    narrow = narrow.join(ends, keys).select(*keys, order, joined.alias("text")).withColumn("_n", F.length("text"))
+    if not sep:  # rows without a character do not show; any number of them would meet in a short text
+        narrow = narrow.where("text <> ''")
+    sized = (sizes(narrow, keys, order, sep) if sized is None else sized).select(*keys, "last", "chars")
+    together = F.sort_array(F.collect_list(F.struct(order, "text")))
+    short = narrow.join(sized.where(F.col("chars").between(1, size)).drop("last"), keys).groupBy(*keys).agg(together.alias("_rows"))
+    short = short.select(*keys, F.lit(0).cast("long").alias("piece_no"), F.array_join("_rows.text", sep).alias("piece"))
+    long = narrow.join(sized.where(F.col("chars") > size), keys)
+    joined = F.when(F.col(order) == F.col("last"), F.col("text")).otherwise(F.concat("text", F.lit(sep)))
+    narrow = long.select(*keys, order, joined.alias("text")).withColumn("_n", F.length("text"))
     placed = running_before(narrow, keys, order, "_n", "_offset").where("_n > 0")
     cut = placed.select(*keys, order, "_offset", F.posexplode_outer(_parts(F.col("text"), F.col("_offset"), size)).alias("_i", "_part"))
     cut = cut.withColumn("piece_no", F.floor(F.col("_offset") / size) + F.col("_i"))
     # parts of one row are in different pieces, so the row's place orders those of a piece
     met = cut.groupBy(*keys, "piece_no").agg(F.sort_array(F.collect_list(F.struct(order, "_part"))).alias("_parts"))
-    return met.select(*keys, "piece_no", F.array_join("_parts._part", "").alias("piece"))
+    return short.unionByName(met.select(*keys, "piece_no", F.array_join("_parts._part", "").alias("piece")))
