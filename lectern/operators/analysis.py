@@ -151,13 +151,14 @@ def section_text(sections: DataFrame, chunk_texts: DataFrame, parsed: DataFrame,
     own = sections.select(*keys, F.lit(5).alias("rank"), F.lit(0).cast("long").alias("at"), F.coalesce("gist", F.lit("")).alias("text"))
     told = parsed.select(*keys, F.lit(2).alias("rank"), F.col("section_no").cast("long").alias("at"), T.strip(F.coalesce("text", F.lit(""))).alias("text"))
     rows = _chunk_rows(chunk_texts).unionByName(told).unionByName(_page_rows(sections, pages)).unionByName(own)
-    of = lambda rank: F.sort_array(F.collect_list(F.when(F.col("rank") == rank, F.struct("at", "text"))))["text"]
-    met = rows.groupBy(*keys).agg(*[of(rank).alias(f"_{rank}") for rank in (1, 3, 4, 5)], F.min_by("text", F.when(F.col("rank") == 2, F.col("at"))).alias("_2"))
-    joined = lambda rank: T.blank_to_null(T.strip(F.array_join(f"_{rank}", "\n\n")))
-    texts = [joined(1), T.blank_to_null(F.col("_2")), joined(3), joined(4)]
+    # grouped where they meet: before that a section has one row or two in a task, and putting those into lists only costs
+    met = rows.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "at", "text"))).alias("_rows"))
+    of = lambda rank: F.filter("_rows", lambda r: r["rank"] == rank)["text"]
+    joined = lambda rank: T.blank_to_null(T.strip(F.array_join(of(rank), "\n\n")))
+    texts = [joined(1), T.blank_to_null(F.get(of(2), F.lit(0))), joined(3), joined(4)]
     found = F.coalesce(*[F.when(t.isNotNull(), F.struct(t.alias("text"), F.lit(name).alias("source"))) for t, name in zip(texts, SOURCES)])
     # one row for each row of sections: rows of a section that is not there have no gist, and none come out
-    each = met.withColumn("_found", found).select(*keys, "_found", F.explode("_5").alias("_gist"))
+    each = met.withColumn("_found", found).select(*keys, "_found", F.explode(of(5)).alias("_gist"))
     return each.select(*keys, F.coalesce("_found.text", "_gist").alias("text"), F.coalesce("_found.source", F.lit("gist")).alias("text_source"))
 
 
