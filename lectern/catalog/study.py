@@ -14,6 +14,7 @@ from lectern.catalog.learning import learning_events
 from lectern.catalog.parsing import line_pages, scored_pages
 from lectern.catalog.registry import Area
 from lectern.catalog.upkeep import new_store
+from lectern.operators.stage import written
 from lectern.plans import analysis_response as R
 from lectern.plans import answer, briefs, forget
 
@@ -176,7 +177,8 @@ def analysis_responses(spark, sf_dir):
     store.replace("understanding", d.where("_id % 3 = 0").select("doc_id", told.alias("understanding")))
     store.replace("analysis_meta", d.where("_id % 6 = 0").select("doc_id", F.lit("model").alias("source"), F.lit("2024-01-01").alias("updated_at"), F.lit("").alias("error")))
     scored = scored_pages(spark, sf_dir).where("doc_id % 11 > 0").withColumn("doc_id", F.col("doc_id").cast("string"))
-    store.replace("page_quality", scored.select("doc_id", "page_start", "quality", "recommended_action", "overall_score", "text_preview"))
+    scored = scored.select("doc_id", "page_start", "quality", "recommended_action", "overall_score", "text_preview")
+    store.replace("page_quality", written(scored, "analysis-quality"))  # laying rows by range reads them up to three times
     store.replace("enhanced_pages", d.where("_id % 10 = 0").select("doc_id", F.lit(0).alias("page_num"), F.lit(True).alias("enhanced")))
     asked = d.select("doc_id").unionByName(spark.createDataFrame([("nobody",)], "doc_id string"))
     found = R.responses(store, asked)

@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
+from lectern.operators.stage import written
 from lectern.sources.segments import Segment, SegmentLog
 
 #: Segments beside the base from which on ``compact`` merges them.
@@ -100,7 +101,11 @@ class Store:
         return self._put(artifact, rows, ADDED, "a")
 
     def replace(self, artifact: str, rows: DataFrame) -> Segment | None:
-        """Put these documents' rows in place of what the artifact held for them."""
+        """Put these documents' rows in place of what the artifact held for them.
+
+        Rows are laid by ranges that are sampled first, so they are computed up to three times: what
+        is dear to compute has to be ``written`` before.
+        """
         return self._put(artifact, rows, REPLACING, "r")
 
     def update(self, artifact: str, changes: DataFrame) -> Segment | None:
@@ -193,7 +198,7 @@ class Store:
         text = embedding_text(
             F.col("text"), F.col("contextual_prefix"), F.coalesce("formula_ids", F.array().cast("array<string>"))
         )
-        self.replace("vectors", flat.withColumn("embedding", embed_fn(text)))
+        self.replace("vectors", written(flat.withColumn("embedding", embed_fn(text)), "vectors"))  # see replace
 
 
 def source_files(spark: SparkSession, folder: str) -> DataFrame:
