@@ -7,29 +7,47 @@ the stage that has the text, and only numbers go on from there.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lectern.functions import text as T
 
 COUNTS = ("words", "solid", "symbols", "odd")
 _EDGE = ".,;:()[]{}"
+_NOISE = ("?", "|", "�")
+
+
+_LETTERS = "".join(c for c in map(chr, range(128)) if c.isalnum()).encode()
+
+
+def _symbols(solid: str) -> int:
+    """Characters of a text without white space that are neither letters nor numbers."""
+    if solid.isascii():
+        return len(solid.encode().translate(None, _LETTERS))
+    return sum(solid.count(c) for c in set(solid) if not c.isalnum())
 
 
 def word_counts(s: str | None) -> tuple[int, int, int, int]:
     """Words, their characters, characters that are neither letters nor numbers, and odd words:
     those of one character at most between punctuation, and again those that hold noise."""
-    solid = symbols = odd = 0
     words = s.split() if s else []
-    for w in words:
-        solid += len(w)
-        if w.isalnum():
-            odd += len(w) == 1
-        else:
-            symbols += len(w) - sum(map(str.isalnum, w))
-            odd += (len(w.strip(_EDGE)) <= 1) + ("?" in w or "|" in w or "�" in w)
-    return len(words), solid, symbols, odd
+    solid = "".join(words)
+    odd = sum(map((2).__gt__, map(len, map(str.strip, words, repeat(_EDGE)))))
+    if any(noise in solid for noise in _NOISE):
+        odd += sum(any(noise in w for noise in _NOISE) for w in words)
+    return len(words), len(solid), _symbols(solid), odd
+
+
+def page_counts(s: str | None, limit: int) -> tuple[int, int, int, int, str]:
+    """Characters that are neither letters, numbers nor white space, words, distinct words regardless
+    of case, lines that are not blank, and the first ``limit`` characters with white space runs as one blank."""
+    s = s or ""
+    words, low = s.split(), s.lower().split()
+    lines = sum(not line.isspace() for line in s.splitlines() if line)
+    return _symbols("".join(words)), len(low), len(set(low)), lines, " ".join(words[:limit])[:limit]
 
 
 @F.pandas_udf(StructType([StructField(name, IntegerType()) for name in COUNTS]))
@@ -37,6 +55,17 @@ def counts(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([word_counts(s) for s in texts], columns=COUNTS, dtype="int32")
 
 
+def page_measures(limit: int):
+    """``page_counts`` of a text column in one Arrow step."""
+    fields = [StructField(name, IntegerType()) for name in ("symbols", "words", "distinct", "lines")]
+
+    @F.pandas_udf(StructType([*fields, StructField("preview", StringType())]))
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_counts(s, limit) for s in texts], columns=["symbols", "words", "distinct", "lines", "preview"])
+
+    return measured
+
+
 def with_counts(df: DataFrame, column: str, name: str) -> DataFrame:
     """Add ``name``: the counts of a text column. The Arrow step is projected on its own."""
     return df.withColumn(name, counts(F.col(column)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import fixed as X
+from lectern.functions import measures
 from lectern.functions import text as T
 from lectern.operators.stage import once
 
@@ -105,6 +106,22 @@ def measured(pages: DataFrame) -> DataFrame:
     return counted.select(*[c for c in counted.columns if c != "text"], T.quote(text, 180).alias("text_preview"))
 
 
+def measured_whole(pages: DataFrame) -> DataFrame:
+    """What ``measured`` gives, its text read once: for all pages of a store, where pattern passes are what scoring costs."""
+    text = F.coalesce("text", F.lit(""))
+    counted = pages.withColumn("n", page_length(F.col("char_count"), text)).withColumn("_length", F.length(text))
+    m = F.col("_read")
+    read = counted.withColumn("_read", measures.page_measures(180)(F.col("text")))
+    repeats = F.when(m["words"] >= 12, F.greatest(F.lit(0.0), F.lit(0.5) - m["distinct"] / m["words"])).otherwise(F.lit(0.0))
+    return read.select(
+        *[c for c in counted.columns if c not in ("text", "_length")],
+        F.when(F.col("_length") > 0, m["symbols"] / F.col("_length")).otherwise(F.lit(0.0)).alias("symbols"),
+        repeats.alias("repeats"),
+        m["lines"].alias("n_lines"),
+        m["preview"].alias("text_preview"),
+    )
+
+
 def page_quality(pages: DataFrame) -> DataFrame:
     """Score pages (with ``doc_subtype`` and visual flags) and say what to do with them.
 

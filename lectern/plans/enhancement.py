@@ -175,7 +175,7 @@ def _rebuild(store: Store, pages: DataFrame, changed: DataFrame, chunker, embed)
     docs = written(docs, "enhancement-documents")
     chunks = written(chunker(docs, pages), "enhancement-chunks")
     sections = written(sections_of(docs, pages), "enhancement-sections")
-    scored = written(quality.page_quality(quality.measured(pages.join(docs, "doc_id"))), "enhancement-quality")
+    scored = written(quality.page_quality(quality.measured_whole(pages.join(docs, "doc_id"))), "enhancement-quality")
     store.replace("enhanced_pages", pages)
     store.replace("doc_sections", sections)
     store.replace("chunks", chunks)
