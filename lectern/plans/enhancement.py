@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import text as T
 from lectern.operators import chunking, enhance, quality
-from lectern.operators.stage import nothing, written
+from lectern.operators.stage import nothing, passing, written
 from lectern.sources.store import Store
 
 #: Part of every content key: a new number rebuilds all.
@@ -153,33 +153,38 @@ def apply(
     stale = state.where("status = 'stale'").select("doc_id", "input_key")
     if stale.isEmpty():
         return _response(state, None)
+    with passing(store.spark):
+        return _response(state, _applied(store, stale, chunker, embed))
+
+
+def _applied(store: Store, stale: DataFrame, chunker, embed) -> DataFrame | None:
+    """Merge the pages of ``stale`` documents and rebuild those that have changed by it: how many chunks and sections these have."""
     pages = store.read("doc_pages").join(stale.select("doc_id"), "doc_id", "left_semi")
     fragments = _fragments(store).join(stale.select("doc_id"), "doc_id", "left_semi")
-    merged = written(enhance.merge(pages, fragments), "enhancement-merged")
-    keys = row_set_key(merged, ["page_num", "text", "content_source"], "content_key").join(stale, "doc_id")
-    if store.exists("derivations"):
-        keys = keys.join(store.read("derivations").select("doc_id", F.col("content_key").alias("_old")), "doc_id", "left")
-    else:
-        keys = keys.withColumn("_old", F.lit(None).cast("string"))
-    keys = written(keys, "enhancement-keys")
-    changed = keys.where("not _old <=> content_key").select("doc_id")
-    counts = None
-    if not changed.isEmpty():
-        counts = _rebuild(store, merged.join(changed, "doc_id", "left_semi"), changed, chunker, embed)
+    with passing(store.spark):
+        merged = written(enhance.merge(pages, fragments), "enhancement-merged")
+        keys = row_set_key(merged, ["page_num", "text", "content_source"], "content_key").join(stale, "doc_id")
+        if store.exists("derivations"):
+            keys = keys.join(store.read("derivations").select("doc_id", F.col("content_key").alias("_old")), "doc_id", "left")
+        else:
+            keys = keys.withColumn("_old", F.lit(None).cast("string"))
+        keys = written(keys, "enhancement-keys", lasting=True)
+        changed = keys.where("not _old <=> content_key").select("doc_id")
+        anything = not changed.isEmpty()
+        if anything:
+            merged = merged.join(changed, "doc_id", "left_semi")
+            merged = store.stored(store.replace("enhanced_pages", merged), merged)
+    counts = _rebuild(store, merged, changed, chunker, embed) if anything else None
     store.replace("derivations", keys.select("doc_id", "input_key", "content_key"))
-    return _response(state, counts)
+    return counts
 
 
 def _rebuild(store: Store, pages: DataFrame, changed: DataFrame, chunker, embed) -> DataFrame:
     docs = store.read("documents").join(changed, "doc_id", "left_semi").select("doc_id", "doc_subtype")
     docs = written(docs, "enhancement-documents")
-    chunks = written(chunker(docs, pages), "enhancement-chunks")
-    sections = written(sections_of(docs, pages), "enhancement-sections")
-    scored = written(quality.page_quality(quality.measured_whole(pages.join(docs, "doc_id"))), "enhancement-quality")
-    store.replace("enhanced_pages", pages)
-    store.replace("doc_sections", sections)
-    store.replace("chunks", chunks)
-    store.replace("page_quality", scored)
+    chunks = store.replaced("chunks", lambda: chunker(docs, pages))
+    sections = store.replaced("doc_sections", lambda: sections_of(docs, pages))
+    scored = store.replaced("page_quality", lambda: quality.page_quality(quality.measured_whole(pages.join(docs, "doc_id"))))
     if embed is not None:
         store.index_vectors(chunks, embed)
     counts = written(
@@ -188,6 +193,7 @@ def _rebuild(store: Store, pages: DataFrame, changed: DataFrame, chunker, embed)
         .join(sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("num_sections")), "doc_id", "left")
         .fillna(0, ["num_chunks", "num_sections"]),
         "enhancement-counts",
+        lasting=True,
     )
     # chunks and sections of a document that has none any more
     for artifact, count in (("chunks", "num_chunks"), ("doc_sections", "num_sections")):

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.operators.stage import put
+
 _NAME = re.compile(r"^([arb])(\d{12})-(\d{12})$")
 
 
@@ -64,7 +66,7 @@ class SegmentLog:
     def write(self, rows: DataFrame, kind: str, low: int, high: int, keep_empty: bool = False) -> Segment | None:
         """Add a segment; one without rows is not kept, unless that is what it says."""
         path = f"{self.root}/{kind}{low:012d}-{high:012d}"
-        rows.write.mode("overwrite").parquet(path)  # overwrites what a dead job left under this number
+        put(rows, path, "overwrite")  # overwrites what a dead job left under this number
         if not keep_empty and self.spark.read.parquet(path).isEmpty():
             self._remove(path)
             return None

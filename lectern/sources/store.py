@@ -15,12 +15,13 @@ buckets, and a document of any size is just more files.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lectern.operators.stage import written
+from lectern.operators.stage import alone, nothing, passing, written
 from lectern.sources.segments import Segment, SegmentLog
 
 #: Segments beside the base from which on ``compact`` merges them.
@@ -108,6 +109,18 @@ class Store:
         """
         return self._put(artifact, rows, REPLACING, "r")
 
+    def replaced(self, artifact: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """``replace`` with rows that are dear to compute: written first, then laid. Gives them as they are stored; other copies go."""
+        with passing(self.spark):
+            rows = alone(self.spark, make, f"store-{artifact}")
+            return self.stored(self.replace(artifact, rows), rows)
+
+    def stored(self, segment: Segment | None, rows: DataFrame) -> DataFrame:
+        """``rows`` read from the segment that was written of them."""
+        if segment is None:
+            return nothing(self.spark, ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in rows.schema))
+        return self._segments([segment]).select(*rows.columns)
+
     def update(self, artifact: str, changes: DataFrame) -> Segment | None:
         """Set the non-null columns of ``changes`` (one row per doc_id) on existing rows. Documents
         that hold these values already are not written again."""
