@@ -6,6 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+
 from lectern.functions import text as T
 from lectern.operators import stage
 from lectern.plans import enhancement
@@ -82,3 +84,17 @@ def test_an_enhancement_leaves_one_copy(spark, tmp_path):
     assert {(r["doc_id"], r["status"]) for r in got.collect()} == {("a", "applied"), ("b", "applied")}
     assert store.read("enhanced_pages").count() == 6 and store.read("page_quality").count() > 0 and store.read("chunks").count() > 0
     assert store.read("doc_sections").where(T.strip(F.col("gist")) == "").count() == 0
+
+
+@pytest.mark.parametrize("name, more", [("retrieve_context", set())])
+def test_answers_keep_texts_once(spark, tmp_path, name, more):
+    docs = [(d, f"Alpha beta document {d}. It tells of gamma rays and of rivers. " * 40) for d in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    said = [(0, t, "user", f"What of river {t}?") for t in range(2)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    before = tables(spark)
+    assert entry.queries()[name](spark, str(tmp_path)).count() >= 3
+    left = {t.rsplit("-", 1)[0]: t for t in tables(spark) - before}
+    assert set(left) == {"chunks", "requests", "lexical", "candidates", "hits", "context"} | more
+    stored = spark.read.parquet(f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}/{left['chunks']}")
+    assert "text" in stored.columns and "search_text" not in stored.columns
