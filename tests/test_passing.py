@@ -86,7 +86,7 @@ def test_an_enhancement_leaves_one_copy(spark, tmp_path):
     assert store.read("doc_sections").where(T.strip(F.col("gist")) == "").count() == 0
 
 
-@pytest.mark.parametrize("name, more", [("retrieve_context", set())])
+@pytest.mark.parametrize("name, more", [("chat_answers", {"user-turns"}), ("retrieve_context", set())])
 def test_answers_keep_texts_once(spark, tmp_path, name, more):
     docs = [(d, f"Alpha beta document {d}. It tells of gamma rays and of rivers. " * 40) for d in range(3)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
