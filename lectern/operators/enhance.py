@@ -175,7 +175,12 @@ def candidate_score(m: Column, source: Column, quality: Column) -> Column:
 
 
 def merge(pages: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Best text per page among parser text, each usable fragment, and text plus fragment.
+    """Best text per page among parser text, each usable fragment, and text plus fragment."""
+    return with_best(pages, best_texts(pages, fragments))
+
+
+def best_texts(pages: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(doc_id, page_num, new_source, c_text) of the pages for which there is a better text than the parser's.
 
     Candidates keep their order (parser, then per fragment: alone, merged); the first of
     the best wins. Pages without usable fragments pass through untouched. Page and fragment are
@@ -208,9 +213,12 @@ def merge(pages: DataFrame, fragments: DataFrame) -> DataFrame:
     )
     first = top_k(offers, ["doc_id", "page_num"], [F.col("score").desc(), F.col("cand_no")], 1, "_n")
     text = F.when(~F.col("second") | F.col("replaced"), F.col("f_text")).otherwise(F.concat(old, F.lit("\n\n"), F.col("tag"), F.lit("\n"), F.col("f_text")))
-    best = first.where((F.col("score") > F.col("s_own")) & (F.col("source") != "parser")).select(
+    return first.where((F.col("score") > F.col("s_own")) & (F.col("source") != "parser")).select(
         "doc_id", "page_num", F.col("source").alias("new_source"), text.alias("c_text")
     )
+
+
+def with_best(pages: DataFrame, best: DataFrame) -> DataFrame:
     out = pages.join(best, ["doc_id", "page_num"], "left")
     won = F.col("new_source").isNotNull()
     return (

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import text as T
 from lectern.operators import chunking, enhance, quality
-from lectern.operators.stage import nothing, passing, written
+from lectern.operators.stage import alone, nothing, passing, written
 from lectern.sources.store import Store
 
 #: Part of every content key: a new number rebuilds all.
@@ -162,7 +162,8 @@ def _applied(store: Store, stale: DataFrame, chunker, embed) -> DataFrame | None
     pages = store.read("doc_pages").join(stale.select("doc_id"), "doc_id", "left_semi")
     fragments = _fragments(store).join(stale.select("doc_id"), "doc_id", "left_semi")
     with passing(store.spark):
-        merged = written(enhance.merge(pages, fragments), "enhancement-merged")
+        # two writes, so that shuffle files of the one go before those of the other
+        merged = alone(store.spark, lambda: enhance.with_best(pages, written(enhance.best_texts(pages, fragments), "enhancement-best")), "enhancement-merged")
         keys = row_set_key(merged, ["page_num", "text", "content_source"], "content_key").join(stale, "doc_id")
         if store.exists("derivations"):
             keys = keys.join(store.read("derivations").select("doc_id", F.col("content_key").alias("_old")), "doc_id", "left")
